@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def fmt(value: Column) -> Column:
-    """Half-even display rounding: 0, 1 or 2 decimals by size. A negative that rounds
-    to nothing stays a negative zero, so its sign can still be written."""
+    """Half-even display rounding of the binary value: 0, 1 or 2 decimals by size. A
+    negative that rounds to nothing stays a negative zero, so its sign can be written."""
     size = F.abs(value)
-    rounded = F.when(size >= 1000, F.bround(size, 0)).when(size >= 10, F.bround(size, 1)).otherwise(F.bround(size, 2))
+    rounded = F.when(size >= 1000, F.rint(size)).when(size >= 10, F.rint(size * 10) / 10).otherwise(F.rint(size * 100) / 100)
     return F.when(value < 0, -rounded).otherwise(rounded)
 
 
