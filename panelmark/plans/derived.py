@@ -257,7 +257,7 @@ def _(spark, d):
 @query("A-12_freshness", """
 WITH s AS (SELECT user_id AS name, CASE WHEN user_id % 11 = 0 THEN NULL ELSE date_trunc('second', max(ts)) END AS last_run FROM events GROUP BY 1),
 x AS (SELECT *, epoch(TIMESTAMP '2024-02-01 00:00:00') AS now, greatest(epoch(TIMESTAMP '2024-02-01 00:00:00') - min(epoch(last_run)) OVER (), 86400) AS span FROM s)
-SELECT name, round(least(greatest((epoch(last_run) - (now - span)) / span, 0), 1), 6) AS placed,
+SELECT name, CASE WHEN last_run IS NOT NULL THEN round(least(greatest((epoch(last_run) - (now - span)) / span, 0), 1), 6) END AS placed,
   CASE WHEN last_run IS NULL THEN 'no successful run on record' WHEN now - epoch(last_run) < 60 THEN 'just now' WHEN now - epoch(last_run) < 3600 THEN CAST(CAST(floor((now - epoch(last_run)) / 60) AS INT) AS VARCHAR) || ' min ago'
    WHEN now - epoch(last_run) < 172800 THEN CAST(CAST(floor((now - epoch(last_run)) / 3600) AS INT) AS VARCHAR) || ' hr ago' ELSE CAST(CAST(floor((now - epoch(last_run)) / 86400) AS INT) AS VARCHAR) || ' days ago' END AS elapsed FROM x""")
 def _(spark, d):
@@ -317,7 +317,7 @@ def _(spark, d):
 
 
 @query("U-4_distinct_messages", f"""WITH r AS (SELECT {RESULTS} FROM lineitem), f AS (SELECT answer_id, message, min(ordinal) AS o FROM r WHERE message IS NOT NULL GROUP BY 1, 2)
-SELECT answer_id, string_agg(message, ' ' ORDER BY o) AS detail FROM f GROUP BY 1""")
+SELECT answer_id, string_agg(message, ' ' ORDER BY o, message) AS detail FROM f GROUP BY 1""")
 def _(spark, d):
     firsts = tool_results(spark, d).where("message IS NOT NULL").groupBy("answer_id", "message").agg(F.min("ordinal").alias("o"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("o", "message"))), lambda s: s["message"])
