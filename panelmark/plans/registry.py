@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-SECTIONS = ["read", "intake", "derived", "forecasts"]
+SECTIONS = ["read", "intake", "derived", "forecasts", "texts", "streams"]
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
