@@ -30,6 +30,15 @@ def sorted_median(items: Column) -> Column:
     return (F.get(items, F.floor((n - 1) / 2).cast("int")) + F.get(items, F.floor(n / 2).cast("int"))) / 2
 
 
+def _points(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns both passes over a series read, under one set of filters, so that
+    the second pass can reuse the shuffle of the first."""
+    held = F.col("value").isNotNull()
+    for key in keys:
+        held = held & F.col(key).isNotNull()
+    return df.select(*keys, "date", "value").where(held)
+
+
 def _trend_columns(df: DataFrame, keys: list[str], window: int) -> DataFrame:
     """Prior values of each row with least squares over them, on values and on logs.
 
@@ -38,7 +47,7 @@ def _trend_columns(df: DataFrame, keys: list[str], window: int) -> DataFrame:
     """
     w = Window.partitionBy(*keys).orderBy("date")
     prior = w.rowsBetween(-window, -1)
-    rows = df.select(*keys, "date", "value").where(F.col("value").isNotNull())
+    rows = _points(df, keys)
     rows = rows.withColumn("_index", F.row_number().over(w) - 1).withColumn(
         "_ln", F.when(F.col("value") > 0, F.ln("value")))
     fit = lambda f, y: f(F.col(y), F.col("_index").cast("double")).over(prior)
@@ -113,7 +122,7 @@ def _earlier_steps(df: DataFrame, keys: list[str]) -> DataFrame:
     """Non-zero moves of each series with their position, as one array per series."""
     w = Window.partitionBy(*keys).orderBy("date")
     moves = (
-        df.select(*keys, "date", "value").where(F.col("value").isNotNull())
+        _points(df, keys)
         .withColumn("_index", F.row_number().over(w) - 1)
         .withColumn("_step", F.abs(F.col("value") - F.lag("value").over(w)))
         .where(F.col("_step") > 0)

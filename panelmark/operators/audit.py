@@ -65,59 +65,64 @@ def split_citations(answers: DataFrame, counts: DataFrame) -> DataFrame:
         "cited", lambda n: (n < 1) | (n > F.col("citations"))))))
 
 
-# Evidence walk. Nodes of a payload are gathered level by level inside the row.
-
-def _object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+# Evidence. Its numbers are read off the JSON text; what it asserts about direction needs
+# its structure, which is walked level by level inside the row.
+
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*'
+
+
+def evidence_numbers(evidence: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds ``allowed``: every number the evidence supplies, also digits inside its texts.
+    Field names supply nothing."""
+    tokens = F.regexp_extract_all(F.col(payload), F.lit(JSON_TOKEN), F.lit(0))
+    rows = settled(evidence.withColumn("_t", F.filter(tokens, lambda t: ~t.rlike('^".*:$'))), "_t")
+    plain = F.transform(F.filter("_t", lambda t: ~t.startswith('"')), lambda t: t.try_cast("double"))
+    unescaped = lambda t: F.regexp_replace(F.regexp_replace(
+        t, r"\\u[0-9a-fA-F]{4}|\\[bfnrt]", " "), r"\\(.)", "$1")
+    texts = F.filter("_t", lambda t: t.rlike(r'^".*\d'))
+    quoted = F.flatten(F.transform(texts, lambda t: F.transform(numbers(unescaped(t)), lambda x: x["value"])))
+    finite = F.filter(F.concat(plain, quoted), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return settled(rows.withColumn("allowed", F.array_distinct(finite)).drop("_t"), "allowed")
 
 
 def walk(evidence: DataFrame, payload: str = "payload", depth: int = DEPTH) -> DataFrame:
-    """Adds ``nodes``: array<struct<v variant, unit string, key string>> of the payload,
-    where unit is the nearest enclosing object's."""
-    rows = evidence.withColumn("_root", F.try_parse_json(F.col(payload)))
-    level = F.array(F.struct(F.col("_root").alias("v"), F.lit(None).cast("string").alias("unit"), F.lit("").alias("key")))
-    rows = settled(rows.withColumn("_l0", level), "_l0")
-
-    def children(node: Column) -> Column:
-        fields = _object(node["v"])
-        here = F.when(F.coalesce(F.map_contains_key(fields, "unit"), F.lit(False)),
-                      F.try_variant_get(node["v"], "$.unit", "string")).otherwise(node["unit"])
-        of_object = F.transform(F.map_entries(fields), lambda e: F.struct(
+    """Adds ``objects``: array<struct<fields map<string,variant>, unit>> and ``leaves``:
+    array<struct<v variant, unit, key>> of the payload, where unit is the one in force."""
+    items = F.array(F.struct(F.try_parse_json(F.col(payload)).alias("v"), F.lit(None).cast("string").alias("unit"),
+                             F.lit("").alias("key")))
+    empty = F.array().cast("array<struct<v:variant,unit:string,key:string>>")
+
+    def opened(n: Column) -> Column:
+        fields = F.try_variant_get(n["v"], "$", "map<string,variant>")
+        return F.struct(n["v"].alias("v"), n["unit"].alias("unit"), n["key"].alias("key"), fields.alias("fields"),
+                        F.try_variant_get(n["v"], "$", "array<variant>").alias("elements"))
+
+    def children(n: Column) -> Column:
+        here = F.when(F.coalesce(F.map_contains_key(n["fields"], "unit"), F.lit(False)),
+                      F.try_variant_get(F.try_element_at(n["fields"], F.lit("unit")), "$", "string")).otherwise(n["unit"])
+        of_object = F.transform(F.map_entries(n["fields"]), lambda e: F.struct(
             e["value"].alias("v"), here.alias("unit"), e["key"].alias("key")))
-        of_array = F.transform(F.try_variant_get(node["v"], "$", "array<variant>"), lambda x: F.struct(
-            x.alias("v"), node["unit"].alias("unit"), F.lit("").alias("key")))
-        empty = F.array().cast("array<struct<v:variant,unit:string,key:string>>")
+        of_array = F.transform(n["elements"], lambda x: F.struct(x.alias("v"), n["unit"].alias("unit"), F.lit("").alias("key")))
         return F.coalesce(of_object, of_array, empty)
 
+    # One generator per level keeps the nested expressions from being repeated by the optimizer.
+    rows, names = evidence, list(evidence.columns)
     for i in range(depth):
-        rows = settled(rows.withColumn(f"_l{i + 1}", F.flatten(F.transform(f"_l{i}", children))), f"_l{i + 1}")
-    return rows.withColumn("nodes", F.concat(*[f"_l{i}" for i in range(depth + 1)])).drop(
-        "_root", *[f"_l{i}" for i in range(depth + 1)])
-
-
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _is_number(v: Column) -> Column:
-    return _kind(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-
-
-def _is_text(v: Column) -> Column:
-    return _kind(v) == "STRING"
+        rows = rows.select(*names, F.inline(F.array(F.struct(F.transform(items, opened).alias(f"_open{i}")))))
+        names.append(f"_open{i}")
+        items = F.flatten(F.transform(f"_open{i}", children))
+    objects = [F.transform(F.filter(f"_open{i}", lambda n: n["fields"].isNotNull()), lambda n: F.struct(
+        n["fields"].alias("fields"), n["unit"].alias("unit"))) for i in range(depth)]
+    leaves = [F.transform(F.filter(f"_open{i}", lambda n: n["fields"].isNull() & n["elements"].isNull()), lambda n: F.struct(
+        n["v"].alias("v"), n["unit"].alias("unit"), n["key"].alias("key"))) for i in range(depth)]
+    return rows.select(*evidence.columns, F.inline(F.array(F.struct(
+        F.concat(*objects).alias("objects"), F.concat(*leaves, items).alias("leaves")))))
 
 
 def _number(v: Column) -> Column:
-    return F.when(_is_number(v), F.try_variant_get(v, "$", "double"))
-
-
-def evidence_numbers(walked: DataFrame) -> DataFrame:
-    """Adds ``allowed``: every number the evidence supplies, also digits inside its texts."""
-    plain = F.transform(F.filter("nodes", lambda n: _is_number(n["v"])), lambda n: F.try_variant_get(n["v"], "$", "double"))
-    texts = F.transform(F.filter("nodes", lambda n: _is_text(n["v"])), lambda n: F.try_variant_get(n["v"], "$", "string"))
-    quoted = F.flatten(F.transform(texts, lambda t: F.transform(numbers(t), lambda x: x["value"])))
-    finite = F.filter(F.concat(plain, quoted), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return settled(walked.withColumn("allowed", F.array_distinct(finite)), "allowed")
+    """The number a scalar holds; text and flags hold none."""
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
+                  F.try_variant_get(v, "$", "double"))
 
 
 # Figures.
@@ -155,7 +160,7 @@ def faithful(value: Column, allowed: Column, tolerance: float = TOLERANCE) -> Co
 def judge_figures(answers: DataFrame, allowed: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """answers(answer_id, text) with ``parts``: per sentence its lower-case text and its
     figures struct(literal, value, grounded)."""
-    rows = answers.join(allowed.select("answer_id", "allowed", "nodes"), "answer_id", "left")
+    rows = answers.join(allowed.select("answer_id", "allowed"), "answer_id", "left")
     rows = rows.withColumn("allowed", F.coalesce("allowed", F.array().cast("array<double>")))
     rows = settled(rows.withColumn("_parts", F.transform(
         sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), numbers(s).alias("figures")))), "_parts")
@@ -248,19 +253,19 @@ def _groups(text: Column, pattern: str, *indexes: int) -> Column:
 def direction_facts(walked: DataFrame) -> DataFrame:
     """Adds ``facts``: array<struct<value, direction, kind>> the evidence asserts, without
     values it describes both ways; ``transitions`` and ``extremes`` beside them."""
-    text = lambda n: F.try_variant_get(n["v"], "$", "string")
     fact = lambda v, d, k: F.struct(v.alias("value"), d.alias("direction"), F.lit(k).alias("kind"))
-    rows = walked.withColumn("_objects", F.filter("nodes", lambda n: _kind(n["v"]).startswith("OBJECT")))
-    rows = rows.withColumn("_texts", F.transform(F.filter("nodes", lambda n: _is_text(n["v"])), lambda n: F.struct(
-        text(n).alias("t"), n["unit"].alias("unit"))))
-    rows = rows.withColumn("_objs", F.transform("_objects", lambda n: F.struct(
-        F.lower(F.try_variant_get(n["v"], "$.deviation_type", "string")).alias("type"),
-        _number(F.try_variant_get(n["v"], "$.value", "variant")).alias("value"),
-        _number(F.try_variant_get(n["v"], "$.previous_value", "variant")).alias("previous"),
-        F.map_values(F.try_variant_get(n["v"], "$.changes", "map<string,string>")).alias("changes"))))
+    field = lambda o, name: F.try_element_at(o["fields"], F.lit(name))
+    rows = walked.withColumn("_texts", F.transform(
+        F.filter("leaves", lambda n: F.schema_of_variant(n["v"]) == "STRING"),
+        lambda n: F.struct(F.try_variant_get(n["v"], "$", "string").alias("t"), n["unit"].alias("unit"))))
+    rows = rows.withColumn("_objs", F.transform("objects", lambda o: F.struct(
+        F.lower(F.try_variant_get(field(o, "deviation_type"), "$", "string")).alias("type"),
+        _number(field(o, "value")).alias("value"), _number(field(o, "previous_value")).alias("previous"),
+        F.map_values(F.try_variant_get(field(o, "changes"), "$", "map<string,string>")).alias("changes"))))
+    rows = settled(rows.drop("objects"), "_objs", "_texts")
     rows = rows.withColumn("_moves", F.flatten(F.transform("_texts", lambda t: _groups(t["t"], V.TRANSITION, 1, 2, 4))))
     rows = rows.withColumn("_sizes", F.flatten(F.transform("_texts", lambda t: _groups(t["t"], V.MAGNITUDE, 1, 2))))
-    rows = settled(rows, "_objs", "_moves", "_sizes", "_texts")
+    rows = settled(rows, "_moves", "_sizes")
     marked = F.transform(F.filter("_objs", lambda o: o["type"].isin("spike", "drop") & o["value"].isNotNull()), lambda o: fact(
         o["value"], F.when(o["type"] == "spike", "rise").otherwise("fall"), "level"))
     deltas = F.transform(F.flatten(F.transform("_objs", lambda o: F.coalesce(o["changes"], F.array().cast("array<string>")))), to_number)
@@ -281,13 +286,13 @@ def direction_facts(walked: DataFrame) -> DataFrame:
                     lambda o: pair(o["previous"], o["value"])),
         F.filter(F.transform("_moves", lambda m: pair(to_number(m["g2"]), to_number(m["g4"]))),
                  lambda p: p["start"].isNotNull() & p["end"].isNotNull())))
-    keyed = F.transform(F.filter("nodes", lambda n: n["key"].isin(
+    keyed = F.transform(F.filter("leaves", lambda n: n["key"].isin(
         "value", "min_value", "max_value", "median", "lower", "upper") & (n["unit"] == "%")), lambda n: _number(n["v"]))
     inline = F.flatten(F.transform(F.filter("_texts", lambda t: t["unit"].isNull()), lambda t: F.transform(
         F.regexp_extract_all(t["t"], F.lit(V.INLINE_PERCENT), F.lit(1)), to_number)))
     rows = rows.withColumn("extremes", F.array_sort(F.array_distinct(F.filter(
         F.concat(keyed, inline), lambda v: v.isNotNull() & (F.abs(v) >= EXTREME_PERCENT)))))
-    return settled(rows.drop("_objects", "_objs", "_moves", "_sizes", "_texts", "_facts"), "facts", "transitions", "extremes")
+    return settled(rows.drop("leaves", "_objs", "_moves", "_sizes", "_texts", "_facts"), "facts", "transitions", "extremes")
 
 
 def same_figure(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
@@ -349,10 +354,9 @@ def audit_answers(answers: DataFrame, evidence: DataFrame, tolerance: float = TO
 
     answers(answer_id, text) and evidence(answer_id, payload) hold one row per answer.
     """
-    walked = walk(evidence)
-    judged = judge_figures(answers, evidence_numbers(walked), tolerance)
-    scored = score_answers(judged).drop("parts", "nodes", "allowed")
-    meaning = check_meaning(answers.select("answer_id", "text"), direction_facts(walked), tolerance).drop(
+    judged = judge_figures(answers, evidence_numbers(evidence), tolerance)
+    scored = score_answers(judged).drop("parts", "allowed")
+    meaning = check_meaning(answers.select("answer_id", "text"), direction_facts(walk(evidence)), tolerance).drop(
         "text", "facts", "transitions", "extremes")
     out = scored.join(meaning, "answer_id")
     clean = (F.size("contradictions") == 0) & (F.size("level_as_change") == 0) & (F.size("unqualified_extremes") == 0)

@@ -72,7 +72,7 @@ AUDIT = S.with_(BASE, ANSWERS, EVIDENCE, ALLOWED, FIGURES)
 
 
 def judged(spark, d):
-    return T.judge_figures(B.answers(spark, d), T.evidence_numbers(T.walk(B.evidence(spark, d))))
+    return T.judge_figures(B.answers(spark, d), T.evidence_numbers(B.evidence(spark, d)))
 
 
 @query("TX-1_numbers", f"""SELECT doc_id, j - 1 AS position, l[j] AS literal, {VAL.format(t='l[j]')} AS value
@@ -84,7 +84,7 @@ def _(spark, d):
 
 @query("TX-2_evidence_numbers", S.with_(BASE, EVIDENCE, ALLOWED) + "SELECT answer_id, b AS number FROM allowed")
 def _(spark, d):
-    return T.evidence_numbers(T.walk(B.evidence(spark, d))).select("answer_id", F.explode("allowed").alias("number"))
+    return T.evidence_numbers(B.evidence(spark, d)).select("answer_id", F.explode("allowed").alias("number"))
 
 
 @query("TX-3_faithful", AUDIT + "SELECT answer_id, sentence_no, position, literal, v AS value, grounded FROM fig")

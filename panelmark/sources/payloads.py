@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelmark.functions.codes import income_group
 from panelmark.sources.reference import KEYED_SERIES, MONITOR_INDICATORS
-from panelmark.session import constant
+from panelmark.session import constant, settled
 
 PAGED_ROW = ("array<struct<countryiso3code:string,indicator:struct<id:string,value:string>,"
              "country:struct<id:string,value:string>,date:string,value:string,unit:string>>")
@@ -25,16 +25,14 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 def parse_paged_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """``[meta, rows]`` pages to rows. Anything of another shape yields no rows."""
     keep = [c for c in payloads.columns if c != payload]
-    doc = payloads.withColumn("_v", F.try_parse_json(F.col(payload)))
-    shaped = doc.where(
-        F.schema_of_variant("_v").startswith("ARRAY<")
-        & F.try_variant_get("_v", "$[1]", "array<variant>").isNotNull()
-        & F.try_variant_get("_v", "$[2]", "variant").isNull()
-    )
-    return shaped.select(
-        *keep, F.coalesce(F.try_variant_get("_v", "$[0].pages", "int"), F.lit(1)).alias("pages"),
-        F.try_variant_get("_v", "$[1][0].indicator.value", "string").alias("display_name"),
-        F.posexplode(F.try_variant_get("_v", "$[1]", PAGED_ROW)).alias("position", "r"),
+    pair = settled(payloads.withColumn("_v", F.from_json(F.col(payload), "array<string>")).drop(payload), "_v")
+    pair = pair.where((F.size("_v") == 2) & F.ltrim(F.get("_v", F.lit(1))).startswith("["))
+    pages = F.coalesce(F.get_json_object(F.get("_v", F.lit(0)), "$.pages").try_cast("int"), F.lit(1))
+    rows = pair.select(*keep, pages.alias("pages"), F.from_json(F.get("_v", F.lit(1)), PAGED_ROW).alias("_rows"))
+    rows = settled(rows, "_rows")
+    return rows.select(
+        *keep, "pages", F.get("_rows", F.lit(0))["indicator"]["value"].alias("display_name"),
+        F.posexplode("_rows").alias("position", "r"),
     ).select(
         *keep, "pages", "display_name", "position", F.col("r.countryiso3code").alias("entity_raw"),
         F.col("r.country.id").alias("entity_alt"), F.col("r.indicator.id").alias("indicator_raw"),

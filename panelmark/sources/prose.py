@@ -31,7 +31,7 @@ TEMPLATES = [
     f"'The value reached ' || {_X} || ' in ' || {_Y} || '.'",
     f"'It rose to ' || {_X} || ' from ' || {_P} || '.'",
     f"'It fell to ' || {_X} || '. A change of ' || {_C} || ' followed.'",
-    f"'It was ' || {_X} || '. Before it was ' || {_P} || '. Both make ' || CAST(x + p AS STRING) || ' together.'",
+    f"'It was ' || {_X} || ', before that ' || {_P} || '. Both make ' || CAST(x + p AS STRING) || ' together.'",
     f"'An invented 987654.3 appears in 2031, beside ' || {_X} || '.'",
     f"{_X} || ' is roughly double the ' || {_P} || ' seen before.'",
     f"'A drop of ' || {_X} || ' was seen.' || chr(10) || 'A rise of ' || {_C} || ' too.'",
