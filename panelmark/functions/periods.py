@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted period spellings: a day, a quarter, a month or a year.
-PERIOD = r"^\d{4}(-\d{2}-\d{2}|-?[Qq][1-4]|-?[Mm]\d{1,2}|-\d{1,2})?$"
+PERIOD = r"^(?!0000)\d{4}(-\d{2}-\d{2}|-?[Qq][1-4]|-?[Mm]\d{1,2}|-\d{1,2})?$"
 
 
 def iso_date(text: Column) -> Column:
@@ -18,21 +18,28 @@ def parse_period(raw: Column) -> Column:
     """struct(date, frequency): the first day of the period, both null if unreadable.
 
     One pattern decides whether the text is a period at all; its parts are then taken
-    by position, which is much cheaper than a pattern per spelling.
+    by position. The cleaned text and the date are bound once through one-element
+    arrays, since a column used in several branches is computed again in each.
     """
-    text = F.upper(F.trim(raw))
-    rest = F.substr(text, F.lit(5))
-    quarter, month = F.contains(rest, F.lit("Q")), F.contains(rest, F.lit("M"))
-    frequency = (
-        F.when(rest == "", "annual").when(quarter, "quarterly").when(month, "monthly")
-        .when(F.length(text) == 10, "daily").otherwise("monthly")
-    )
-    number = F.when(quarter, (F.right(text, F.lit(1)).try_cast("int") * 3 - 2).cast("string")).otherwise(
-        F.translate(rest, "-M", ""))
-    first_day = F.when(F.length(text) == 10, text).when(rest == "", F.concat(text, F.lit("-01-01"))).otherwise(
-        F.concat(F.left(text, F.lit(4)), F.lit("-"), F.lpad(number, 2, "0"), F.lit("-01")))
-    date = F.when(text.rlike(PERIOD), iso_date(first_day))
-    return F.struct(date.alias("date"), F.when(date.isNotNull(), frequency).alias("frequency"))
+    def parts(text: Column) -> Column:
+        rest = F.substr(text, F.lit(5))
+        quarter = F.contains(rest, F.lit("Q"))
+        number = F.when(quarter, (F.right(text, F.lit(1)).try_cast("int") * 3 - 2).cast("string")).otherwise(
+            F.translate(rest, "-M", ""))
+        first_day = F.when(F.length(text) == 10, text).when(rest == "", F.concat(text, F.lit("-01-01"))).otherwise(
+            F.concat(F.left(text, F.lit(4)), F.lit("-"), F.lpad(number, 2, "0"), F.lit("-01")))
+        frequency = (
+            F.when(rest == "", "annual").when(quarter, "quarterly").when(F.contains(rest, F.lit("M")), "monthly")
+            .when(F.length(text) == 10, "daily").otherwise("monthly")
+        )
+        return _bind(F.when(text.rlike(PERIOD), first_day.try_cast("date")), lambda date: F.struct(
+            date.alias("date"), F.when(date.isNotNull(), frequency).alias("frequency")))
+
+    return _bind(F.upper(F.trim(raw)), parts)
+
+
+def _bind(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lenient_date(raw: Column) -> Column:

@@ -88,35 +88,27 @@ def evidence_numbers(evidence: DataFrame, payload: str = "payload") -> DataFrame
 def walk(evidence: DataFrame, payload: str = "payload", depth: int = DEPTH) -> DataFrame:
     """Adds ``objects``: array<struct<fields map<string,variant>, unit>> and ``leaves``:
     array<struct<v variant, unit, key>> of the payload, where unit is the one in force."""
-    items = F.array(F.struct(F.try_parse_json(F.col(payload)).alias("v"), F.lit(None).cast("string").alias("unit"),
-                             F.lit("").alias("key")))
-    empty = F.array().cast("array<struct<v:variant,unit:string,key:string>>")
-
-    def opened(n: Column) -> Column:
-        fields = F.try_variant_get(n["v"], "$", "map<string,variant>")
-        return F.struct(n["v"].alias("v"), n["unit"].alias("unit"), n["key"].alias("key"), fields.alias("fields"),
-                        F.try_variant_get(n["v"], "$", "array<variant>").alias("elements"))
-
-    def children(n: Column) -> Column:
-        here = F.when(F.coalesce(F.map_contains_key(n["fields"], "unit"), F.lit(False)),
-                      F.try_variant_get(F.try_element_at(n["fields"], F.lit("unit")), "$", "string")).otherwise(n["unit"])
-        of_object = F.transform(F.map_entries(n["fields"]), lambda e: F.struct(
-            e["value"].alias("v"), here.alias("unit"), e["key"].alias("key")))
-        of_array = F.transform(n["elements"], lambda x: F.struct(x.alias("v"), n["unit"].alias("unit"), F.lit("").alias("key")))
-        return F.coalesce(of_object, of_array, empty)
-
+    items = f"array(named_struct('v', try_parse_json({payload}), 'unit', CAST(NULL AS STRING), 'key', ''))"
+    opened = ("transform({items}, n -> named_struct('v', n.v, 'unit', n.unit, 'key', n.key, "
+              "'fields', try_variant_get(n.v, '$', 'map<string,variant>'), 'elements', try_variant_get(n.v, '$', 'array<variant>')))")
+    children = (
+        "flatten(transform({open}, n -> coalesce("
+        "transform(map_entries(n.fields), e -> named_struct('v', e.value, 'unit', CASE WHEN map_contains_key(n.fields, 'unit') "
+        "THEN try_variant_get(try_element_at(n.fields, 'unit'), '$', 'string') ELSE n.unit END, 'key', e.key)), "
+        "transform(n.elements, x -> named_struct('v', x, 'unit', n.unit, 'key', '')), "
+        "CAST(array() AS array<struct<v:variant,unit:string,key:string>>))))")
     # One generator per level keeps the nested expressions from being repeated by the optimizer.
     rows, names = evidence, list(evidence.columns)
     for i in range(depth):
-        rows = rows.select(*names, F.inline(F.array(F.struct(F.transform(items, opened).alias(f"_open{i}")))))
+        rows = rows.selectExpr(*names, f"inline(array(named_struct('_open{i}', {opened.format(items=items)})))")
         names.append(f"_open{i}")
-        items = F.flatten(F.transform(f"_open{i}", children))
-    objects = [F.transform(F.filter(f"_open{i}", lambda n: n["fields"].isNotNull()), lambda n: F.struct(
-        n["fields"].alias("fields"), n["unit"].alias("unit"))) for i in range(depth)]
-    leaves = [F.transform(F.filter(f"_open{i}", lambda n: n["fields"].isNull() & n["elements"].isNull()), lambda n: F.struct(
-        n["v"].alias("v"), n["unit"].alias("unit"), n["key"].alias("key"))) for i in range(depth)]
-    return rows.select(*evidence.columns, F.inline(F.array(F.struct(
-        F.concat(*objects).alias("objects"), F.concat(*leaves, items).alias("leaves")))))
+        items = children.format(open=f"_open{i}")
+    objects = ", ".join(
+        f"transform(filter(_open{i}, n -> n.fields IS NOT NULL), n -> named_struct('fields', n.fields, 'unit', n.unit))" for i in range(depth))
+    leaves = ", ".join(
+        f"transform(filter(_open{i}, n -> n.fields IS NULL AND n.elements IS NULL), n -> named_struct('v', n.v, 'unit', n.unit, 'key', n.key))"
+        for i in range(depth))
+    return rows.selectExpr(*evidence.columns, f"inline(array(named_struct('objects', concat({objects}), 'leaves', concat({leaves}, {items}))))")
 
 
 def _number(v: Column) -> Column:
@@ -138,23 +130,19 @@ def _rounds_to(base: Column, target: Column, places: range) -> Column:
     return out
 
 
-def faithful(value: Column, allowed: Column, tolerance: float = TOLERANCE) -> Column:
-    """Whether a figure renders some supplied number: equal, rounded, rescaled, or the
-    decade of a supplied year. Years get no relative band."""
-    year = is_year(value)
-    decade = year & (value % 10 == 0)
-
-    def renders(base: Column) -> Column:
-        near = lambda target, b: F.abs(b - target) <= F.greatest(F.abs(b) * tolerance, F.lit(1e-9))
-        hit = (base == value) | _rounds_to(base, value, range(5)) | (~year & near(value, base))
-        hit = hit | (decade & is_year(base) & (F.floor(base / 10) == F.floor(value / 10)))
-        for scale in SCALES[1:]:
-            big = value * scale
-            hit = hit | (base == big) | _rounds_to(base, big, range(5)) | (~year & near(big, base))
-            hit = hit | ((base != 0) & near(value, base / scale))
-        return hit
-
-    return F.exists(allowed, renders)
+def faithful(value: str, allowed: str, tolerance: float = TOLERANCE) -> str:
+    """SQL text of whether a figure renders some supplied number: equal, rounded,
+    rescaled, or the decade of a supplied year. Years get no relative band."""
+    year = lambda v: f"({v} = floor({v}) AND {v} BETWEEN 1800 AND 2200)"
+    near = lambda target, b: f"abs({b} - {target}) <= greatest(abs({b}) * {tolerance}D, 1e-9D)"
+    rounded = lambda target: " OR ".join(f"rint(b * {10.0 ** p}D) / {10.0 ** p}D = {target}" for p in range(5))
+    hits = [f"b = {value}", rounded(value), f"(NOT {year(value)} AND {near(value, 'b')})",
+            f"({year(value)} AND {value} % 10 = 0 AND {year('b')} AND floor(b / 10) = floor({value} / 10))"]
+    for scale in SCALES[1:]:
+        big = f"({value} * {scale}D)"
+        hits += [f"b = {big}", rounded(big), f"(NOT {year(value)} AND {near(big, 'b')})",
+                 f"(b <> 0 AND {near(value, f'(b / {scale}D)')})"]
+    return f"exists({allowed}, b -> {' OR '.join(hits)})"
 
 
 def judge_figures(answers: DataFrame, allowed: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -164,11 +152,9 @@ def judge_figures(answers: DataFrame, allowed: DataFrame, tolerance: float = TOL
     rows = rows.withColumn("allowed", F.coalesce("allowed", F.array().cast("array<double>")))
     rows = settled(rows.withColumn("_parts", F.transform(
         sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), numbers(s).alias("figures")))), "_parts")
-    judged = F.transform("_parts", lambda p: F.struct(
-        p["sentence"].alias("sentence"),
-        F.transform(p["figures"], lambda n: F.struct(
-            n["literal"].alias("literal"), n["value"].alias("value"),
-            faithful(n["value"], F.col("allowed"), tolerance).alias("grounded"))).alias("figures")))
+    judged = F.expr(
+        "transform(_parts, p -> named_struct('sentence', p.sentence, 'figures', transform(p.figures, n -> named_struct("
+        f"'literal', n.literal, 'value', n.value, 'grounded', {faithful('n.value', 'allowed', tolerance)}))))")
     return settled(rows.withColumn("parts", judged).drop("_parts"), "parts")
 
 

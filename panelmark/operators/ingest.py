@@ -32,40 +32,60 @@ class Rules:
     cutoff_year: int | None = None
 
 
-def _outcome(status: str, error: str | None, message: Column | None = None) -> Column:
-    text = F.lit(None).cast("string") if message is None else message
-    return F.struct(F.lit(status).alias("status"), F.lit(error).cast("string").alias("error_type"), text.alias("message"))
+@dataclass(frozen=True)
+class Check:
+    """A condition and what a row that meets it becomes; ``subject`` is quoted in the message."""
 
+    bad: Column
+    error: str | None = None
+    text: str | None = None
+    subject: str | None = None
 
-def _skip() -> Column:
-    return _outcome("skipped", None)
 
+def _skip(bad: Column) -> Check:
+    return Check(bad)
 
-def _reject(error: str, message: str, value: Column | None = None) -> Column:
-    text = F.lit(message) if value is None else F.concat(F.lit(message + ": "), F.coalesce(value.cast("string"), F.lit("null")))
-    return _outcome("rejected", error, text)
 
+def _first_failing(rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """Adds ``outcome`` from the first check a row meets, else accepted.
 
-def _entity(raw: DataFrame, rules: Rules) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    The position of the check is found first and everything else is looked up by it:
+    small generated code, where a chain of conditional structs outgrows the compiler.
+    """
+    hits = F.array(*[F.coalesce(c.bad, F.lit(False)) for c in checks])
+    rows = settled(rows.withColumn("_at", F.array_position(hits, F.lit(True)).cast("int")), "_at")
+    subjects = sorted({c.subject for c in checks if c.subject})
+    look = lambda words: F.get(F.array(*[F.lit(w).cast("string") for w in words]), F.col("_at"))
+    where = F.get(F.array(*[F.lit(subjects.index(c.subject) if c.subject else -1) for c in [Check(F.lit(True)), *checks]]), F.col("_at"))
+    quoted = F.get(F.array(*[F.col(n).cast("string") for n in subjects]), where)
+    text = look([None, *[c.text for c in checks]])
+    return rows.withColumn("outcome", F.struct(
+        look(["accepted", *["rejected" if c.error else "skipped" for c in checks]]).alias("status"),
+        look([None, *[c.error for c in checks]]).alias("error_type"),
+        F.when(where >= 0, F.concat(text, F.lit(": "), F.coalesce(quoted, F.lit("null")))).otherwise(text).alias("message"),
+    )).drop("_at")
+
+
+def _entity(raw: DataFrame, rules: Rules) -> tuple[DataFrame, list[Check]]:
     """The entity column and the checks on it, in the order the source makes them."""
+    code, unknown = F.col("_code"), F.col("entity").isNull()
     if rules.shape == "sdmx":
         rows = to_iso3(raw.withColumn("_code", F.upper(F.trim(F.coalesce("entity_raw", F.lit(""))))), "_code", rules.index)
         return rows, [
-            (F.col("_code") == "", _reject(NORMALIZATION, "missing area")),
-            (F.col("_code").isin(GROUPING_ISO2), _skip()),
-            (F.col("entity").isNull(), _reject(NORMALIZATION, "unmapped two-letter code", F.col("_code"))),
+            Check(code == "", NORMALIZATION, "missing area"), _skip(code.isin(GROUPING_ISO2)),
+            Check(unknown, NORMALIZATION, "unmapped two-letter code", "_code"),
         ]
     if rules.shape == "keyed":
         registry = rules.index.select(F.col("series_id").alias("_code"), F.col("entity"), F.col("series_indicator"))
         rows = raw.withColumn("_code", F.trim(F.coalesce("entity_raw", F.lit("")))).join(registry, "_code", "left")
         rows = rows.withColumn("indicator_raw", F.col("series_indicator")).drop("series_indicator")
-        return rows, [(F.col("entity").isNull(), _reject(NORMALIZATION, "unregistered series", F.col("_code")))]
+        return rows, [Check(unknown, NORMALIZATION, "unregistered series", "_code")]
     known = rules.index.select(F.col("entity").alias("_code"), F.col("entity"))
-    code = code_or_fallback(F.col("entity_raw"), F.col("entity_alt"))
-    rows = raw.withColumn("_code", code).join(known, "_code", "left")
-    checks = [(F.col("entity").isNull(), _skip())]
+    named = code_or_fallback(F.col("entity_raw"), F.col("entity_alt"))
+    rows = raw.withColumn("_code", named).join(known, "_code", "left")
+    checks = [_skip(unknown)]
     if rules.shape == "paged":
-        checks.insert(0, (F.col("_code") == "", _reject(NORMALIZATION, "missing country code")))
+        checks.insert(0, Check(code == "", NORMALIZATION, "missing country code"))
     return rows, checks
 
 
@@ -90,27 +110,23 @@ def judge(raw: DataFrame, rules: Rules, today: dt.date) -> DataFrame:
     rows = settled(rows, "date", "frequency", "value")
     sentinels = {"sdmx": ("nan",), "keyed": (".",)}.get(rules.shape)
     empty = F.col("value_raw").isNull() if sentinels is None else is_missing(F.col("value_raw"), *sentinels)
-    checks += [] if rules.shape == "sdmx" else [
-        (F.col("indicator_code") == "", _reject(NORMALIZATION, "missing indicator code"))]
-    checks += [
-        (empty, _skip()),
-        (F.col("date").isNull(), _reject(NORMALIZATION, "unreadable period", F.col("period_raw"))),
-    ]
+    if rules.shape != "sdmx":
+        checks.append(Check(F.col("indicator_code") == "", NORMALIZATION, "missing indicator code"))
+    checks += [_skip(empty), Check(F.col("date").isNull(), NORMALIZATION, "unreadable period", "period_raw")]
     if rules.cutoff_year is not None:
-        checks.append((F.year("date") > rules.cutoff_year, _skip()))
+        checks.append(_skip(F.year("date") > rules.cutoff_year))
+    value = F.col("value")
+    shape = (F.col("indicator_code") == "") | ~F.col("entity").rlike("^[A-Z]{3}$")
     checks += [
-        (F.col("value").isNull(), _reject(NORMALIZATION, "unreadable value", F.col("value_raw"))),
-        ((F.col("indicator_code") == "") | ~F.col("entity").rlike("^[A-Z]{3}$"), _reject(NORMALIZATION, "bad record shape")),
-        (F.isnan("value") | (F.abs("value") == float("inf")), _reject(VALIDATION, "value is not finite", F.col("value_raw"))),
-        (~F.col("value").between(F.col("low"), F.col("high")), _reject(VALIDATION, "implausible value", F.col("value_raw"))),
-        (F.year("date") > today.year + 1, _reject(VALIDATION, "date too far ahead", F.col("date"))),
-        (F.year("date") < 1900, _reject(VALIDATION, "date too early", F.col("date"))),
+        Check(value.isNull(), NORMALIZATION, "unreadable value", "value_raw"),
+        Check(shape, NORMALIZATION, "bad record shape"),
+        Check(F.isnan(value) | (F.abs(value) == float("inf")), VALIDATION, "value is not finite", "value_raw"),
+        Check(~value.between(F.col("low"), F.col("high")), VALIDATION, "implausible value", "value_raw"),
+        Check(F.year("date") > today.year + 1, VALIDATION, "date too far ahead", "period_raw"),
+        Check(F.year("date") < 1900, VALIDATION, "date too early", "period_raw"),
     ]
-    verdict = F.coalesce(*[F.when(bad, outcome) for bad, outcome in checks], _outcome("accepted", None))
-    return settled(
-        rows.withColumn("outcome", verdict).withColumn("source", F.lit(rules.source)).drop("low", "high", "kind", "_code"),
-        "outcome",
-    )
+    judged = _first_failing(rows, checks).withColumn("source", F.lit(rules.source)).drop("low", "high", "kind", "_code")
+    return settled(judged, "outcome")
 
 
 def reject_duplicates(judged: DataFrame) -> DataFrame:
@@ -126,7 +142,9 @@ def reject_duplicates(judged: DataFrame) -> DataFrame:
     repeat = good & F.col("_first").isNull()
     key = F.concat_ws("/", "entity", "indicator_code", F.col("date").cast("string"))
     return marked.withColumn(
-        "outcome", F.when(repeat, _reject(DUPLICATE, "duplicate observation", key)).otherwise(F.col("outcome"))
+        "outcome", F.when(repeat, F.struct(
+            F.lit("rejected").alias("status"), F.lit(DUPLICATE).alias("error_type"),
+            F.concat(F.lit("duplicate observation: "), key).alias("message"))).otherwise(F.col("outcome"))
     ).drop("_first")
 
 

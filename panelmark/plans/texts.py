@@ -113,11 +113,6 @@ def _(spark, d):
     return T.score_answers(judged(spark, d)).select("answer_id", "total_numbers", F.size("ungrounded").alias("ungrounded"), "score")
 
 
-@query("TX-6_verdicts")
-def _(spark, d):
-    return T.audit_answers(B.answers(spark, d), B.evidence(spark, d)).select("answer_id", "score", "passed")
-
-
 FACTS_SQL = f"""
 lev AS (SELECT id, CAST(x AS DOUBLE) AS value, CASE {B.KIND} WHEN 'spike' THEN 'rise' WHEN 'drop' THEN 'fall' END AS direction, 'level' AS kind FROM base),
 raw_facts AS (SELECT * FROM lev WHERE direction IS NOT NULL UNION ALL SELECT id, CAST(c AS DOUBLE), 'rise', 'change' FROM base WHERE c > 0
@@ -194,6 +189,14 @@ def _(spark, d):
     return rows.select("answer_id", F.explode(found).alias("f")).select("answer_id", "f.rule", "f.figure")
 
 
+@query("TX-6_verdicts", S.with_(BASE, ANSWERS, EVIDENCE, ALLOWED, FIGURES, DERIVED, RATIOS, FACTS_SQL, EXTREMES, MEANING) + """
+, per AS (SELECT answer_id, count(*) AS n, count(*) FILTER (grounded OR (answer_id, v) IN (SELECT answer_id, v FROM derived)) AS good FROM fig GROUP BY 1),
+sc AS (SELECT a.answer_id, CASE WHEN a.answer_id IN (SELECT answer_id FROM approx) THEN 0 WHEN n IS NULL THEN 1 ELSE round_even(good / n, 4) END AS score FROM answers a LEFT JOIN per USING (answer_id))
+SELECT answer_id, score, score >= 1 AND answer_id NOT IN (SELECT answer_id FROM r1 UNION ALL SELECT answer_id FROM r2 UNION ALL SELECT answer_id FROM r3) AS passed FROM sc""")
+def _(spark, d):
+    return T.audit_answers(B.answers(spark, d), B.evidence(spark, d)).select("answer_id", "score", "passed")
+
+
 SAID = ("coalesce(text, '') || CASE conv_id % 8 WHEN 0 THEN ' Which is the highest in the world?' WHEN 1 THEN ' The most recent figure.' WHEN 2 THEN ' Lower than in the world''s largest economies.' "
         "WHEN 3 THEN ' No other country has a lower rate worldwide.' WHEN 4 THEN ' It ranked first. Globally it is at most average.' WHEN 5 THEN ' The best of all countries!' ELSE '' END AS said")
 SCOPE = r"(?i)\b(in the world|worldwide|globally|of all countries|of any country|across (?:all )?countries|among all countries)\b"
