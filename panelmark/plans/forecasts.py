@@ -43,7 +43,7 @@ DRIFT = """
 drift AS (SELECT source, indicator_code, entity, last_date, s AS step, last + s * ((last - first) / (observations - 1)) AS median, sd FROM inp, range(1, 13) r(s))"""
 NAIVE = """
 naive AS (SELECT p.source, p.indicator_code, p.entity, p.last_date, s AS step, h.value AS median, p.sd FROM inp p, range(1, 13) r(s)
-  JOIN h ON h.source = p.source AND h.indicator_code = p.indicator_code AND h.entity = p.entity AND h.back = 12 - (s - 1) % 12)"""
+  JOIN h ON h.source = p.source AND h.indicator_code = p.indicator_code AND h.entity = p.entity AND h.back = CASE WHEN p.observations >= 24 THEN 12 - (s - 1) % 12 ELSE 1 END)"""
 
 
 def rounded():

@@ -272,9 +272,8 @@ def _(spark, d):
     return ranked.join(countries.select("entity", "entity_name", "region"), "entity", "left")
 
 
-@query("W-4_ranking_limited", FL + "SELECT * FROM (" + RANKED.format(
-    cols="entity, indicator_code, source, date, value", dir="ASC")
-    + ", true AS truncated FROM latest) WHERE rank <= 10")
+@query("W-4_ranking_limited", FL + "SELECT *, entity_count > 10 AS truncated FROM (" + RANKED.format(
+    cols="entity, indicator_code, source, date, value", dir="ASC") + " FROM latest) WHERE rank <= 10")
 def _(spark, d):
     return R.rank_entities(L.latest(A.facts(spark, d)), order="asc", limit=10)
 
