@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +29,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would be lost with its executor.
+    Where the session names none, a folder in the warehouse: like the tables there, it
+    is reached by every executor, which a machine's temporary folder is not.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    folder = tempfile.mkdtemp(prefix="panelmark-")
-    context.setCheckpointDir(folder)
-    return folder
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
