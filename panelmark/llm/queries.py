@@ -7,11 +7,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import bpe, exact, records, shards, warc
+from panelmark.llm import bpe, exact, pii, quality, records, shards, warc
 from panelmark.llm.common import table
 from panelmark.session import fresh_dir
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = pii.fit_models(docs, "doc_id", "text")
+    found = pii.find_spans(docs, models, "text", F.col("doc_id"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.encode(pii.written(F.col("base")), "utf-8"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     warc.write_warc(warc.with_revisits(table(spark, sf_dir, "pages")), folder)
@@ -31,6 +41,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit_rules(docs, table(spark, sf_dir, "labels"))
+    rows = quality.judged(docs, rules, "doc_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), *quality.COUNTS[:5], "base_failed", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.interleaved_shards(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return rows.select(
@@ -49,7 +66,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op5_exact_dedup, op7_sharding, op8_bpe, op9_token_records)}
+QUERIES = {f.__name__: f for f in (op2_personal_data, op3_warc, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records)}
 
 _HERE = Path(__file__).parent
 SQL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((_HERE / "sql").glob("*.sql"))}
