@@ -67,3 +67,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         high = min(high, rows)
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+
+
+def hashed_share(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows (all, if there are no more): those whose hashed key is smallest.
+    What a later sort and limit brings together is then bounded over all tasks."""
+    rows = df.count()
+    if rows <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * most / rows))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm import boosting
-from panelmark.llm.common import id_and_text, slices, small_batches
+from panelmark.llm.common import hashed_share, id_and_text, slices, small_batches
 from panelmark.llm.wordscan import scramble, span_prints, windows_of, word_spans
 
 #: Labelled rows the trees are fitted on at most (those with the smallest hashed ids).
@@ -150,11 +150,9 @@ def fit_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     trees judge what passes the fixed rules, so only that is learnt from. Without both
     labels among those rows there are no trees.
     """
-    chosen = (
-        labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("good"))
-        .filter("id is not null and good is not null")
-        .orderBy(F.xxhash64("id"), "id", "good").limit(most)
-    )
+    known = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("good"))
+    known = known.filter("id is not null and good is not null")
+    chosen = hashed_share(known, "id", 2 * most).orderBy(F.xxhash64("id"), "id", "good").limit(most)
     chosen = chosen.groupBy("id").agg(F.max("good").alias("good"))
     texts = id_and_text(df, id_col, text_col).join(chosen.select("id"), "id", "left_semi")
     rows = counts_of(texts, "id", "text").join(chosen, "id").orderBy("id", *COUNTS).limit(2 * most).collect()

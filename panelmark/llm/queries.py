@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import bpe, exact, pii, quality, records, shards, warc
+from panelmark.llm import bpe, exact, packing, pii, quality, records, shards, warc
 from panelmark.llm.common import table
 from panelmark.session import fresh_dir
 
@@ -36,6 +36,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.drop("ids").withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", digests=True)
     return rows.withColumnRenamed("id", "doc_id")
@@ -66,7 +71,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_personal_data, op3_warc, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records)}
+QUERIES = {f.__name__: f for f in (op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records)}
 
 _HERE = Path(__file__).parent
 SQL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((_HERE / "sql").glob("*.sql"))}
