@@ -55,7 +55,7 @@ def _cut_documents(df: DataFrame, path: str, window: int, end_id: int, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        frequency = np.zeros(len(model.pieces), np.int64)
+        frequency, seen = np.zeros(len(model.pieces), np.int64), np.zeros(len(model.pieces), bool)
         sequence, documents, tails, tail_ids = TaskContext.get().partitionId() << 32, 0, 0, 0
         for batch in batches:
             keys = batch.column("id").to_pylist()
@@ -63,7 +63,10 @@ def _cut_documents(df: DataFrame, path: str, window: int, end_id: int, with_ids:
                 rows = []
                 for k, raw in enumerate(model.encode(data, offsets), low):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
-                    frequency[np.unique(ids)] += 1
+                    seen[ids] = True
+                    distinct = np.flatnonzero(seen)
+                    frequency[distinct] += 1
+                    seen[distinct] = False
                     documents += 1
                     at = 0
                     for at in range(window, len(ids) + 1, window):

@@ -23,8 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Fragments whose ids a worker keeps (about 100 MB); further ones are encoded again.
-CACHE = 300_000
+#: Fragments whose ids a worker keeps (about 150 MB); further ones are encoded again.
+CACHE = 600_000
 _ONE_WORD = re.compile(r" ?\S+")
 #: Latin letters with at most a space before them are one word for the library's model.
 _LETTERS = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF]+")
