@@ -7,11 +7,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import bpe, exact, packing, pii, quality, records, shards, warc
+from panelmark.llm import bpe, exact, near, packing, pii, quality, records, shards, warc
 from panelmark.llm.common import table
 from panelmark.session import fresh_dir
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=85)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = pii.fit_models(docs, "doc_id", "text")
@@ -71,7 +76,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records)}
 
 _HERE = Path(__file__).parent
 SQL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((_HERE / "sql").glob("*.sql"))}
