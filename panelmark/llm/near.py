@@ -139,36 +139,15 @@ def _alike(sketch: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
     return first[near], second[near], equal[near]
 
 
-def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one, other, first choice) of the pairs that sorted rows of one tree propose."""
-    share = percent / 100
-    least = int((share - 5 * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH)
-    sure = int(share * SKETCH)
-    edge = np.flatnonzero(np.diff(hashes[:, 0], prepend=hashes[0, 0] ^ 1, append=hashes[-1, 0] ^ 1)) if len(hashes) else []
-    regions = [r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _regions(hashes, int(a), int(b), 1)]
-    run = np.full(len(hashes), -1, np.int64)
-    found = []
-    for number, (a, b) in enumerate(regions):
-        if b - a <= 64:
-            run[a:b] = number
-        else:
-            for i in range(a, b - 1):
-                found.append(_alike(sketch, sizes, np.full(b - i - 1, i), np.arange(i + 1, b), percent, least))
-    for step in range(1, 64):
-        first = np.flatnonzero((run[step:] == run[:-step]) & (run[step:] >= 0))
-        if not len(first):
-            break
-        found.append(_alike(sketch, sizes, first, first + step, percent, least))
-    if not found:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
-    one, other, equal = (np.concatenate(x) for x in zip(*found))
-    degree = np.bincount(np.concatenate([one, other])[np.tile(equal >= sure, 2)], minlength=len(hashes))
+def _chosen(one: np.ndarray, other: np.ndarray, equal: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs that look alike those that either node proposes: (one, other, whether a first choice)."""
     node, mate, equal = np.concatenate([one, other]), np.concatenate([other, one]), np.tile(equal, 2)
+    degree = np.bincount(node[equal >= sure], minlength=int(node.max()) + 1 if len(node) else 1)
 
     def ranked(by: np.ndarray) -> np.ndarray:
         """Each proposal's place among its node's, largest ``by`` first."""
         order = np.lexsort((mate, -by, node))
-        place = np.empty(len(node), np.int64)
+        place = np.empty(len(node), np.int32)
         starts = np.flatnonzero(np.diff(node[order], prepend=-1))
         place[order] = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
         return place
@@ -178,6 +157,36 @@ def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent:
     return node[taken], mate[taken], ((nearest == 0) | (hub == 0))[taken]
 
 
+def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(one, other, whether a first choice) of the pairs that sorted rows of one tree propose.
+
+    Small regions are compared together, step by step; a large one by itself, so that
+    no more than its pairs are ever held.
+    """
+    share = percent / 100
+    least, sure = int((share - 5 * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH), int(share * SKETCH)
+    edge = np.flatnonzero(np.diff(hashes[:, 0], prepend=hashes[0, 0] ^ 1, append=hashes[-1, 0] ^ 1))
+    run, found = np.full(len(hashes), -1, np.int32), []
+    regions = (r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _regions(hashes, int(a), int(b), 1))
+    for number, (a, b) in enumerate(regions):
+        if b - a <= 64:
+            run[a:b] = number
+            continue
+        parts = []
+        for i in range(b - a - 1):
+            first, second = np.full(b - a - i - 1, i, np.int32), np.arange(i + 1, b - a, dtype=np.int32)
+            parts.append(_alike(sketch[a:b], sizes[a:b], first, second, percent, least))
+        one, other, first = _chosen(*(np.concatenate(x) for x in zip(*parts)), sure)
+        yield one + a, other + a, first
+    for step in range(1, 64):
+        first = np.flatnonzero((run[step:] == run[:-step]) & (run[step:] >= 0)).astype(np.int32)
+        if not len(first):
+            break
+        found.append(_alike(sketch, sizes, first, first + np.int32(step), percent, least))
+    if found:
+        yield _chosen(*(np.concatenate(x) for x in zip(*found)), sure)
+
+
 def proposals(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b, rank): pairs of nodes to confirm, a < b; rank 0 is some node's first choice in some region."""
 
@@ -202,8 +211,7 @@ def proposals(nodes: DataFrame, percent: int) -> DataFrame:
             held, rows = ([] if keep == rows else table.slice(keep).to_batches()), rows - keep
             for a in np.flatnonzero(np.append(True, tree[1:end] != tree[: end - 1])).tolist():
                 b = a + int(np.searchsorted(tree[a:end], tree[a], "right"))
-                one, other, first = propose(hashes[a:b], sizes[a:b], sketch[a:b], percent)
-                if len(one):
+                for one, other, first in propose(hashes[a:b], sizes[a:b], sketch[a:b], percent):
                     left, right = keys[a:b][one], keys[a:b][other]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(map(bytes, left)), pa.binary()), pa.array(list(map(bytes, right)), pa.binary()), pa.array(1 - first.astype(np.int32), pa.int32())],
