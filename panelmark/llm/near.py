@@ -80,7 +80,7 @@ def _node_keys(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int) -> DataFrame:
-    """(id, n_shingles, node, trees, sketch) of (id, text); without shingles the last three are null."""
+    """(id, text_key, n_shingles, node, trees, sketch) of (id, text, text_key); without shingles the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,11 +99,14 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
                     for row, key in zip(filled.tolist(), _node_keys(keys, starts)):
                         node[row] = key.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[low:high], pa.array(np.bincount(rows, minlength=n), pa.int64()), *(pa.array(x, pa.binary()) for x in (node, trees, sketch))],
-                    ["id", "n_shingles", "node", "trees", "sketch"],
+                    [
+                        batch.column("id")[low:high], batch.column("text_key")[low:high], pa.array(np.bincount(rows, minlength=n), pa.int64()),
+                        *(pa.array(x, pa.binary()) for x in (node, trees, sketch)),
+                    ],
+                    ["id", "text_key", "n_shingles", "node", "trees", "sketch"],
                 )
 
-    return df.mapInArrow(run, "id long, n_shingles long, node binary, trees binary, sketch binary")
+    return df.mapInArrow(run, "id long, text_key long, n_shingles long, node binary, trees binary, sketch binary")
 
 
 def _regions(hashes: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
@@ -270,16 +273,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row for each row of ``df``.
+    """(id, n_shingles, component_id, kept, text_key), one row for each row of ``df``.
 
     Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their shingle
     sets; ``component_id`` is the smallest id reachable over links. Null, empty and
     blank texts have no shingles and are linked with nothing. Null ids count as no id:
     such a row is kept only if its component has no id at all, or it has no shingles. Rows
-    repeated under one id are all kept or all not. Other columns are not read.
+    repeated under one id are all kept or all not. ``text_key`` is a hash of the text, by
+    which rows of a null or repeated id can be told apart. Other columns are not read.
     """
     small_batches(df.sparkSession)
-    rows = id_and_text(df, id_col, text_col)
+    rows = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     signed = staged(signatures(rows, words), "near-signed")
     some = signed.filter("node is not null")
     # equal sets have equal signatures, so any of them will do
@@ -289,7 +293,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     nodes = staged(nodes, "near-nodes")
     pairs = staged(proposals(nodes, percent), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("least_id").alias("wanted")).distinct()
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    texts = rows.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = staged(_sets(texts, words), "near-sets")
 
     links = staged(_confirmed(pairs.filter("rank = 0"), sets, percent), "near-links")
@@ -303,6 +307,6 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     known = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("least_id").alias("component_id"))
     known = known.join(least, "label").select("node", "component_id")
-    out = signed.select("id", "n_shingles", "node").join(known, "node", "left")
+    out = signed.select("id", "n_shingles", "node", "text_key").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_key")
