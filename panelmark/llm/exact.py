@@ -33,14 +33,12 @@ def exact_duplicates(df: DataFrame, id_col: str, text_col: str, digests: bool =
     first = [F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix")]
     narrow = staged(source.select("id", *first), "exact-narrow")
     lengths = narrow.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    prefixes = (
-        narrow.join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    )
-    prefixes = staged(prefixes, "exact-prefixes")
+    # counted before the join, so that a frequent length is no more rows than it has prefixes
+    counted = narrow.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n"))
+    prefixes = staged(counted.join(lengths, "n_bytes", "left_semi").filter("n > 1").drop("n"), "exact-prefixes")
     rivals = narrow.join(prefixes, ["n_bytes", "prefix"], "left_semi")
     if digests:  # all are asked for; those without a rival take no further part
         hashed = staged(source.select("id", *first, F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256")), "exact-hashed")
-        compared = hashed.join(prefixes, ["n_bytes", "prefix"], "left_semi")
     else:
         wanted = rivals.select(F.col("id").alias("wanted")).distinct()
         hashed = staged(
@@ -48,10 +46,12 @@ def exact_duplicates(df: DataFrame, id_col: str, text_col: str, digests: bool =
             .select("id", *first, F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256")),
             "exact-hashed",
         )
-        compared = hashed
     key = ["n_bytes", "prefix", "text_sha256"]
-    groups = compared.groupBy(*key).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    joined = hashed.join(groups, key, "left")
+    groups = hashed.groupBy(*key).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    if digests:
+        groups = groups.join(prefixes, ["n_bytes", "prefix"], "left_semi")
+    groups = staged(groups, "exact-groups")  # a side read as it lies lets Spark split a hot key of the other
+    joined = staged(hashed.join(groups, key, "left"), "exact-joined")  # else numbering would hold the join to its key
     grouped = F.col("group_size").isNotNull()
     mine = F.col("id").eqNullSafe(F.col("keep_id"))
     # only rows under the smallest id of a group are numbered: the others are not kept anyway

@@ -305,7 +305,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     label = components(links.unionByName(more))
 
     known = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = known.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    least = staged(known.groupBy("label").agg(F.min("least_id").alias("component_id")), "near-components")
     known = known.join(least, "label").select("node", "component_id")
     out = signed.select("id", "n_shingles", "node", "text_key").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))

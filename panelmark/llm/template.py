@@ -137,7 +137,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host"),
     )
     keyed = rows.select(F.xxhash64("page_id", "url").alias("key"), "host", "html")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
+    hosts = staged(rows.groupBy("host").agg(F.count("*").alias("host_pages")), "hosts")
     found = staged(templates(token_sums(keyed), hosts), "templates")
     joined = rows.join(found, "host", "left").select("page_id", "url", "html", "tokens", "dense")
 

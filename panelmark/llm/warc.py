@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
 )
 
 from panelmark.llm import files
-from panelmark.llm.common import small_batches
+from panelmark.llm.common import small_batches, staged
 
 #: Bytes after which a writer begins a new file; compressed bytes of one read partition; level of gzip.
 FILE_BYTES, READ_BYTES, LEVEL = 256 << 20, 4 << 20, 1
@@ -291,6 +291,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         .groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .filter("copies > 1 and first_id is not null").drop("copies")
     )
+    firsts = staged(firsts, "warc-firsts")  # a side read as it lies lets Spark split a hot payload of the other
     later = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return rows.join(firsts, "digest", "left").select(
         "page_id", "url", "html", "digest", "payload_bytes", F.when(later, F.col("first_id")).alias("refers_to")
