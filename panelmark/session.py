@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
+    named = {"spark.checkpoint.dir": shared} if shared else {}
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=named).master(f"local[{cores}]")
         .appName("panelmark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
