@@ -38,6 +38,14 @@ def parse_period(raw: Column) -> Column:
     return _bind(F.upper(F.trim(raw)), parts)
 
 
+def period_end(raw: Column) -> Column:
+    """The last day of a period."""
+    length = {"annual": "12", "quarterly": "3", "monthly": "1"}
+    return _bind(parse_period(raw), lambda p: F.coalesce(*[
+        F.when(p["frequency"] == name, F.date_sub(F.add_months(p["date"], F.lit(int(months))), 1)) for name, months in length.items()
+    ], p["date"]))
+
+
 def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 

@@ -119,7 +119,7 @@ def score_windows(df: DataFrame, keys: list[str], window: int = 12, min_obs: int
 
 
 def _earlier_steps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Non-zero moves of each series with their position, as one array per series."""
+    """Non-zero moves of each series with their position, smallest first, as one array per series."""
     w = Window.partitionBy(*keys).orderBy("date")
     moves = (
         _points(df, keys)
@@ -127,7 +127,7 @@ def _earlier_steps(df: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("_step", F.abs(F.col("value") - F.lag("value").over(w)))
         .where(F.col("_step") > 0)
     )
-    return moves.groupBy(*keys).agg(F.collect_list(F.struct("_step", "_index")).alias("_steps"))
+    return moves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_step", "_index"))).alias("_steps"))
 
 
 def detect_anomalies(
@@ -136,8 +136,8 @@ def detect_anomalies(
     """keys, date, value, z_score (4 decimals, null for a structural break), deviation_type.
 
     Breaks out of a flat stretch must be large beside the series' own earlier moves.
-    Only rows that left a flat stretch look at those moves: each reads its series'
-    array once, so no pairs are produced.
+    Only rows that left a flat stretch look at those moves, and only their series'
+    moves are gathered: sorted once a series, so what lies before a row is sorted too.
     """
     scored = score_windows(df, keys, window, min_obs)
     outside = (F.col("residual") < F.col("fence_low")) | (F.col("residual") > F.col("fence_high"))
@@ -147,17 +147,15 @@ def detect_anomalies(
     judged = scored.select(*keys, "date", "value", "_index", "predicted", "z", kind.alias("deviation_type"))
     flagged = settled(judged, "predicted", "z", "deviation_type").where(F.col("deviation_type").isNotNull()).withColumn(
         "z_score", F.when(F.col("deviation_type") != "structural_break", F.round("z", 4)))
-    prior = F.array_sort(F.transform(
-        F.filter("_steps", lambda s: s["_index"] < F.col("_index")), lambda s: s["_step"]))
-    judged = (
-        flagged.join(_earlier_steps(df, keys), keys, "left")
-        .withColumn("_earlier", F.when(F.col("deviation_type") == "structural_break", prior))
-        .withColumn("_typical", sorted_median(F.col("_earlier")))
-    )
+    out = [*keys, "date", "value", "z_score", "deviation_type"]
+    sudden = flagged.where(F.col("deviation_type") != "structural_break").select(*out)
+    candidates = flagged.where(F.col("deviation_type") == "structural_break")
+    prior = F.transform(F.filter("_steps", lambda s: s["_index"] < F.col("_index")), lambda s: s["_step"])
+    moves = _earlier_steps(df.join(candidates.select(*keys).distinct(), keys, "left_semi"), keys)
+    breaks = settled(candidates.join(moves, keys, "left").withColumn("_earlier", prior), "_earlier")
+    breaks = settled(breaks.withColumn("_typical", sorted_median(F.col("_earlier"))).drop("_steps", "_earlier"), "_typical")
     large = F.abs(F.col("value") - F.col("predicted")) >= F.col("_typical") * BREAK_MULTIPLE
-    return settled(judged.drop("_steps", "_earlier"), "_typical").where(
-        (F.col("deviation_type") != "structural_break") | F.col("_typical").isNull() | large
-    ).select(*keys, "date", "value", "z_score", "deviation_type")
+    return sudden.unionByName(breaks.where(F.col("_typical").isNull() | large).select(*out))
 
 
 def refresh_anomalies(old: DataFrame, found: DataFrame, keys: list[str], now, scope: Column | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.functions import words as V
+from panelmark.operators.evidence import walk
 from panelmark.session import settled
 
 TOLERANCE = 0.005
@@ -18,7 +19,6 @@ RATIO_TOLERANCE = 0.10
 EXTREME_PERCENT = 1000.0
 MAX_OPERANDS = 6
 SCALES = [1.0, 1e3, 1e6, 1e9, 1e12]
-DEPTH = 8
 
 
 def to_number(text: Column) -> Column:
@@ -66,7 +66,7 @@ def split_citations(answers: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 # Evidence. Its numbers are read off the JSON text; what it asserts about direction needs
-# its structure, which is walked level by level inside the row.
+# its structure (``evidence.walk``).
 
 JSON_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*'
 
@@ -85,38 +85,6 @@ def evidence_numbers(evidence: DataFrame, payload: str = "payload") -> DataFrame
     return settled(rows.withColumn("allowed", F.array_distinct(finite)).drop("_t"), "allowed")
 
 
-def walk(evidence: DataFrame, payload: str = "payload", depth: int = DEPTH) -> DataFrame:
-    """Adds ``objects``: array<struct<fields map<string,variant>, unit>> and ``leaves``:
-    array<struct<v variant, unit, key>> of the payload, where unit is the one in force."""
-    items = f"array(named_struct('v', try_parse_json({payload}), 'unit', CAST(NULL AS STRING), 'key', ''))"
-    opened = ("transform({items}, n -> named_struct('v', n.v, 'unit', n.unit, 'key', n.key, "
-              "'fields', try_variant_get(n.v, '$', 'map<string,variant>'), 'elements', try_variant_get(n.v, '$', 'array<variant>')))")
-    children = (
-        "flatten(transform({open}, n -> coalesce("
-        "transform(map_entries(n.fields), e -> named_struct('v', e.value, 'unit', CASE WHEN map_contains_key(n.fields, 'unit') "
-        "THEN try_variant_get(try_element_at(n.fields, 'unit'), '$', 'string') ELSE n.unit END, 'key', e.key)), "
-        "transform(n.elements, x -> named_struct('v', x, 'unit', n.unit, 'key', '')), "
-        "CAST(array() AS array<struct<v:variant,unit:string,key:string>>))))")
-    # One generator per level keeps the nested expressions from being repeated by the optimizer.
-    rows, names = evidence, list(evidence.columns)
-    for i in range(depth):
-        rows = rows.selectExpr(*names, f"inline(array(named_struct('_open{i}', {opened.format(items=items)})))")
-        names.append(f"_open{i}")
-        items = children.format(open=f"_open{i}")
-    objects = ", ".join(
-        f"transform(filter(_open{i}, n -> n.fields IS NOT NULL), n -> named_struct('fields', n.fields, 'unit', n.unit))" for i in range(depth))
-    leaves = ", ".join(
-        f"transform(filter(_open{i}, n -> n.fields IS NULL AND n.elements IS NULL), n -> named_struct('v', n.v, 'unit', n.unit, 'key', n.key))"
-        for i in range(depth))
-    return rows.selectExpr(*evidence.columns, f"inline(array(named_struct('objects', concat({objects}), 'leaves', concat({leaves}, {items}))))")
-
-
-def _number(v: Column) -> Column:
-    """The number a scalar holds; text and flags hold none."""
-    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
-                  F.try_variant_get(v, "$", "double"))
-
-
 # Figures.
 
 def is_year(v: Column) -> Column:
@@ -240,15 +208,7 @@ def direction_facts(walked: DataFrame) -> DataFrame:
     """Adds ``facts``: array<struct<value, direction, kind>> the evidence asserts, without
     values it describes both ways; ``transitions`` and ``extremes`` beside them."""
     fact = lambda v, d, k: F.struct(v.alias("value"), d.alias("direction"), F.lit(k).alias("kind"))
-    field = lambda o, name: F.try_element_at(o["fields"], F.lit(name))
-    rows = walked.withColumn("_texts", F.transform(
-        F.filter("leaves", lambda n: F.schema_of_variant(n["v"]) == "STRING"),
-        lambda n: F.struct(F.try_variant_get(n["v"], "$", "string").alias("t"), n["unit"].alias("unit"))))
-    rows = rows.withColumn("_objs", F.transform("objects", lambda o: F.struct(
-        F.lower(F.try_variant_get(field(o, "deviation_type"), "$", "string")).alias("type"),
-        _number(field(o, "value")).alias("value"), _number(field(o, "previous_value")).alias("previous"),
-        F.map_values(F.try_variant_get(field(o, "changes"), "$", "map<string,string>")).alias("changes"))))
-    rows = settled(rows.drop("objects"), "_objs", "_texts")
+    rows = settled(walked.withColumnsRenamed({"objects": "_objs", "texts": "_texts"}), "_objs", "_texts")
     rows = rows.withColumn("_moves", F.flatten(F.transform("_texts", lambda t: _groups(t["t"], V.TRANSITION, 1, 2, 4))))
     rows = rows.withColumn("_sizes", F.flatten(F.transform("_texts", lambda t: _groups(t["t"], V.MAGNITUDE, 1, 2))))
     rows = settled(rows, "_moves", "_sizes")
@@ -272,13 +232,12 @@ def direction_facts(walked: DataFrame) -> DataFrame:
                     lambda o: pair(o["previous"], o["value"])),
         F.filter(F.transform("_moves", lambda m: pair(to_number(m["g2"]), to_number(m["g4"]))),
                  lambda p: p["start"].isNotNull() & p["end"].isNotNull())))
-    keyed = F.transform(F.filter("leaves", lambda n: n["key"].isin(
-        "value", "min_value", "max_value", "median", "lower", "upper") & (n["unit"] == "%")), lambda n: _number(n["v"]))
+    keyed = F.transform(F.filter("figures", lambda n: n["unit"] == "%"), lambda n: n["value"])
     inline = F.flatten(F.transform(F.filter("_texts", lambda t: t["unit"].isNull()), lambda t: F.transform(
         F.regexp_extract_all(t["t"], F.lit(V.INLINE_PERCENT), F.lit(1)), to_number)))
     rows = rows.withColumn("extremes", F.array_sort(F.array_distinct(F.filter(
         F.concat(keyed, inline), lambda v: v.isNotNull() & (F.abs(v) >= EXTREME_PERCENT)))))
-    return settled(rows.drop("leaves", "_objs", "_moves", "_sizes", "_texts", "_facts"), "facts", "transitions", "extremes")
+    return settled(rows.drop("figures", "_objs", "_moves", "_sizes", "_texts", "_facts"), "facts", "transitions", "extremes")
 
 
 def same_figure(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:

@@ -204,9 +204,17 @@ def series_key(models: list[str], country: str = "entity", indicator: str = "ind
         "cascade": F.lit(",".join(models)), "source": F.col("source")})
 
 
+def short_series(facts: DataFrame, keys: list[str], min_obs: int = MIN_OBSERVATIONS) -> DataFrame:
+    """Series with too few readings for a forecast."""
+    return facts.groupBy(*keys).agg(F.count("value").alias("observations")).where(F.col("observations") < min_obs)
+
+
 def refresh_forecasts(inputs: DataFrame, cache: DataFrame, now: Column, models: list[str], ttl_days: int = 30,
-                      run: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fresh cache rows, outcome per series): only series without a live entry are computed."""
+                      run: Callable[[DataFrame], DataFrame] | None = None, short: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fresh cache rows, outcome per series): only series without a live entry are computed.
+
+    ``short`` (see ``short_series``) were considered too and are ``skipped``; ``failed`` are series
+    that every model failed on."""
     keyed = inputs.withColumn("cache_key", series_key(models))
     alive = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("cache_key")
     missing = keyed.join(alive, "cache_key", "left_anti")
@@ -215,9 +223,12 @@ def refresh_forecasts(inputs: DataFrame, cache: DataFrame, now: Column, models:
         "expires_at", now + F.expr(f"INTERVAL {ttl_days} DAYS"))
     held = keyed.join(alive, "cache_key", "left_semi").select("cache_key", F.lit("already_cached").alias("outcome"))
     done = answers.select("cache_key", F.when(F.col("model").isNotNull(), "computed").otherwise("failed").alias("outcome"))
-    return fresh, held.unionAll(done)
+    outcomes = held.unionAll(done)
+    if short is not None:
+        outcomes = outcomes.unionAll(short.select(F.lit(None).cast("string"), F.lit("skipped")))
+    return fresh, outcomes
 
 
 def refresh_summary(outcomes: DataFrame) -> DataFrame:
     is_ = lambda o: F.count_if(F.col("outcome") == o).alias(o)
-    return outcomes.agg(F.count("*").alias("series_considered"), is_("computed"), is_("already_cached"), is_("failed"))
+    return outcomes.agg(F.count("*").alias("series_considered"), is_("computed"), is_("already_cached"), is_("skipped"), is_("failed"))

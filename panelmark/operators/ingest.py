@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelmark.functions.codes import code_or_fallback, is_missing, to_iso3
 from panelmark.functions.periods import parse_period
-from panelmark.session import settled
+from panelmark.session import durable, settled
 from panelmark.sources.reference import GROUPING_ISO2, bounds
 
 NORMALIZATION, VALIDATION, DUPLICATE = "NormalizationError", "ValidationError", "DuplicateRecord"
@@ -148,6 +148,10 @@ def reject_duplicates(judged: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
+#: Columns of a raw record, all kept with a reject.
+RAW = ["entity_raw", "entity_alt", "indicator_raw", "period_raw", "value_raw", "unit_raw", "name_raw"]
+
+
 def classify(raw: DataFrame, rules: Rules, today: dt.date) -> DataFrame:
     """Every raw row with exactly one outcome: accepted, rejected or skipped."""
     return reject_duplicates(judge(raw, rules, today))
@@ -162,7 +166,7 @@ def accepted(classified: DataFrame) -> DataFrame:
 def rejected(classified: DataFrame) -> DataFrame:
     return classified.where("outcome.status = 'rejected'").select(
         "ordinal", "outcome.error_type", "outcome.message",
-        F.struct("entity_raw", "indicator_raw", "period_raw", "value_raw").alias("raw"))
+        F.struct(*[c for c in RAW if c in classified.columns]).alias("raw"))
 
 
 def run_summary(classified: DataFrame, fetch_errors: int = 0) -> DataFrame:
@@ -178,8 +182,17 @@ def run_status(inserted: Column, failed: Column) -> Column:
     return F.when((failed > 0) & (inserted == 0), "failed").when(failed > 0, "partial").otherwise("success")
 
 
+def source_status(sources: DataFrame, summaries: DataFrame) -> DataFrame:
+    """sources(source, configured) with the summary of each one's run and ``has_run``. A source that
+    is not configured is skipped and has no run; one that is, but has no summary, failed."""
+    rows = sources.join(summaries.withColumn("_ran", F.lit(True)), "source", "left")
+    status = F.when(~F.col("configured"), "skipped").otherwise(F.coalesce("status", F.lit("failed")))
+    return rows.withColumn("status", status).withColumn("has_run", F.col("configured") & F.col("_ran").isNotNull()).drop("_ran", "configured")
+
+
 def ingest_batch(raw: DataFrame, rules: Rules, today: dt.date, fetch_errors: int = 0):
-    """(accepted, rejected, skipped, run summary) of one batch."""
-    rows = classify(raw, rules, today)
+    """(accepted, rejected, skipped, run summary) of one batch, classified once: the rows are
+    checkpointed in the shared folder, and all four read them from there."""
+    rows = durable(classify(raw, rules, today))
     return (accepted(rows), rejected(rows), rows.where("outcome.status = 'skipped'").select("ordinal"),
             run_summary(rows, fetch_errors))

@@ -107,19 +107,21 @@ def described_anomalies(anomalies: DataFrame, catalog: DataFrame, countries: Dat
     ).join(countries.select("entity", "entity_name"), "entity", "left")
 
 
-def newest_anomalies(anomalies: DataFrame, limit: int = 100, entity=None, indicator_code=None) -> DataFrame:
+def newest_anomalies(anomalies: DataFrame, limit: int = 100, entity=None, indicator_code=None, ceiling: int = 500) -> DataFrame:
+    """The newest ``limit``; requests are held to ``ceiling``, which a caller may raise."""
     rows = anomalies
     if entity:
         rows = rows.where(F.col("entity") == entity)
     if indicator_code:
         rows = rows.where(F.col("indicator_code") == indicator_code)
-    return rows.orderBy(F.col("date").desc(), "entity", "indicator_code", "source").limit(max(1, min(limit, 500)))
+    return rows.orderBy(F.col("date").desc(), "entity", "indicator_code", "source").limit(max(1, min(limit, ceiling)))
 
 
-def notable_anomalies(anomalies: DataFrame, limit: int = 10) -> DataFrame:
+def notable_anomalies(anomalies: DataFrame, limit: int = 10, ceiling: int | None = None) -> DataFrame:
+    """The ``limit`` most severe; a service that answers requests sets a ``ceiling``."""
     return anomalies.orderBy(
         F.col("z_score").isNull(), F.abs("z_score").desc(), F.col("date").desc(), "entity", "indicator_code", "source"
-    ).limit(max(1, min(limit, 10)))
+    ).limit(max(1, limit if ceiling is None else min(limit, ceiling)))
 
 
 def severe_feed(anomalies: DataFrame, keys: list[str] | None = None, limit: int = 9) -> DataFrame:

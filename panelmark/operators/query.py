@@ -13,46 +13,42 @@ CONTEXT_ANOMALIES = 6
 WINDOW_POINTS = 12
 
 
-def series_arrays(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per series with its dated points in order; a series holds one row per
-    date and source, so the array is bounded by the calendar. Sources are told apart
-    by name where a code has two."""
-    keys = keys or SERIES
-    points = F.array_sort(F.collect_list(F.struct("date", "value", "source")))
-    return facts.where(F.col("value").isNotNull()).groupBy(*keys).agg(points.alias("points"))
-
-
 def query_observations(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """requests(request_id, entity, indicator_code, start, end, latest_only, limit).
 
     One row per request: newest points first, whether more exist, the coverage of the
     whole series, and the outcome: rows, none in the requested window, or no series.
-    A request reads its series' array once, so a popular series costs one small build
-    row rather than a product of requests and observations.
+
+    Requests of one shape (series, window, limit) share one slice. Facts of series nobody
+    asked for are dropped first, the window is a condition of the join, and a slice
+    gathers ``limit + 1`` points at most; coverage is an aggregate.
     """
-    windowed = F.col("start").isNotNull() | F.col("end").isNotNull()
-    only_latest = F.col("latest_only") & ~windowed
-    inside = F.filter(
-        "points",
-        lambda p: (F.col("start").isNull() | (p["date"] >= F.col("start")))
-        & (F.col("end").isNull() | (p["date"] <= F.col("end"))),
-    )
-    newest_first = F.reverse(F.coalesce(inside, F.array().cast("array<struct<date:date,value:double,source:string>>")))
-    out = (
-        requests.join(series_arrays(facts), SERIES, "left")
-        .withColumn("_take", F.when(only_latest, F.lit(1)).otherwise(F.col("limit") + 1))
-        .withColumn("_found", F.slice(newest_first, F.lit(1), F.col("_take").cast("int")))
+    shape = [*SERIES, "start", "end", "latest_only", "limit"]
+    marked = requests.withColumn("_shape", F.to_json(F.struct(*shape), {"ignoreNullFields": "false"}))
+    shapes = marked.select("_shape", *shape).distinct()
+    asked = facts.where(F.col("value").isNotNull()).join(shapes.select(*SERIES).distinct(), SERIES, "left_semi")
+    coverage = asked.groupBy(*SERIES).agg(
+        F.count("*").alias("series_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    only_latest = F.col("latest_only") & F.col("start").isNull() & F.col("end").isNull()
+    inside = (F.col("start").isNull() | (F.col("date") >= F.col("start"))) & (F.col("end").isNull() | (F.col("date") <= F.col("end")))
+    newest_first = Window.partitionBy("_shape").orderBy(F.col("date").desc(), F.col("value").desc(), F.col("source").desc())
+    held = asked.join(shapes, SERIES).where(inside).withColumn("_n", F.row_number().over(newest_first))
+    held = held.where(F.col("_n") <= F.when(only_latest, F.lit(1)).otherwise(F.col("limit") + 1))
+    slices = held.groupBy("_shape").agg(F.array_sort(F.collect_list(F.struct("_n", "date", "value", "source"))).alias("_found"))
+    none = F.array().cast("array<struct<_n:int,date:date,value:double,source:string>>")
+    return (
+        marked.join(coverage, SERIES, "left").join(slices, "_shape", "left")
+        .withColumn("_found", F.coalesce("_found", none))
+        .withColumn("series_count", F.coalesce("series_count", F.lit(0)))
         .withColumn("truncated", ~only_latest & (F.size("_found") > F.col("limit")))
-        .withColumn("observations", F.slice("_found", F.lit(1), F.col("limit").cast("int")))
-        .withColumn("series_count", F.coalesce(F.size("points"), F.lit(0)))
-        .withColumn("first_date", F.get("points", F.lit(0))["date"])
-        .withColumn("last_date", F.get("points", F.col("series_count") - 1)["date"])
+        .withColumn("observations", F.transform(F.slice("_found", F.lit(1), F.col("limit").cast("int")), lambda p: F.struct(
+            p["date"].alias("date"), p["value"].alias("value"), p["source"].alias("source"))))
         .withColumn(
             "outcome",
             F.when(F.size("observations") > 0, "rows").when(F.col("series_count") > 0, "none_in_window").otherwise("no_series"),
         )
+        .drop("_shape", "_found")
     )
-    return out.drop("points", "_take", "_found")
 
 
 def changes(facts: DataFrame, keys: list[str] | None = None, lags: tuple[int, ...] = (1, 5)) -> DataFrame:
@@ -87,35 +83,41 @@ def anomaly_moves(anomalies: DataFrame, facts: DataFrame, keys: list[str]) -> Da
 
 
 def anomaly_windows(anomalies: DataFrame, facts: DataFrame, keys: list[str], span: int = WINDOW_POINTS) -> DataFrame:
-    """``span`` points around each anomaly; an unknown date takes the last ``span``."""
-    at = F.array_position(F.transform("points", lambda p: p["date"]), F.col("anomaly_date"))
-    start = F.when(at > 0, F.greatest(at - span // 2, F.lit(1))).otherwise(
-        F.greatest(F.size("points") - span + 1, F.lit(1)))
-    return (
-        anomalies.select(*keys, F.col("date").alias("anomaly_date"))
-        .join(series_arrays(facts, keys), keys)
-        .withColumn("window", F.slice("points", start.cast("int"), F.lit(span)))
-        .drop("points")
-    )
+    """``span`` points around each anomaly; an unknown date takes the last ``span``.
+
+    Each row sees its neighbours through one ordered window; the frame reaches far enough
+    back that the first ``span`` points of a series can be cut from it, too."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    half = span // 2
+    point = F.struct("date", "value", "source")
+    rows = facts.where(F.col("value").isNotNull()).select(
+        *keys, F.col("date").alias("anomaly_date"), F.row_number().over(w).alias("_at"),
+        F.collect_list(point).over(w.rowsBetween(-half, span - 1)).alias("_near"))
+    # up to ``half`` points stand before the row: the window begins with the first of them
+    around = rows.select(*keys, "anomaly_date", F.slice("_near", F.lit(1), F.lit(span)).alias("window"))
+    asked = anomalies.select(*keys, F.col("date").alias("anomaly_date"))
+    known = asked.join(around, [*keys, "anomaly_date"], "left")
+    strange = known.where(F.col("window").isNull()).drop("window")
+    last = recent(facts.join(strange.select(*keys).distinct(), keys, "left_semi"), span, keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(point)).alias("window"))
+    return known.where(F.col("window").isNotNull()).unionByName(strange.join(last, keys))
 
 
 def series_context(facts: DataFrame, anomalies: DataFrame, catalog: DataFrame, countries: DataFrame,
                    keys: list[str]) -> DataFrame:
     """Everything a reader needs about one series as one row: latest, six recent
     points, extremes, changes and its six newest anomalies."""
-    points = series_arrays(facts, keys)
-    rounded = F.transform(F.slice("points", -RECENT_POINTS, RECENT_POINTS),
-                          lambda p: F.struct(p["date"].alias("date"), fmt(p["value"]).alias("value")))
-    short = F.transform("points", lambda p: F.struct(p["date"].alias("date"), fmt(p["value"]).alias("value")))
-    lowest = F.array_min(F.transform("points", lambda p: F.struct(p["value"], p["date"])))
-    highest = F.array_min(F.transform("points", lambda p: F.struct((-p["value"]).alias("v"), p["date"])))
-    base = points.select(
-        *keys, F.size("points").alias("observation_count"), F.col("points")[0]["date"].alias("first_date"),
-        F.element_at("points", -1)["date"].alias("last_date"),
-        fmt(F.element_at("points", -1)["value"]).alias("latest_value"),
-        F.when(F.size("points") >= RECENT_POINTS, rounded).otherwise(short).alias("recent"),
-        fmt(lowest["value"]).alias("min_value"), lowest["date"].alias("min_date"),
-        fmt(-highest["v"]).alias("max_value"), highest["date"].alias("max_date"),
+    held = facts.where(F.col("value").isNotNull())
+    tail = recent(facts, RECENT_POINTS, keys).groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("date", "value"))), lambda p: F.struct(p["date"].alias("date"), fmt(p["value"]).alias("value"))
+    ).alias("recent"))
+    whole = held.groupBy(*keys).agg(
+        F.count("*").alias("observation_count"), F.min("date").alias("first_date"), F.max(F.struct("date", "value")).alias("_last"),
+        F.min(F.struct("value", "date")).alias("_low"), F.min(F.struct((-F.col("value")).alias("v"), "date")).alias("_high"))
+    base = whole.join(tail, keys).select(
+        *keys, "observation_count", "first_date", F.col("_last.date").alias("last_date"), fmt(F.col("_last.value")).alias("latest_value"), "recent",
+        fmt(F.col("_low.value")).alias("min_value"), F.col("_low.date").alias("min_date"),
+        fmt(-F.col("_high.v")).alias("max_value"), F.col("_high.date").alias("max_date"),
     )
     change_rows = changes(facts, keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("periods", "from_date", "text"))).alias("changes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmark.operators.latest import newest
-from panelmark.session import durable
+from panelmark.session import durable, exists
 
 NATURAL_KEY = ["source", "indicator_code", "entity", "date"]
 
@@ -24,11 +24,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order_by: str | None
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
     """Facts by source and year. Rows of one partition are sorted so that a reader of
-    one indicator skips row groups; a hot partition is split by entity, not one task."""
+    one indicator skips row groups; rebalancing splits a large partition into files of the
+    advised size and leaves a small one whole."""
+    rows = df.sparkSession.sql("SELECT /*+ REBALANCE(source, year) */ * FROM {rows}", rows=df.withColumn("year", F.year("date")))
     (
-        df.withColumn("year", F.year("date"))
-        .repartition("source", "year", F.pmod(F.xxhash64("entity"), F.lit(16)))
-        .sortWithinPartitions("source", "year", "indicator_code", "entity", "date")
+        rows.sortWithinPartitions("source", "year", "indicator_code", "entity", "date")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source", "year").parquet(path)
     )
 
@@ -36,9 +36,12 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
 def upsert_observations(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Merge a batch into the stored facts, rewriting only the partitions it touches.
 
-    The merged partitions are checkpointed before the overwrite: the write then never
+    A first batch is written as it is. The merged partitions are checkpointed before the overwrite: the write then never
     depends on files it is replacing, also when a lost executor forces a re-run.
     """
+    if not exists(spark, path):
+        write_partitioned(newest(new, NATURAL_KEY, [F.lit(0)]), path)
+        return
     touched = new.select("source", F.year("date").alias("year")).distinct()
     stored = spark.read.option("basePath", path).parquet(path)
     old = stored.join(touched, ["source", "year"], "left_semi").drop("year")
@@ -77,10 +80,11 @@ def error_rows(rejects: DataFrame, run_id: str, raw: str = "raw") -> DataFrame:
 
 
 def fetch_error_rows(files: DataFrame, run_id: str) -> DataFrame:
-    """files(context, error): one ledger row per part of a fetch that failed."""
+    """files(context, error[, kind]): one ledger row per part of a fetch that failed, with the kind of its failure."""
+    kind = F.col("kind") if "kind" in files.columns else F.lit(None).cast("string")
     return files.where("error IS NOT NULL").select(
         F.lit(run_id).alias("run_id"), F.to_json(F.struct(F.col("context").alias("fetch_context"))).alias("raw_record"),
-        F.lit("SourceError").alias("error_type"), F.col("error").alias("message"))
+        F.coalesce(kind, F.lit("SourceError")).alias("error_type"), F.col("error").alias("message"))
 
 
 def require_some(files: DataFrame) -> DataFrame:

@@ -170,16 +170,21 @@ def _(spark, d):
     return inputs(spark, d).select(*KEYS, P.series_key(["drift", "seasonal_naive"]).alias("cache_key"))
 
 
-@query("F-11_refresh", BASE + """SELECT count(*) AS series_considered, count(*) FILTER (entity > 'NAJ' OR entity < 'NAD') AS computed,
-  count(*) FILTER (entity BETWEEN 'NAD' AND 'NAJ') AS already_cached, 0 AS failed FROM inp""")
+CUT = "(entity > 'NAD' OR date >= DATE '2001-01-01')"
+
+
+@query("F-11_refresh", S.with_(S.FACTS, INPUTS.replace("FROM facts WHERE value IS NOT NULL)", f"FROM facts WHERE value IS NOT NULL AND {CUT})")) + f"""
+, short AS (SELECT source, indicator_code, entity FROM facts WHERE {CUT} GROUP BY ALL HAVING count(value) < 16)
+SELECT count(*) + (SELECT count(*) FROM short) AS series_considered, count(*) FILTER (entity > 'NAJ' OR entity < 'NAG') AS computed,
+  count(*) FILTER (entity BETWEEN 'NAG' AND 'NAJ') AS already_cached, (SELECT count(*) FROM short) AS skipped, 0 AS failed FROM inp""")
 def _(spark, d):
     models = ["drift", "seasonal_naive"]
-    rows = inputs(spark, d)
+    facts = with_frequency(spark, d).where(CUT)
+    rows = P.series_inputs(facts, KEYS)
     at = F.lit(dt.datetime(2001, 9, 1)).cast("timestamp")
     held = rows.where("entity <= 'NAJ'").withColumn("cache_key", P.series_key(models)).select(
-        "cache_key", F.when(F.col("entity") < "NAD", F.lit(dt.datetime(2001, 8, 1)).cast("timestamp")).alias("expires_at"))
-    held = held.withColumn("expires_at", F.when(F.col("expires_at").isNotNull(), F.col("expires_at")))
-    _fresh, outcomes = P.refresh_forecasts(rows, held, at, models)
+        "cache_key", F.when(F.col("entity") < "NAG", F.lit(dt.datetime(2001, 8, 1)).cast("timestamp")).alias("expires_at"))
+    _fresh, outcomes = P.refresh_forecasts(rows, held, at, models, short=P.short_series(facts, KEYS))
     return P.refresh_summary(outcomes)
 
 

@@ -381,10 +381,15 @@ def _(spark, d):
 
 
 @query("V-7_run_status", classify_sql("paged") + """
-SELECT count(*) AS fetched, count(*) FILTER (outcome = 'accepted') AS inserted,
-  count(*) FILTER (outcome NOT IN ('accepted', 'skipped')) + 1 AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, 'partial' AS status FROM classified""")
+, n AS (SELECT count(*) AS fetched, count(*) FILTER (outcome = 'accepted') AS inserted,
+  count(*) FILTER (outcome NOT IN ('accepted', 'skipped')) + 1 AS failed, count(*) FILTER (outcome = 'skipped') AS skipped FROM classified)
+SELECT 'raw_paged' AS source, *, CASE WHEN failed > 0 AND inserted = 0 THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'success' END AS status, true AS has_run FROM n
+UNION ALL SELECT 'raw_keyed', NULL, NULL, NULL, NULL, 'skipped', false
+UNION ALL SELECT 'raw_lost', NULL, NULL, NULL, NULL, 'failed', false""")
 def _(spark, d):
-    return I.run_summary(classified(spark, d, "paged"), fetch_errors=1)
+    ran = I.run_summary(classified(spark, d, "paged"), fetch_errors=1).withColumn("source", F.lit("raw_paged"))
+    sources = constant(spark, "source string, configured boolean", [("raw_paged", True), ("raw_keyed", False), ("raw_lost", True)])
+    return I.source_status(sources, ran)
 
 
 @query("V-8_validated", classify_sql("sdmx") + ACCEPTED.replace(" FROM", ", true AS is_validated FROM"))
@@ -427,10 +432,11 @@ def _(spark, d):
 
 
 @query("K-3_error_ledger", classify_sql("paged") + """
-SELECT 'run-1' AS run_id, outcome AS error_type, entity_raw, period_raw, value_raw FROM classified WHERE outcome NOT IN ('accepted', 'skipped')""")
+SELECT 'run-1' AS run_id, outcome AS error_type, entity_raw, entity_alt, indicator_raw, period_raw, value_raw, unit_raw, name_raw
+FROM classified WHERE outcome NOT IN ('accepted', 'skipped')""")
 def _(spark, d):
     ledger = K.error_rows(I.rejected(classified(spark, d, "paged")), "run-1")
-    raw = F.from_json("raw_record", "entity_raw string, period_raw string, value_raw string")
+    raw = F.from_json("raw_record", ", ".join(f"{c} string" for c in I.RAW))
     return ledger.select("run_id", "error_type", raw.alias("r")).select("run_id", "error_type", "r.*")
 
 
@@ -606,18 +612,37 @@ def _(spark, d):
     return dims["countries"].select("entity", "entity_name", "region")
 
 
-@query("S-8_most_recent", f"""WITH b AS ({W.BASE}), r AS (SELECT {W.ISO3} AS entity_raw, 'R' || CAST(id % 7 AS VARCHAR) AS indicator_raw, CAST(d AS VARCHAR) || '#' || lpad(CAST(id AS VARCHAR), 12, '0') AS period_raw, v AS value_raw FROM b)
-SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY entity_raw, indicator_raw ORDER BY period_raw DESC) <= 3""")
+# One series a nation and spelling; several rows of a period count once.
+SPELT = ("CASE id % 5 WHEN 0 THEN y || 'M' || m WHEN 1 THEN y || 'Q' || q WHEN 2 THEN y WHEN 3 THEN y || '-' || mm ELSE CAST(d AS STRING) END")
+PART = "CASE id % 5 WHEN 1 THEN 'quarter' WHEN 2 THEN 'year' WHEN 4 THEN 'day' ELSE 'month' END"
+SPELT_ROWS = f"""WITH b AS ({W.BASE}), r AS (SELECT {W.ISO3} AS entity_raw, 'R' || CAST(id % 5 AS VARCHAR) AS indicator_raw, {SPELT} AS period_raw,
+  CAST(date_trunc({PART}, d) AS DATE) AS day, v AS value_raw FROM b),
+s AS (SELECT entity_raw, indicator_raw, period_raw, day, max(value_raw) AS value_raw FROM r GROUP BY ALL)
+"""
+
+
+def spelt_rows(spark, d):
+    rows = W.base_rows(spark, d).selectExpr(f"{W.ISO3} AS entity_raw", "'R' || CAST(id % 5 AS STRING) AS indicator_raw", f"{SPELT} AS period_raw", "v AS value_raw")
+    return rows.groupBy("entity_raw", "indicator_raw", "period_raw").agg(F.max("value_raw").alias("value_raw"))
+
+
+@query("S-8_most_recent", SPELT_ROWS + """SELECT entity_raw, indicator_raw, period_raw, value_raw FROM s
+QUALIFY row_number() OVER (PARTITION BY entity_raw, indicator_raw ORDER BY day DESC) <= 3""")
 def _(spark, d):
-    rows = W.base_rows(spark, d).selectExpr(
-        f"{W.ISO3} AS entity_raw", "'R' || CAST(id % 7 AS STRING) AS indicator_raw",
-        "CAST(d AS STRING) || '#' || lpad(CAST(id AS STRING), 12, '0') AS period_raw", "v AS value_raw")
-    return Y.slice_rows(rows, ["entity_raw", "indicator_raw"], mrv=3, start="1999")
+    return Y.slice_rows(spelt_rows(spark, d), ["entity_raw", "indicator_raw"], mrv=3, start="1999")
 
 
-@query("S-9_partial_fetch", """SELECT 'run-3' AS run_id, 'SourceError' AS error_type, 'timeout' AS message, '{"fetch_context":"' || n_name || '"}' AS raw_record
-FROM nation WHERE n_nationkey % 5 = 0""")
+@query("S-8_range", SPELT_ROWS + """SELECT entity_raw, indicator_raw, period_raw, value_raw FROM s WHERE day BETWEEN DATE '1999-04-01' AND DATE '2000-12-31'""")
 def _(spark, d):
-    files = A.table(spark, d, "nation").select(
-        F.col("n_name").alias("context"), F.when(F.col("n_nationkey") % 5 == 0, F.lit("timeout")).alias("error"))
-    return K.fetch_error_rows(K.require_some(files), "run-3")
+    return Y.slice_rows(spelt_rows(spark, d), ["entity_raw", "indicator_raw"], start="1999Q2", end="2000")
+
+
+@query("S-9_partial_fetch", """SELECT 'run-3' AS run_id, CASE n_nationkey % 5 WHEN 0 THEN 'SourceError' ELSE 'PayloadError' END AS error_type,
+  CASE n_nationkey % 5 WHEN 0 THEN 'no answer' ELSE 'not a JSON document' END AS message, '{"fetch_context":"' || n_name || '"}' AS raw_record
+FROM nation WHERE n_nationkey % 5 IN (0, 1)""")
+def _(spark, d):
+    path = fresh_dir(spark, "fetched")
+    body = F.when(F.col("n_nationkey") % 5 == 0, F.lit(" ")).when(F.col("n_nationkey") % 5 == 1, F.lit("<html>busy")).otherwise(
+        F.to_json(F.struct("n_nationkey", "n_name")))
+    A.table(spark, d, "nation").select(F.col("n_name").alias("context"), body.alias("value")).write.partitionBy("context").text(path)
+    return K.fetch_error_rows(K.require_some(Y.fetched_parts(spark, path)), "run-3")

@@ -85,9 +85,9 @@ def _(spark, d):
         "entity", "indicator_code", "date", "value", "recency_dropped", "rank")
 
 
-@query("J-1_observations", S.with_(S.FACTS, S.CATALOG, S.SOURCES, S.PROFILES, S.OBSERVATIONS) + "SELECT * FROM obs")
+@query("J-1_observations", S.with_(S.FACTS, S.CATALOG, S.SOURCES, S.PROFILES_SOME, S.OBSERVATIONS) + "SELECT * FROM obs")
 def _(spark, d):
-    return L.describe(*base(spark, d))
+    return L.describe(*base(spark, d)[:3], A.profiles(spark, d, missing="NAY"))
 
 
 @query("J-2_latest_described", S.with_(S.FACTS, S.LATEST, S.CATALOG, S.SOURCES, S.PROFILES) + """

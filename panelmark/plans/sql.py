@@ -51,7 +51,9 @@ PROFILES = f"""
 profiles AS (SELECT {code('n_nationkey')} AS entity,
     chr(65 + CAST(floor(n_nationkey / 26) AS INT)) || chr(65 + n_nationkey % 26) AS iso2,
     n_name AS entity_name, r_name AS region, n_nationkey
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE {code('n_nationkey')} <> 'NAY')"""
+  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+#: The same without one economy.
+PROFILES_SOME = PROFILES[:-1] + f" WHERE {code('n_nationkey')} <> 'NAY')"
 
 _CATALOG_COLUMNS = [part.strip().split(" ")[0] for part in reference.CATALOG_SCHEMA.split(",")]
 CATALOG = values("catalog", _CATALOG_COLUMNS, reference.CATALOG_ROWS)

@@ -116,7 +116,7 @@ def _(spark, d):
 FACTS_SQL = f"""
 lev AS (SELECT id, CAST(x AS DOUBLE) AS value, CASE {B.KIND} WHEN 'spike' THEN 'rise' WHEN 'drop' THEN 'fall' END AS direction, 'level' AS kind FROM base),
 raw_facts AS (SELECT * FROM lev WHERE direction IS NOT NULL UNION ALL SELECT id, CAST(c AS DOUBLE), 'rise', 'change' FROM base WHERE c > 0
-  UNION ALL SELECT id, 70.8, 'fall', 'level' FROM base WHERE id % 4 = 0 UNION ALL SELECT id, 15335.2, 'fall', 'change' FROM base WHERE id % 4 = 0),
+  UNION ALL SELECT id, 64.5, 'fall', 'level' FROM base WHERE id % 4 = 0 UNION ALL SELECT id, 18146.5, 'fall', 'change' FROM base WHERE id % 4 = 0),
 dfacts AS (SELECT DISTINCT id AS answer_id, value, direction, kind FROM raw_facts f WHERE (SELECT count(DISTINCT direction) FROM raw_facts g WHERE g.id = f.id AND g.kind = f.kind AND round(g.value, 6) = round(f.value, 6)) = 1)"""
 
 
@@ -127,7 +127,7 @@ def _(spark, d):
 
 
 @query("TX-8_transitions", S.with_(BASE) + """SELECT id AS answer_id, CAST(p AS DOUBLE) AS start_value, CAST(x AS DOUBLE) AS end_value FROM base
-UNION ALL SELECT id, 15406.0, 70.8 FROM base WHERE id % 4 = 0""")
+UNION ALL SELECT id, 18211.0, 64.5 FROM base WHERE id % 4 = 0""")
 def _(spark, d):
     rows = T.direction_facts(T.walk(B.evidence(spark, d))).select("answer_id", F.explode("transitions").alias("t"))
     return rows.select("answer_id", F.col("t.start").alias("start_value"), F.col("t.end").alias("end_value"))
@@ -135,7 +135,7 @@ def _(spark, d):
 
 EXTREMES = """
 ext AS (SELECT DISTINCT id AS answer_id, value FROM (SELECT id, CAST(x AS DOUBLE) AS value FROM base WHERE id % 3 = 0 UNION ALL SELECT id, CAST(p AS DOUBLE) FROM base WHERE id % 3 = 0
-  UNION ALL SELECT id, 15406.0 FROM base WHERE id % 4 = 0) WHERE abs(value) >= 1000)"""
+  UNION ALL SELECT id, 18211.0 FROM base WHERE id % 4 = 0) WHERE abs(value) >= 1000)"""
 
 
 @query("TX-9_extremes", S.with_(BASE, EXTREMES) + "SELECT * FROM ext")
@@ -167,7 +167,7 @@ r2 AS (SELECT DISTINCT answer_id, lit FROM chgs c WHERE w IN ({word_list(V.CHANG
   AND NOT EXISTS (SELECT 1 FROM dfacts f WHERE f.answer_id = c.answer_id AND kind = 'change' AND {same('abs(' + VAL.format(t='lit') + ')', 'f.value')})
   AND EXISTS (SELECT 1 FROM dfacts f WHERE f.answer_id = c.answer_id AND kind = 'level' AND {same('abs(' + VAL.format(t='lit') + ')', 'f.value')})),
 tr AS (SELECT id AS answer_id, CAST(p AS DOUBLE) AS a, CAST(x AS DOUBLE) AS b FROM base UNION ALL SELECT id, CAST(x AS DOUBLE), CAST(p AS DOUBLE) FROM base
-  UNION ALL SELECT id, 15406.0, 70.8 FROM base WHERE id % 4 = 0 UNION ALL SELECT id, 70.8, 15406.0 FROM base WHERE id % 4 = 0),
+  UNION ALL SELECT id, 18211.0, 64.5 FROM base WHERE id % 4 = 0 UNION ALL SELECT id, 64.5, 18211.0 FROM base WHERE id % 4 = 0),
 ln0 AS (SELECT answer_id, no, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT answer_id, no, {lits('sentence')} AS l FROM sl
   WHERE NOT regexp_matches(lower(sentence), '{'|'.join(V.QUALIFIERS)}'))),
 ln AS (SELECT answer_id, no, j, l[j] AS lit, {VAL.format(t='l[j]')} AS v FROM ln0),

@@ -41,6 +41,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that two readers of ``df`` see the same rows."""
     spark = df.sparkSession

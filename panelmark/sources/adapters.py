@@ -81,8 +81,8 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def profiles(spark: SparkSession, sf_dir: str, missing: str = "NAY") -> DataFrame:
-    """Country dimension. One economy is left out, as some are in the real registry."""
+def profiles(spark: SparkSession, sf_dir: str, missing: str | None = None) -> DataFrame:
+    """Country dimension; ``missing`` names an economy without a profile, as the real registry has some."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     return (
@@ -92,5 +92,5 @@ def profiles(spark: SparkSession, sf_dir: str, missing: str = "NAY") -> DataFram
             ISO2.format(k="n_nationkey") + " AS iso2",
             "n_name AS entity_name", "r_name AS region", "n_nationkey",
         )
-        .where(F.col("entity") != missing)
+        .where(F.lit(True) if missing is None else F.col("entity") != missing)
     )

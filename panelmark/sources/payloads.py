@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmark.functions.codes import income_group
+from panelmark.functions.periods import parse_period, period_end
 from panelmark.sources.reference import KEYED_SERIES, MONITOR_INDICATORS
 from panelmark.session import constant, settled
 
@@ -71,11 +72,9 @@ def read_sdmx_csv(spark: SparkSession, path: str, columns: list[str], **slices)
         .option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
         .withColumn("_file", F.col("_metadata.file_path"))
     )
-    bad = (
-        _texts(spark, path)
-        .where(F.regexp_replace("payload", r"^[﻿\s]+", "").startswith("<"))
-        .select(F.col("file").alias("_file"))
-    )
+    # the first record of an error document begins with its first tag; marked rows are few
+    first = F.regexp_replace(F.col(columns[0]), r"^[\uFEFF\s]+", "").startswith("<")
+    bad = rows.where(first).select("_file").distinct()
     kept = rows.join(bad, "_file", "left_anti").drop("_file")
     return kept.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
@@ -145,19 +144,38 @@ def parse_area_index(payloads: DataFrame, payload: str = "payload") -> DataFrame
 def slice_rows(rows: DataFrame, series: list[str], mrv: int | None = None, start: str | None = None,
                end: str | None = None, max_year: int | None = None, indicators: list[str] | None = None,
                period: str = "period_raw") -> DataFrame:
-    """Read-time slices. The most recent N values per series beat a period range."""
+    """Read-time slices. The most recent N values per series beat a period range.
+
+    Periods are compared as the days they begin on, however they are spelt; ``end``
+    takes in whole periods, so '2001' ends with that year. Unreadable periods come last
+    among the most recent and lie in no range.
+    """
     out = rows if indicators is None else rows.where(F.col("indicator_raw").isin(indicators))
+    out = out.withColumn("_day", parse_period(F.col(period))["date"])
     if max_year is not None:
         out = out.where(F.substr(period, F.lit(1), F.lit(4)).try_cast("int") <= max_year)
     if mrv is not None:
-        w = Window.partitionBy(*series).orderBy(F.col(period).desc())
+        w = Window.partitionBy(*series).orderBy(F.col("_day").desc_nulls_last(), F.col(period).desc())
         held = out.where(F.col("value_raw").isNotNull())
-        return held.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= mrv).drop("_n")
+        return held.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= mrv).drop("_n", "_day")
     if start is not None:
-        out = out.where(F.col(period) >= start)
+        out = out.where(F.col("_day") >= parse_period(F.lit(start))["date"])
     if end is not None:
-        out = out.where(F.col(period) <= end)
-    return out
+        out = out.where(F.col("_day") <= period_end(F.lit(end)))
+    return out.drop("_day")
+
+
+def fetched_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(context, payload, kind, error): files below ``path/context=.../`` with what failed in each.
+
+    An empty file failed to arrive, one that is no JSON arrived damaged; both leave the
+    other parts as they are."""
+    text = spark.read.option("wholetext", True).schema("value string, context string").text(path)
+    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
+    damaged = F.try_parse_json("value").isNull()
+    return text.select(
+        "context", F.col("value").alias("payload"), F.when(blank, "SourceError").when(damaged, "PayloadError").alias("kind"),
+        F.when(blank, "no answer").when(damaged, "not a JSON document").alias("error"))
 
 
 def display_names(rows: DataFrame, registry: DataFrame, order: str) -> DataFrame:

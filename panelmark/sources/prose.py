@@ -19,13 +19,13 @@ _X, _P, _C, _D = ("CAST(x AS STRING)", "CAST(p AS STRING)", "CAST(c AS STRING)",
 _Y = "CAST(year(d) AS STRING)"
 UNIT = "CASE WHEN id % 3 = 0 THEN '%' ELSE 'US$' END"
 KIND = "CASE id % 5 WHEN 0 THEN 'spike' WHEN 1 THEN 'drop' WHEN 2 THEN 'spike' WHEN 3 THEN 'structural_break' ELSE 'drop' END"
-NOTE = "CASE WHEN id % 4 = 0 THEN 'The rate fell from 15406.0% in 1994-06-01 to 70.8% later, a fall of 15335.2 points.' ELSE 'Measured \"as is\" in 12 steps.' END"
-PAYLOAD = (
-    "'{\"tool_results\":[{\"tool\":\"query\",\"ok\":true,\"payload\":{\"entity\":\"C1\",\"unit\":\"' || " + UNIT + " || '\",\"latest\":{\"date\":\"' || " + _D
+NOTE = "CASE WHEN id % 4 = 0 THEN 'Fares per mile fell from 18211.0% in 1989-03-01 to 64.5% later, a fall of 18146.5 points.' ELSE 'Measured \"as is\" in 12 steps.' END"
+PAYLOAD = (  # up to twelve objects around what a tool gave
+    "repeat('{\"within\":', CAST(id % 13 AS INT)) || '{\"tool_results\":[{\"tool\":\"query\",\"ok\":true,\"payload\":{\"entity\":\"C1\",\"unit\":\"' || " + UNIT + " || '\",\"latest\":{\"date\":\"' || " + _D
     + " || '\",\"value\":' || " + _X + " || '},\"changes\":{\"change over 5 periods\":\"+' || " + _C + " || '\"},\"anomalies\":[{\"date\":\"' || " + _D
     + " || '\",\"value\":' || " + _X + " || ',\"deviation_type\":\"' || " + KIND + " || '\",\"previous_value\":' || " + _P
     + " || '}],\"extremes\":{\"min_value\":' || " + _P + " || ',\"max_value\":' || " + _X + " || '},\"observation_count\":' || CAST(n AS STRING)"
-    " || '}},{\"tool\":\"note\",\"ok\":false,\"payload\":{\"note\":\"' || replace(" + NOTE + ", '\"', '\\\\\"') || '\"}}]}'")
+    " || '}},{\"tool\":\"note\",\"ok\":false,\"payload\":{\"note\":\"' || replace(" + NOTE + ", '\"', '\\\\\"') || '\"}}]}' || repeat('}', CAST(id % 13 AS INT))")
 
 TEMPLATES = [
     f"'The value reached ' || {_X} || ' in ' || {_Y} || '.'",
@@ -36,10 +36,10 @@ TEMPLATES = [
     f"{_X} || ' is roughly double the ' || {_P} || ' seen before.'",
     f"'A drop of ' || {_X} || ' was seen.' || chr(10) || 'A rise of ' || {_C} || ' too.'",
     f"'In the second half of ' || {_Y} || ' it was ' || {_X} || '!'",
-    "'It climbed to 70.8 in 1994. It dropped to 70.8% later.'",
-    "'The peak of 15,406% was extraordinary. The 1990s ended.'",
-    "'A high of 15,406% was seen in 12 steps.'",
-    "'From 15406% it fell to 70.8%.'",
+    "'It climbed to 64.5 in 1989. It dropped to 64.5% later.'",
+    "'The peak of 18,211% was extraordinary. The 1990s ended.'",
+    "'A high of 18,211% was seen in 12 steps.'",
+    "'From 18211% it fell to 64.5%.'",
     f"'It is ' || CAST(CAST(floor(x / 1000) AS BIGINT) AS STRING) || ' thousand, or ' || CAST(CAST(round(x) AS BIGINT) AS STRING) || '.'",
     f"'Only half of that, ' || {_P} || '.'",
     f"'No country in the world has a higher figure than ' || {_X} || ' [1] [7].'",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelmark.operators import ingest as I
 from panelmark.operators import sinks as K
 from panelmark.operators.latest import newest
+from panelmark.session import exists
 
 NATURAL = ["entity", "indicator_code", "date"]
 
@@ -58,31 +59,30 @@ def read_facts(spark: SparkSession, tables: str) -> DataFrame:
     return newest(spark.read.parquet(f"{tables}/facts"), ["source", *NATURAL], [-F.col("batch_id")])
 
 
-def stream_first_wins(rows: DataFrame, tables: str, keys: list[str], order: str) -> None:
+def stream_first_wins(rows: DataFrame, tables: str, keys: list[str], order: str, month_of: str) -> None:
     """First copy of each key is kept, every other one is written out as a reject.
 
     Inside a batch the first is found by an aggregate and matched back on ``order``,
-    which is unique, so a key with very many copies is not gathered; against earlier
-    batches only their kept keys are read.
+    which is unique, so a key with very many copies is not gathered. Kept keys are
+    stored by the month of their column ``month_of``; a batch reads only the months it
+    has rows of, not all keys ever kept.
     """
     spark = rows.sparkSession
     kept_path = f"{tables}/kept"
-    schema = spark.createDataFrame([], rows.schema).select(*keys).schema
+    month = F.date_format(month_of, "yyyy-MM")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        jvm = spark._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        home = jvm.org.apache.hadoop.fs.Path(kept_path)
-        held = home.getFileSystem(conf).exists(home)
-        earlier = spark.createDataFrame([], schema)
-        if held:
-            earlier = spark.read.parquet(kept_path).where(F.col("batch_id") < batch_id).select(*keys)
+        earlier = batch.limit(0).select(*keys)
+        if exists(spark, kept_path):
+            months = [r[0] for r in batch.select(month).distinct().collect()]  # as many as the calendar has
+            earlier = spark.read.parquet(kept_path).where((F.col("batch_id") < batch_id) & F.col("month").isin(months)).select(*keys)
         firsts = batch.groupBy(*keys).agg(F.min(order).alias(order)).join(earlier, keys, "left_anti")
         marked = batch.join(firsts.select(order, F.lit(True).alias("_first")), order, "left").persist()
         try:
             marked.where(F.col("_first").isNull()).drop("_first").withColumn(
                 "error_type", F.lit(I.DUPLICATE)).write.mode("overwrite").parquet(_batch_path(f"{tables}/duplicates", batch_id))
-            marked.where("_first").drop("_first").write.mode("overwrite").parquet(_batch_path(kept_path, batch_id))
+            marked.where("_first").select(*keys, month.alias("month")).write.mode("overwrite").partitionBy("month").parquet(
+                _batch_path(kept_path, batch_id))
         finally:
             marked.unpersist()
 
@@ -98,15 +98,33 @@ def stream_latest(rows: DataFrame) -> DataFrame:
     return best.select("entity", "indicator_code", "_b.date", "_b.value")
 
 
-def stream_counters(traces: DataFrame, at: str = "ts", width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Request counters per tumbling window; rates are read off with ``counter_rates``."""
-    return traces.withWatermark(at, late).groupBy(F.window(at, width)).agg(
+def _stream_partials(rows: DataFrame, path: str, summarise) -> None:
+    """Partial counts of every batch under its id. They add up to the same totals however
+    the rows are cut into batches and however late a row comes, so nothing is dropped."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        summarise(batch).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+
+    _run(rows.writeStream.foreachBatch(handle), f"{path}/_checkpoint")
+
+
+def _totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    parts = spark.read.parquet(path).drop("batch_id")
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
+
+
+def stream_counters(traces: DataFrame, path: str, at: str = "ts", width: str = "1 day") -> None:
+    """Request counters per tumbling window; ``read_counters`` adds them up, ``counter_rates`` gives rates."""
+    _stream_partials(traces, path, lambda batch: batch.groupBy(F.window(at, width)).agg(
         F.count("*").alias("requests"), F.count_if("cached").alias("cache_hits"),
         F.count_if(F.col("fallbacks") > 0).alias("fallbacks"), F.count_if("ranked").alias("rankings"),
         F.count_if(F.col("outcome").isin("refused", "retracted", "absent")).alias("refusals"),
         F.count_if("timed_out").alias("timeouts"), F.sum("seconds").alias("seconds"),
     ).select(F.col("window.start").alias("window_start"), "requests", "cache_hits", "fallbacks", "rankings", "refusals",
-             "timeouts", "seconds")
+             "timeouts", "seconds"))
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    return _totals(spark, path, ["window_start"])
 
 
 def counter_rates(counters: DataFrame) -> DataFrame:
@@ -118,11 +136,14 @@ def counter_rates(counters: DataFrame) -> DataFrame:
         (F.rint(F.col("seconds").cast("double") / n * 100) / 100).alias("mean_seconds"))
 
 
-def stream_budget(log: DataFrame, per_minute: int, client: str = "client", at: str = "at") -> DataFrame:
+def stream_budget(log: DataFrame, path: str, client: str = "client", at: str = "at") -> None:
     """Requests per client over the trailing minute, in sliding windows of ten seconds."""
-    counted = log.withWatermark(at, "1 minute").groupBy(client, F.window(at, "60 seconds", "10 seconds")).agg(
-        F.count("*").alias("n"))
-    return counted.select(client, F.col("window.start").alias("window_start"), "n", (F.col("n") > per_minute).alias("over_budget"))
+    _stream_partials(log, path, lambda batch: batch.groupBy(client, F.window(at, "60 seconds", "10 seconds")).agg(
+        F.count("*").alias("n")).select(client, F.col("window.start").alias("window_start"), "n"))
+
+
+def read_budget(spark: SparkSession, path: str, per_minute: int, client: str = "client") -> DataFrame:
+    return _totals(spark, path, [client, "window_start"]).withColumn("over_budget", F.col("n") > per_minute)
 
 
 def write_updates(updates: DataFrame, path: str) -> None:

@@ -100,7 +100,7 @@ def test_advance_rolls_over(spark):
 
 
 def _rules(spark):
-    index = spark.createDataFrame([("NGA", "NG"), ("USA", "US")], "entity string, iso2 string")
+    index = spark.createDataFrame([("FRO", "FO"), ("GRL", "GL")], "entity string, iso2 string")
     indicators = spark.createDataFrame(
         [("S", "percent_share", "%", None), ("C", "percent_change", "%", None), ("N", "count", None, None)],
         "indicator_code string, kind string, unit string, frequency string")
@@ -109,11 +109,11 @@ def _rules(spark):
 
 def test_every_row_has_one_outcome(spark):
     rows = [
-        (1, "NGA", None, "C", "2008", "24411"), (2, "NGA", None, "C", "2008", "1"), (3, "NGA", None, "S", "2008", "1e12"),
-        (4, "NGA", None, "N", "2008", "-5"), (5, "WLD", None, "C", "2008", "1"), (6, "NGA", None, "", "2008", "1"),
-        (7, "NGA", None, "C", "2009", None), (8, "NGA", None, "C", "garbage", "1"), (9, "NGA", None, "C", "1850", "1"),
-        (10, "NGA", None, "C", "2031", "1"), (11, "", "usa", "X", "2008", "1e300"), (12, None, None, "C", "2008", "1"),
-        (13, "USA", None, "C", "2008", "Infinity"), (14, "USA", None, "C", "2008", "abc"),
+        (1, "GRL", None, "C", "2013", "8150"), (2, "GRL", None, "C", "2013", "3"), (3, "GRL", None, "S", "2013", "7e11"),
+        (4, "GRL", None, "N", "2013", "-17"), (5, "EUU", None, "C", "2013", "3"), (6, "GRL", None, "", "2013", "3"),
+        (7, "GRL", None, "C", "2014", None), (8, "GRL", None, "C", "soon", "3"), (9, "GRL", None, "C", "1799", "3"),
+        (10, "GRL", None, "C", "2044", "3"), (11, "", "fro", "X", "2013", "2e200"), (12, None, None, "C", "2013", "3"),
+        (13, "FRO", None, "C", "2013", "-Infinity"), (14, "FRO", None, "C", "2013", "n/a"),
     ]
     raw = spark.createDataFrame([(*r, None, None) for r in rows],
                                 "ordinal long, entity_raw string, entity_alt string, indicator_raw string, period_raw string, "
@@ -125,6 +125,8 @@ def test_every_row_has_one_outcome(spark):
     assert kinds == {2: "DuplicateRecord", 3: "ValidationError", 4: "ValidationError", 6: "NormalizationError",
                      8: "NormalizationError", 9: "ValidationError", 10: "ValidationError", 12: "NormalizationError",
                      13: "ValidationError", 14: "NormalizationError"}
+    raw_records = {r["ordinal"]: r["raw"] for r in rejected.collect()}
+    assert tuple(raw_records[12])[:5] == (None, None, "C", "2013", "3") and tuple(raw_records[4])[:5] == ("GRL", None, "N", "2013", "-17")
     s = summary.first()
     assert (s["fetched"], s["inserted"], s["failed"], s["skipped"], s["status"]) == (14, 2, 10, 2, "partial")
 
