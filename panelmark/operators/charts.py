@@ -13,12 +13,11 @@ STEPS = [1.0, 2.0, 2.5, 5.0, 10.0]
 SIGNED_INDICATORS = ["NY.GDP.MKTP.KD.ZG", "NGDP_RPCH", "BN.CAB.XOKA.GD.ZS", "BCA_NGDPD"]
 
 
-def robust_domain(newest_rows: DataFrame, signed: list[str] | None = None, by: str = "indicator_code",
-                  wide: bool = False) -> DataFrame:
+def robust_domain(newest_rows: DataFrame, signed: list[str] | None = None, by: str = "indicator_code") -> DataFrame:
     """Nearest-rank 5 % and 95 % of the values per indicator; symmetric for signed
     indicators and never of zero width."""
     finite = newest_rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    ranked = rank_entities(finite, order="asc", by=by, wide=wide)
+    ranked = rank_entities(finite, order="asc", by=by)
     at = lambda p: F.least(F.floor(F.lit(p) * F.col("entity_count")) + 1, F.col("entity_count"))
     ends = ranked.groupBy(by).agg(
         F.max(F.when(F.col("rank") == at(0.05), F.col("value"))).alias("_lo"),

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmark.session import durable
+#: Steps of a value's size between two powers of two.
+STEPS = 64
 
 
-def split_row_number(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
-    """``row_number`` over ``by`` ordered by ``order``, for groups of any size.
+def split_row_number(df: DataFrame, by: list[str], value: str, ties: list[str], name: str, descending: bool = True) -> DataFrame:
+    """``row_number`` over ``by`` ordered by ``value`` (then ``ties``, ascending), for groups of any size.
 
-    Rows are range partitioned on (by, order), so one large group spreads over many
-    tasks; each row's number is its place inside the range plus the size of the
-    group's earlier ranges. ``order`` must be a total order within a group, or a run
-    of equal rows would land in one range. The range boundaries come from a sample
-    and could differ between two runs of the plan, so the placed rows are
-    checkpointed before they are read twice.
+    A value's sign and the whole steps of its logarithm grow with it, so they cut a
+    group into runs in order: the same ones each time the plan runs, without a sample or
+    a stored copy. Runs are counted with partial sums; a row's number is its place in its run
+    plus the rows of earlier runs. Only equal or nearly equal values share a task.
     """
-    keys = [F.col(c) for c in by]
-    placed = durable(
-        df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    )
-    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
-    sizes = placed.groupBy("_part", *by).agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", *by, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    number = F.col(value).cast("double")
+    sign = F.when(F.isnan(number), F.lit(2)).otherwise(F.signum(number).cast("int"))
+    step = F.coalesce(F.floor(F.log2(F.abs(number)) * STEPS), F.lit(0))
+    runs = df.withColumn("_sign", F.coalesce(sign, F.lit(-2))).withColumn("_step", F.when(number < 0, -step).otherwise(step))
+    cut = [*by, "_sign", "_step"]
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    before = Window.partitionBy(*by).orderBy(way("_sign"), way("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.groupBy(*cut).agg(F.count("*").alias("_size")).select(
+        *cut, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*cut).orderBy(way(value), *ties))
     return (
-        local.join(offsets, ["_part", *by])
+        runs.withColumn("_at", place).join(offsets, cut)
         .withColumn(name, (F.col("_before") + F.col("_at")).cast("int"))
-        .drop("_part", "_at", "_before")
+        .drop("_sign", "_step", "_at", "_before")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelmark.operators.latest import SERIES
 from panelmark.operators.positions import split_row_number
 
+#: The ceiling a service sets on the limit of a ranking it is asked for.
 MAX_ENTRIES = 300
 
 
@@ -26,15 +27,16 @@ def clamp(column: Column, default: int, ceiling: int) -> Column:
 def rank_entities(
     newest_rows: DataFrame, order: str = "desc", limit: int | None = None,
     max_age_years: int | None = None, today: dt.date | None = None, fallback: bool = False,
-    by: str = "indicator_code", wide: bool = False,
+    by: str = "indicator_code", ceiling: int | None = None,
 ) -> DataFrame:
     """Position of every entity on its latest value; ties go to the lower code.
 
     Counts and date range describe the whole ranking, not the returned part. They
     come from an aggregate, so a limited ranking never gathers an indicator in one
     task: the ``<= limit`` filter keeps that many rows per task before the shuffle.
-    A full ranking of three-letter codes holds at most 26**3 rows per indicator;
-    ``wide=True`` ranks entities without such a bound through range splitting.
+    A full ranking is numbered run by run of like values (``split_row_number``), so an
+    indicator may hold any share of the rows. A service that answers requests sets a
+    ``ceiling`` on the limit; ``truncated`` says that there is more.
     """
     rows = newest_rows
     widened = F.lit(False)
@@ -47,20 +49,19 @@ def rank_entities(
         else:
             rows = rows.where(fresh)
     direction = F.col("value").asc() if order == "asc" else F.col("value").desc()
-    ordering = [direction, F.col("entity").asc()]
     stats = rows.groupBy(by).agg(
         F.count("*").alias("entity_count"), F.min("date").alias("earliest"), F.max("date").alias("newest"),
         *( [F.max(widened).alias("recency_dropped")] if fallback and max_age_years is not None else [] ),
     )
     rows = rows.drop("_fresh", "_newest")
-    if wide:
-        ranked = split_row_number(rows, [by], ordering, "rank")
+    if limit is None:
+        ranked = split_row_number(rows, [by], "value", ["entity"], "rank", descending=order != "asc")
+        truncated = F.lit(False)
     else:
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*ordering)))
-    if limit is not None:
-        ranked = ranked.where(F.col("rank") <= max(1, min(limit, MAX_ENTRIES)))
-    kept = F.lit(MAX_ENTRIES if limit is None else max(1, min(limit, MAX_ENTRIES)))
-    truncated = F.lit(False) if limit is None else F.col("entity_count") > kept
+        most = max(1, limit if ceiling is None else min(limit, ceiling))
+        numbered = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(direction, F.col("entity").asc())))
+        ranked = numbered.where(F.col("rank") <= most)
+        truncated = F.col("entity_count") > most
     return ranked.join(stats, by).withColumn("truncated", truncated)
 
 

@@ -227,7 +227,7 @@ def _(spark, d):
 r AS (SELECT indicator_code, value, row_number() OVER (PARTITION BY indicator_code ORDER BY value, entity) AS rn, count(*) OVER (PARTITION BY indicator_code) AS n FROM l)
 SELECT indicator_code, max(value) FILTER (rn = least(floor(0.05::DOUBLE * n) + 1, n)) AS low, max(value) FILTER (rn = least(floor(0.95::DOUBLE * n) + 1, n)) AS high, 'sequential' AS scale FROM r GROUP BY 1""")
 def _(spark, d):
-    return G.robust_domain(L.latest(A.event_facts(spark, d)), wide=True)
+    return G.robust_domain(L.latest(A.event_facts(spark, d)))
 
 
 NICE = """

@@ -282,7 +282,7 @@ def _(spark, d):
 , l AS (SELECT source, entity, indicator_code, max(date) AS date, arg_max(value, date) AS value FROM efacts GROUP BY 1, 2, 3)""" + RANKED.format(
     cols="entity, indicator_code, source, date, value", dir="DESC") + ", false AS truncated FROM l")
 def _(spark, d):
-    return R.rank_entities(L.latest(A.event_facts(spark, d)), wide=True)
+    return R.rank_entities(L.latest(A.event_facts(spark, d)))
 
 
 @query("U-3_alternatives", S.with_(S.FACTS, S.CATALOG) + """
