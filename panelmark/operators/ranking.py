@@ -65,6 +65,13 @@ def rank_entities(
     return ranked.join(stats, by).withColumn("truncated", truncated)
 
 
+def rank_map(newest_rows: DataFrame, countries: DataFrame, indicator_code: str) -> DataFrame:
+    """Every map point with its value and rank on the chosen indicator, null where it has none."""
+    chosen = rank_entities(newest_rows.where(F.col("indicator_code") == indicator_code))
+    return countries.select("entity", "entity_name").join(
+        chosen.select("entity", "value", "rank"), "entity", "left").withColumn("indicator_code", F.lit(indicator_code))
+
+
 def alternatives(catalog: DataFrame) -> DataFrame:
     """Other series of the same concept, per indicator row of the catalog."""
     left = catalog.select("source", "indicator_code", "concept")

@@ -431,6 +431,15 @@ def _(spark, d):
     return K.upsert_catalog(ref.catalog(spark), batch).select("source", "indicator_code", "indicator_name", "unit", "frequency")
 
 
+@query("K-1_stored", S.with_(S.FACTS) + """
+SELECT source, indicator_code, entity, date, CASE WHEN year(date) >= 2000 THEN value + 1 ELSE value END AS value FROM facts""")
+def _(spark, d):
+    path, facts = fresh_dir(spark, "stored"), A.facts(spark, d)
+    K.upsert_observations(spark, facts, path)  # an empty path at first
+    K.upsert_observations(spark, facts.where(F.year("date") >= 2000).withColumn("value", F.col("value") + 1), path)
+    return spark.read.parquet(path).select("source", "indicator_code", "entity", "date", "value")
+
+
 @query("K-3_error_ledger", classify_sql("paged") + """
 SELECT 'run-1' AS run_id, outcome AS error_type, entity_raw, entity_alt, indicator_raw, period_raw, value_raw, unit_raw, name_raw
 FROM classified WHERE outcome NOT IN ('accepted', 'skipped')""")

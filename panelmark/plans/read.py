@@ -126,16 +126,11 @@ def _(spark, d):
 
 
 @query("J-12_rank_map", S.with_(S.FACTS, S.LATEST, S.PROFILES) + """
-SELECT p.entity, p.entity_name, c.indicator_code, l.value, l.rank FROM profiles p
-CROSS JOIN (SELECT DISTINCT indicator_code FROM latest) c
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY indicator_code ORDER BY value DESC, entity) AS rank FROM latest) l
-  ON l.entity = p.entity AND l.indicator_code = c.indicator_code""")
+SELECT p.entity, p.entity_name, 'ORD.CNT' AS indicator_code, l.value, l.rank FROM profiles p
+LEFT JOIN (SELECT *, row_number() OVER (ORDER BY value DESC, entity) AS rank FROM latest WHERE indicator_code = 'ORD.CNT') l ON l.entity = p.entity""")
 def _(spark, d):
-    _f, cat, _, countries = base(spark, d)
-    ranked = R.rank_entities(L.latest(_f)).select("entity", "indicator_code", "value", "rank")
-    codes = cat.select("indicator_code").distinct().agg(F.collect_list("indicator_code").alias("codes")).scalar()
-    points = countries.select("entity", "entity_name", F.explode(codes).alias("indicator_code"))
-    return points.join(ranked, ["entity", "indicator_code"], "left")
+    _f, _, _, countries = base(spark, d)
+    return R.rank_map(L.latest(_f), countries, "ORD.CNT")
 
 
 @query("J-13_entity_series_order", S.with_(S.FACTS, S.CATALOG, S.META) + """
