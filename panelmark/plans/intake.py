@@ -622,16 +622,16 @@ def _(spark, d):
 
 
 # One series a nation and spelling; several rows of a period count once.
-SPELT = ("CASE id % 5 WHEN 0 THEN y || 'M' || m WHEN 1 THEN y || 'Q' || q WHEN 2 THEN y WHEN 3 THEN y || '-' || mm ELSE CAST(d AS STRING) END")
-PART = "CASE id % 5 WHEN 1 THEN 'quarter' WHEN 2 THEN 'year' WHEN 4 THEN 'day' ELSE 'month' END"
-SPELT_ROWS = f"""WITH b AS ({W.BASE}), r AS (SELECT {W.ISO3} AS entity_raw, 'R' || CAST(id % 5 AS VARCHAR) AS indicator_raw, {SPELT} AS period_raw,
-  CAST(date_trunc({PART}, d) AS DATE) AS day, v AS value_raw FROM b),
+SPELLING = ("CASE id % 5 WHEN 0 THEN y || 'M' || m WHEN 1 THEN y || 'Q' || q WHEN 2 THEN y WHEN 3 THEN y || '-' || mm ELSE CAST(d AS STRING) END")
+CALENDAR = "CASE id % 5 WHEN 1 THEN 'quarter' WHEN 2 THEN 'year' WHEN 4 THEN 'day' ELSE 'month' END"
+SPELT_ROWS = f"""WITH b AS ({W.BASE}), r AS (SELECT {W.ISO3} AS entity_raw, 'R' || CAST(id % 5 AS VARCHAR) AS indicator_raw, {SPELLING} AS period_raw,
+  CAST(date_trunc({CALENDAR}, d) AS DATE) AS day, v AS value_raw FROM b),
 s AS (SELECT entity_raw, indicator_raw, period_raw, day, max(value_raw) AS value_raw FROM r GROUP BY ALL)
 """
 
 
 def spelt_rows(spark, d):
-    rows = W.base_rows(spark, d).selectExpr(f"{W.ISO3} AS entity_raw", "'R' || CAST(id % 5 AS STRING) AS indicator_raw", f"{SPELT} AS period_raw", "v AS value_raw")
+    rows = W.base_rows(spark, d).selectExpr(f"{W.ISO3} AS entity_raw", "'R' || CAST(id % 5 AS STRING) AS indicator_raw", f"{SPELLING} AS period_raw", "v AS value_raw")
     return rows.groupBy("entity_raw", "indicator_raw", "period_raw").agg(F.max("value_raw").alias("value_raw"))
 
 
