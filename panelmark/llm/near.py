@@ -12,12 +12,14 @@ most of the region resembles (the originals of large groups of copies), not all
 
 Proposals are confirmed on the full sets. The best of each node go first; of the others only
 those that would join two components still apart are looked at, so a group of thousands
-costs a few confirmations a document.
+costs a few confirmations a document. Nodes that left a pair out are marked, and go through the
+trees a second time with their components known: there every pair of nodes of different
+components whose size and sketch allow it is proposed, whatever their number.
 
 Recall: two nodes at the threshold s share a min-hash in one of T trees with probability
-1 - (1 - s)^T, at 0.85 and 10 trees 1 - 6e-9. What may be lost beyond that is a link of a
-node in a region of more than ``REGION`` nodes whose only partners are neither among
-its nearest nor resembled by many; the tests and the README give measured recall.
+1 - (1 - s)^T, at 0.85 and 10 trees 1 - 6e-9. Where regions are split down to all ``DEPTH``
+min-hashes it is 1 - (1 - s^DEPTH)^T, at 0.85 0.991 for a single pair; the tests and the README
+give measured recall.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ TREES, DEPTH, SKETCH = 10, 6, 128
 REGION = 1024
 #: Proposals of a node in one region: most alike, and most resembled by others.
 NEAREST, HUBS = 6, 3
+#: Ranks of proposals; a node paired with itself has the last one if it left a pair out.
+FIRST, OTHER, LEFT = 0, 1, 2
 _RNG = np.random.default_rng(85)
 _FACTOR = _RNG.integers(1, 2**31, max(TREES * DEPTH, SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _RNG.integers(0, 2**32, max(TREES * DEPTH, SKETCH), dtype=np.uint32)
@@ -143,7 +147,8 @@ def _alike(sketch: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
 
 
 def _chosen(one: np.ndarray, other: np.ndarray, equal: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs that look alike those that either node proposes: (one, other, whether a first choice)."""
+    """Of pairs that look alike those that either node proposes, and the nodes of the others: (one, other, rank)."""
+    n = len(one)
     node, mate, equal = np.concatenate([one, other]), np.concatenate([other, one]), np.tile(equal, 2)
     degree = np.bincount(node[equal >= sure], minlength=int(node.max()) + 1 if len(node) else 1)
 
@@ -157,17 +162,30 @@ def _chosen(one: np.ndarray, other: np.ndarray, equal: np.ndarray, sure: int) ->
 
     nearest, hub = ranked(equal), ranked(degree[mate])
     taken = (nearest < NEAREST) | (hub < HUBS)
-    return node[taken], mate[taken], ((nearest == 0) | (hub == 0))[taken]
+    rank = np.where((nearest == 0) | (hub == 0), FIRST, OTHER)[taken]
+    out = ~(taken[:n] | taken[n:])
+    left = np.unique(np.concatenate([node[:n][out], mate[:n][out]]))
+    return np.concatenate([node[taken], left]), np.concatenate([mate[taken], left]), np.append(rank, np.full(len(left), LEFT))
+
+
+def _least(percent: int) -> int:
+    """Equal sketch bytes that a pair at the threshold has at least, but for five deviations."""
+    share = percent / 100
+    return int((share - 5 * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH)
 
 
 def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(one, other, whether a first choice) of the pairs that sorted rows of one tree propose.
+    """(one, other, rank) of the pairs that sorted rows of one tree propose.
 
     Small regions are compared together, step by step; a large one by itself, so that
-    no more than its pairs are ever held.
+    no more than its pairs are ever held. Equal signatures in more rows than a region has are
+    compared region by region, so all of them count as having left pairs out.
     """
-    share = percent / 100
-    least, sure = int((share - 5 * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH), int(share * SKETCH)
+    least, sure = _least(percent), int(percent / 100 * SKETCH)
+    equal = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]).any(axis=1)))
+    for a, b in zip(equal.tolist(), [*equal[1:].tolist(), len(hashes)]):
+        if b - a > REGION:
+            yield np.arange(a, b), np.arange(a, b), np.full(b - a, LEFT)
     edge = np.flatnonzero(np.diff(hashes[:, 0], prepend=hashes[0, 0] ^ 1, append=hashes[-1, 0] ^ 1))
     run, found = np.full(len(hashes), -1, np.int32), []
     regions = (r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _regions(hashes, int(a), int(b), 1))
@@ -179,8 +197,8 @@ def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent:
         for i in range(b - a - 1):
             first, second = np.full(b - a - i - 1, i, np.int32), np.arange(i + 1, b - a, dtype=np.int32)
             parts.append(_alike(sketch[a:b], sizes[a:b], first, second, percent, least))
-        one, other, first = _chosen(*(np.concatenate(x) for x in zip(*parts)), sure)
-        yield one + a, other + a, first
+        one, other, rank = _chosen(*(np.concatenate(x) for x in zip(*parts)), sure)
+        yield one + a, other + a, rank
     for step in range(1, 64):
         first = np.flatnonzero((run[step:] == run[:-step]) & (run[step:] >= 0)).astype(np.int32)
         if not len(first):
@@ -190,8 +208,44 @@ def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent:
         yield _chosen(*(np.concatenate(x) for x in zip(*found)), sure)
 
 
-def proposals(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, rank): pairs of nodes to confirm, a < b; rank 0 is some node's first choice in some region."""
+def _mixed(hashes: np.ndarray, labels: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
+    """Runs of sorted signatures with nodes of several components, split while they have too many pairs across."""
+    _labels, counts = np.unique(labels[low:high], return_counts=True)
+    if len(counts) == 1:
+        return
+    if depth == hashes.shape[1] or (high - low) ** 2 - int((counts**2).sum()) <= REGION**2:
+        yield low, high
+        return
+    column = hashes[low:high, depth]
+    cuts = [low, *(np.flatnonzero(column[1:] != column[:-1]) + 1 + low).tolist(), high]
+    for a, b in zip(cuts, cuts[1:]):
+        yield from _mixed(hashes, labels, a, b, depth + 1)
+
+
+def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int):
+    """(one, other, rank) of all pairs of different labels that look alike in a run of sorted rows.
+
+    Each node is compared with those of larger components, so the largest one, of which a hot
+    group mostly consists, is only compared with the others.
+    """
+    least = _least(percent)
+    edge = np.flatnonzero(np.diff(hashes[:, 0], prepend=hashes[0, 0] ^ 1, append=hashes[-1, 0] ^ 1))
+    for low, high in (r for a, b in zip(edge.tolist(), edge[1:].tolist()) if b - a > 1 for r in _mixed(hashes, labels, a, b, 1)):
+        _labels, of, counts = np.unique(labels[low:high], return_inverse=True, return_counts=True)
+        order = np.lexsort((of, counts[of]))
+        ends = np.append(np.flatnonzero(np.diff(of[order])) + 1, high - low)
+        later = ends[np.searchsorted(ends, np.arange(high - low), "right")]
+        order = (order + low).astype(np.int32)
+        for i in range(int(ends[-2])):
+            one, other, _equal = _alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least)
+            if len(one):
+                yield one, other, np.full(len(one), FIRST)
+
+
+def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame:
+    """(a, b, rank): pairs of nodes to confirm, a < b; rank ``FIRST`` is some node's first choice in
+    some region, and a row with rank ``LEFT`` names a node, as a and b, that left pairs out.
+    With ``across`` all pairs of nodes whose ``label`` differs, and no others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -206,31 +260,39 @@ def proposals(nodes: DataFrame, percent: int) -> DataFrame:
             raw = lambda name, width: np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, width)
             hashes = np.ascontiguousarray(raw("signature", 4 * DEPTH)).view(">u4").astype(np.uint32)
             keys, sketch, sizes = raw("node", 16), raw("sketch", SKETCH), table["n_shingles"].to_numpy()
-            fresh = np.append(True, (tree[1:] != tree[:-1]) | (hashes[1:, 0] != hashes[:-1, 0]))
-            starts = np.flatnonzero(fresh)
-            # an unfinished run waits for its rest; one larger than a buffer goes on with half a region of overlap
-            end = rows if last else int(starts[-1]) if starts[-1] > 0 else rows
-            keep = rows if last else end if end < rows else max(0, rows - REGION // 2)
+            labels = np.unique(raw("label", 16).copy().view("V16").ravel(), return_inverse=True)[1] if across else None
+            # an unfinished run waits for its rest; one larger than a buffer is cut at its next min-hash,
+            # and rows of one signature with enough overlap to be seen as too many for a region
+            end, keep, fresh = rows, rows, tree[1:] != tree[:-1]
+            for k in range(0 if last else DEPTH):
+                fresh = fresh | (hashes[1:, k] != hashes[:-1, k])
+                if fresh.any():
+                    end = keep = int(np.flatnonzero(fresh)[-1]) + 1
+                    break
+            else:
+                keep = rows if last else rows - REGION - 1
             held, rows = ([] if keep == rows else table.slice(keep).to_batches()), rows - keep
             for a in np.flatnonzero(np.append(True, tree[1:end] != tree[: end - 1])).tolist():
                 b = a + int(np.searchsorted(tree[a:end], tree[a], "right"))
-                for one, other, first in propose(hashes[a:b], sizes[a:b], sketch[a:b], percent):
+                part = hashes[a:b], sizes[a:b], sketch[a:b]
+                for one, other, rank in propose_across(*part, labels[a:b], percent) if across else propose(*part, percent):
                     left, right = keys[a:b][one], keys[a:b][other]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(map(bytes, left)), pa.binary()), pa.array(list(map(bytes, right)), pa.binary()), pa.array(1 - first.astype(np.int32), pa.int32())],
+                        [pa.array(list(map(bytes, left)), pa.binary()), pa.array(list(map(bytes, right)), pa.binary()), pa.array(rank, pa.int32())],
                         ["a", "b", "rank"],
                     )
 
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 8 * REGION:
+            if rows >= (64 if across else 8) * REGION:
                 yield from go(last=False)
         yield from go(last=True)
 
     width = 4 * DEPTH
-    each = nodes.select("node", "n_shingles", "trees", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    each = each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch")
+    label = ["label"] if across else []
+    each = nodes.select("node", "n_shingles", "trees", "sketch", *label, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    each = each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch", *label)
     order = ["tree", "signature", "node"]
     found = each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary, rank int")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"))
@@ -296,14 +358,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     texts = rows.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = staged(_sets(texts, words), "near-sets")
 
-    links = staged(_confirmed(pairs.filter("rank = 0"), sets, percent), "near-links")
+    links = staged(_confirmed(pairs.filter(F.col("rank") == FIRST), sets, percent), "near-links")
     label = components(links)
     of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
-    apart = pairs.filter("rank > 0").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = pairs.filter(F.col("rank") == OTHER).join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b")).filter("of_a <> of_b").select("a", "b")
     more = staged(_confirmed(apart, sets, percent), "near-links")
     label = components(links.unionByName(more))
 
+    # what the nodes left out: of the pairs across components none is spared
+    left = pairs.filter(F.col("rank") == LEFT).select(F.col("a").alias("node")).join(nodes, "node")
+    left = left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = proposals(left, percent, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    rest = staged(_confirmed(rest, sets, percent), "near-links")
+    label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
+
     known = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = staged(known.groupBy("label").agg(F.min("least_id").alias("component_id")), "near-components")
     known = known.join(least, "label").select("node", "component_id")

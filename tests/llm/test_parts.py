@@ -63,6 +63,53 @@ def test_regions_split_only_where_dense():
     assert max(b - a for a, b in parts) <= near.REGION
 
 
+def _alike_rows(seed, n):
+    """Rows of one tree with sketches of which very many look alike, and the pairs that do in regions of equal first hash."""
+    rng = np.random.default_rng(seed)
+    hashes = np.repeat(rng.integers(0, 9, (n // 50, near.DEPTH)), 50, axis=0).astype(np.uint32)
+    hashes = hashes[np.lexsort(hashes.T[::-1])]
+    kinds = rng.integers(0, 256, (4, near.SKETCH))
+    sketch = kinds[rng.integers(0, 4, n)].astype(np.uint8)
+    noise = rng.random(sketch.shape) < rng.random((n, 1)) * 0.25
+    sketch[noise] = rng.integers(0, 256, int(noise.sum()))
+    same = hashes[:, None, 0] == hashes[None, :, 0]
+    equal = (sketch[:, None] == sketch[None]).sum(axis=2)
+    one, other = np.nonzero(np.triu(same & (equal >= near._least(85)), 1))
+    return hashes, np.full(n, 100), sketch, set(zip(one.tolist(), other.tolist()))
+
+
+def _pairs(found):
+    return [(min(a, b), max(a, b), r) for one, other, rank in found for a, b, r in zip(one.tolist(), other.tolist(), rank.tolist())]
+
+
+def test_pairs_not_proposed_are_between_marked_nodes():
+    *rows, alike = _alike_rows(3, 800)
+    found = _pairs(near.propose(*rows, 85))
+    proposed = {(a, b) for a, b, r in found if r != near.LEFT}
+    marked = {a for a, b, r in found if r == near.LEFT}
+    assert proposed <= alike and len(alike) > 2 * len(proposed)
+    assert all(a in marked and b in marked for a, b in alike - proposed)
+
+
+def test_every_pair_across_components_is_proposed():
+    hashes, sizes, sketch, alike = _alike_rows(4, 800)
+    for kinds in (1, 2, 30, 800):
+        labels = np.random.default_rng(kinds).integers(0, kinds, 800)
+        found = [(a, b) for a, b, _ in _pairs(near.propose_across(hashes, sizes, sketch, labels, 85))]
+        assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in alike if labels[a] != labels[b]}
+
+
+def test_equal_signatures_beyond_a_region_are_marked_and_compared():
+    n = 3 * near.REGION
+    hashes, sizes, sketch = np.ones((n, near.DEPTH), np.uint32), np.full(n, 50), np.zeros((n, near.SKETCH), np.uint8)
+    marked = {int(a) for one, other, rank in near.propose(hashes, sizes, sketch, 85) for a in one[rank == near.LEFT]}
+    assert marked == set(range(n))
+    labels = np.zeros(n, np.int64)
+    labels[[5, n - 5]] = 1, 2
+    found = [(a, b) for a, b, _ in _pairs(near.propose_across(hashes, sizes, sketch, labels, 85))]
+    assert len(found) == len(set(found)) == 2 * (n - 2) + 1
+
+
 def test_powers_of_two_need_no_padding():
     parts = [(k, 0, 700, np.arange(300, dtype="<u4") + k) for k in range(3)]
     found = list(packing._powers(parts))
