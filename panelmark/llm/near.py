@@ -13,13 +13,14 @@ most of the region resembles (the originals of large groups of copies), not all
 Proposals are confirmed on the full sets. The best of each node go first; of the others only
 those that would join two components still apart are looked at, so a group of thousands
 costs a few confirmations a document. Nodes that left a pair out are marked, and go through the
-trees a second time with their components known: there every pair of nodes of different
-components whose size and sketch allow it is proposed, whatever their number.
+trees a second time with their components known: there every two components that have nodes
+whose size and sketch allow a link are proposed by the most alike of these, whatever their number.
 
 Recall: two nodes at the threshold s share a min-hash in one of T trees with probability
 1 - (1 - s)^T, at 0.85 and 10 trees 1 - 6e-9. Where regions are split down to all ``DEPTH``
-min-hashes it is 1 - (1 - s^DEPTH)^T, at 0.85 0.991 for a single pair; the tests and the README
-give measured recall.
+min-hashes it is 1 - (1 - s^DEPTH)^T, at 0.85 0.991 for a single pair. Two components are kept
+apart wrongly if the pairs that link them are none of those most alike by sketch in any region.
+The tests and the README give measured recall.
 """
 
 from __future__ import annotations
@@ -222,8 +223,18 @@ def _mixed(hashes: np.ndarray, labels: np.ndarray, low: int, high: int, depth: i
         yield from _mixed(hashes, labels, a, b, depth + 1)
 
 
+def _most_alike(parts: list[tuple], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each two labels the pair with most equal sketch bytes."""
+    one, other, equal = (np.concatenate(x) for x in zip(*parts))
+    a, b = labels[one], labels[other]
+    order = np.lexsort((other, one, -equal, b, a))
+    fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    best = order[fresh]
+    return one[best], other[best], equal[best]
+
+
 def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int):
-    """(one, other, rank) of all pairs of different labels that look alike in a run of sorted rows.
+    """(one, other, rank): for each two labels with rows that look alike in a region, the most alike of these.
 
     Each node is compared with those of larger components, so the largest one, of which a hot
     group mostly consists, is only compared with the others.
@@ -236,16 +247,20 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
         ends = np.append(np.flatnonzero(np.diff(of[order])) + 1, high - low)
         later = ends[np.searchsorted(ends, np.arange(high - low), "right")]
         order = (order + low).astype(np.int32)
+        parts, held = [], 0
         for i in range(int(ends[-2])):
-            one, other, _equal = _alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least)
-            if len(one):
+            parts.append(_alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least))
+            held += len(parts[-1][0])
+            if held > 1 << 20 or i == ends[-2] - 1:
+                one, other, _equal = _most_alike(parts, labels)
                 yield one, other, np.full(len(one), FIRST)
+                parts, held = [], 0
 
 
 def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame:
     """(a, b, rank): pairs of nodes to confirm, a < b; rank ``FIRST`` is some node's first choice in
     some region, and a row with rank ``LEFT`` names a node, as a and b, that left pairs out.
-    With ``across`` all pairs of nodes whose ``label`` differs, and no others."""
+    With ``across`` pairs of nodes whose ``label`` differs, those most alike of each two labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -366,7 +381,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     more = staged(_confirmed(apart, sets, percent), "near-links")
     label = components(links.unionByName(more))
 
-    # what the nodes left out: of the pairs across components none is spared
+    # what the nodes left out: no two components that look alike are spared
     left = pairs.filter(F.col("rank") == LEFT).select(F.col("a").alias("node")).join(nodes, "node")
     left = left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = proposals(left, percent, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
