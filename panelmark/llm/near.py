@@ -251,7 +251,7 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
         for i in range(int(ends[-2])):
             parts.append(_alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least))
             held += len(parts[-1][0])
-            if held > 1 << 20 or i == ends[-2] - 1:
+            if held > 1 << 20 or held and i == ends[-2] - 1:
                 one, other, _equal = _most_alike(parts, labels)
                 yield one, other, np.full(len(one), FIRST)
                 parts, held = [], 0

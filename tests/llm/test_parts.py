@@ -113,6 +113,8 @@ def test_equal_signatures_beyond_a_region_are_marked_and_compared():
     labels[[5, n - 5]] = 1, 2
     found = [(a, b) for a, b, _ in _pairs(near.propose_across(hashes, sizes, sketch, labels, 85))]
     assert len(found) == 3
+    unlike = np.random.default_rng(0).integers(0, 256, (40, near.SKETCH)).astype(np.uint8)
+    assert not _pairs(near.propose_across(hashes[:40], sizes[:40], unlike, np.arange(40), 85))
 
 
 def test_powers_of_two_need_no_padding():
