@@ -13,14 +13,15 @@ most of the region resembles (the originals of large groups of copies), not all
 Proposals are confirmed on the full sets. The best of each node go first; of the others only
 those that would join two components still apart are looked at, so a group of thousands
 costs a few confirmations a document. Nodes that left a pair out are marked, and go through the
-trees a second time with their components known: there every two components that have nodes
-whose size and sketch allow a link are proposed by the most alike of these, whatever their number.
+trees again with their components known: first every two components that have nodes whose size
+and sketch allow a link are proposed by the most alike of these, whatever their number; then, with
+the components that gives, every pair across. For these the nodes bring ``FINE`` more bytes, which
+hold their whole set if it is small, so that what is proposed are links; larger sets have a finer sketch there.
 
 Recall: two nodes at the threshold s share a min-hash in one of T trees with probability
 1 - (1 - s)^T, at 0.85 and 10 trees 1 - 6e-9. Where regions are split down to all ``DEPTH``
-min-hashes it is 1 - (1 - s^DEPTH)^T, at 0.85 0.991 for a single pair. Two components are kept
-apart wrongly if the pairs that link them are none of those most alike by sketch in any region.
-The tests and the README give measured recall.
+min-hashes it is 1 - (1 - s^DEPTH)^T, at 0.85 0.991 for a single pair. The tests and the README
+give measured recall.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import id_and_text, slices, small_batches, staged
+from panelmark.llm.common import byte_view, id_and_text, slices, small_batches, staged
 from panelmark.llm.components import components
 from panelmark.llm.quality import _repeats
 from panelmark.llm.wordscan import LOWER, scramble, span_prints, windows_of, word_spans
 
 TREES, DEPTH, SKETCH = 10, 6, 128
+#: Bytes of the finer sketch of nodes that left a pair out, a power of two, and shingles of sets that are whole in it.
+FINE, WHOLE = 1024, 256
 #: Nodes that one region compares at most before it is split by a further min-hash.
 REGION = 1024
 #: Proposals of a node in one region: most alike, and most resembled by others.
@@ -209,6 +212,32 @@ def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent:
         yield _chosen(*(np.concatenate(x) for x in zip(*found)), sure)
 
 
+def _finely(fine: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of one first node are links by their whole sets, or allowed by their finer sketches but for five deviations.
+
+    Of bins that either node fills, those equal are as many as links among so many shingles drawn
+    from the union without return. A small set and a large one have no sketch in common and are allowed.
+    """
+    share, near = percent / 100, np.ones(len(first), bool)
+    whole = np.sort(fine[first[0]].view("<u4")[: sizes[first[0]]]) if len(first) and sizes[first[0]] <= WHOLE else None
+    at = np.flatnonzero((sizes[second] <= WHOLE) == (whole is not None))
+    for some in (at[k : k + (1 << 12)] for k in range(0, len(at), 1 << 12)):
+        a, b = fine[first[some]], fine[second[some]]
+        total = sizes[first[some]] + sizes[second[some]]
+        if whole is not None:
+            b = b.view("<u4")
+            place = np.minimum(np.searchsorted(whole, b), len(whole) - 1)
+            common = ((whole[place] == b) & (np.arange(WHOLE) < sizes[second[some], None])).sum(axis=1)
+            near[some] = 100 * common >= percent * (total - common)
+        else:
+            filled = np.count_nonzero(a | b, axis=1)
+            equal = np.count_nonzero((a == b) & (a > 0), axis=1)
+            union = total / (1 + share)
+            spread = share * (1 - share) * filled * np.clip((union - filled) / (union - 1), 0, 1)
+            near[some] = equal >= share * filled - 5 * np.sqrt(spread) - 1
+    return near
+
+
 def _mixed(hashes: np.ndarray, labels: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
     """Runs of sorted signatures with nodes of several components, split while they have too many pairs across."""
     _labels, counts = np.unique(labels[low:high], return_counts=True)
@@ -233,8 +262,9 @@ def _most_alike(parts: list[tuple], labels: np.ndarray) -> tuple[np.ndarray, np.
     return one[best], other[best], equal[best]
 
 
-def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int):
-    """(one, other, rank): for each two labels with rows that look alike in a region, the most alike of these.
+def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int, fine: np.ndarray | None = None):
+    """(one, other, rank): for each two labels with rows that look alike in a region, the most alike of these;
+    with finer sketches all pairs of different labels that these allow too.
 
     Each node is compared with those of larger components, so the largest one, of which a hot
     group mostly consists, is only compared with the others.
@@ -249,7 +279,13 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
         order = (order + low).astype(np.int32)
         parts, held = [], 0
         for i in range(int(ends[-2])):
-            parts.append(_alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least))
+            found = _alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least)
+            if fine is not None:
+                near = _finely(fine, sizes, found[0], found[1], percent)
+                if near.any():
+                    yield found[0][near], found[1][near], np.full(int(near.sum()), FIRST)
+                continue
+            parts.append(found)
             held += len(parts[-1][0])
             if held > 1 << 20 or held and i == ends[-2] - 1:
                 one, other, _equal = _most_alike(parts, labels)
@@ -260,7 +296,9 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
 def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame:
     """(a, b, rank): pairs of nodes to confirm, a < b; rank ``FIRST`` is some node's first choice in
     some region, and a row with rank ``LEFT`` names a node, as a and b, that left pairs out.
-    With ``across`` pairs of nodes whose ``label`` differs, those most alike of each two labels."""
+    With ``across`` pairs of nodes whose ``label`` differs, those most alike of each two labels,
+    or all that their finer sketches allow if the nodes have a column ``fine``."""
+    extra = [c for c in ("label", "fine") if across and c in nodes.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -276,6 +314,7 @@ def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame
             hashes = np.ascontiguousarray(raw("signature", 4 * DEPTH)).view(">u4").astype(np.uint32)
             keys, sketch, sizes = raw("node", 16), raw("sketch", SKETCH), table["n_shingles"].to_numpy()
             labels = np.unique(raw("label", 16).copy().view("V16").ravel(), return_inverse=True)[1] if across else None
+            fine = byte_view(table["fine"])[0][-FINE * rows :].reshape(rows, FINE) if "fine" in extra else None
             # an unfinished run waits for its rest; one larger than a buffer is cut at its next min-hash,
             # and rows of one signature with enough overlap to be seen as too many for a region
             end, keep, fresh = rows, rows, tree[1:] != tree[:-1]
@@ -290,7 +329,8 @@ def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame
             for a in np.flatnonzero(np.append(True, tree[1:end] != tree[: end - 1])).tolist():
                 b = a + int(np.searchsorted(tree[a:end], tree[a], "right"))
                 part = hashes[a:b], sizes[a:b], sketch[a:b]
-                for one, other, rank in propose_across(*part, labels[a:b], percent) if across else propose(*part, percent):
+                over = (labels[a:b], percent, None if fine is None else fine[a:b]) if across else ()
+                for one, other, rank in propose_across(*part, *over) if across else propose(*part, percent):
                     left, right = keys[a:b][one], keys[a:b][other]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(map(bytes, left)), pa.binary()), pa.array(list(map(bytes, right)), pa.binary()), pa.array(rank, pa.int32())],
@@ -305,9 +345,8 @@ def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame
         yield from go(last=True)
 
     width = 4 * DEPTH
-    label = ["label"] if across else []
-    each = nodes.select("node", "n_shingles", "trees", "sketch", *label, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    each = each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch", *label)
+    each = nodes.select("node", "n_shingles", "trees", "sketch", *extra, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    each = each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch", *extra)
     order = ["tree", "signature", "node"]
     found = each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary, rank int")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"))
@@ -329,6 +368,27 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "node binary, shingles binary")
 
 
+def _fine_sketches(sets: DataFrame) -> DataFrame:
+    """(node, fine) of (node, shingles): half of each shingle's hash for up to ``WHOLE`` of them, else the least
+    of the shingles whose hash starts with the same bits as a byte, 0 without any."""
+    bits = np.uint64(64 - (FINE.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, FINE), np.uint8)
+            for row, shingles_ in zip(out, batch.column("shingles")):
+                hashes = np.sort(scramble(np.frombuffer(shingles_.as_buffer(), np.uint64)))
+                if len(hashes) <= WHOLE:
+                    row.view("<u4")[: len(hashes)] = hashes >> np.uint64(32)
+                    continue
+                place = (hashes >> bits).astype(np.int64)
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                row[place[first]] = hashes[first] % np.uint64(255) + np.uint64(1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(map(bytes, out)), pa.binary())], ["node", "fine"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node binary, fine binary")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -381,12 +441,16 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     more = staged(_confirmed(apart, sets, percent), "near-links")
     label = components(links.unionByName(more))
 
-    # what the nodes left out: no two components that look alike are spared
+    # what the nodes left out: first the most alike of each two components, then every pair still across
     left = pairs.filter(F.col("rank") == LEFT).select(F.col("a").alias("node")).join(nodes, "node")
-    left = left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = proposals(left, percent, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = staged(_confirmed(rest, sets, percent), "near-links")
-    label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
+    fine = left.join(_fine_sketches(sets), "node")
+    tried = pairs.select("a", "b")
+    for marked in (left, fine):
+        marked = marked.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = staged(proposals(marked, percent, across=True).select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = tried.unionByName(rest)
+        rest = staged(_confirmed(rest, sets, percent), "near-links")
+        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
 
     known = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = staged(known.groupBy("label").agg(F.min("least_id").alias("component_id")), "near-components")

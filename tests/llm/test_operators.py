@@ -38,6 +38,27 @@ def test_near_finds_every_link_of_large_groups(spark):
     assert {r.id: (r.n_shingles, r.component_id) for r in found} == want
 
 
+def test_near_finds_one_link_amid_pairs_just_below_the_threshold(spark):
+    """Two families whose originals are the only link; all other pairs across are at 0.83 to 0.845 and many look more alike."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for pair in range(6):
+        base = [f"p{pair}w{x}" for x in range(400)]
+        for side in range(2):
+            start = list(base)
+            if side:  # 31 of 398 shingles: a run of 29 words
+                start[50:79] = [f"p{pair}o{x}" for x in range(29)]
+            for k in range(60):
+                copy = list(start)
+                if k:
+                    copy[int(rng.integers(100, 390))] = f"p{pair}s{side}k{k}"
+                rows.append((pair * 1000 + side * 100 + k, " ".join(copy)))
+    want = brute.near(rows, 3, 85)
+    assert len({c for _, c in want.values()}) == 6
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 85).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in found} == want
+
+
 def test_near_odd_rows(odd, none):
     rows = near.near_duplicates(odd, "doc_id", "text", 3, 85).collect()
     assert len(rows) == len(ODD)

@@ -164,3 +164,36 @@ def test_what_stands_around_an_article_is_left_out():
 def test_broken_pages_do_not_fail(html):
     markup.scan(html)
     assert isinstance(template.main_text(html, frozenset(), ">p"), str)
+
+
+@pytest.mark.parametrize("size", [100, near.WHOLE, near.WHOLE + 1, 3000])
+def test_all_pairs_across_are_proposed_but_those_the_finer_sketches_rule_out(size):
+    hashes, _sizes, sketch, alike = _alike_rows(6, 400)
+    labels, sizes = np.arange(400) % 3, np.full(400, size)
+    fine = np.ones((400, near.FINE), np.uint8)
+    fine[::2] = 2  # nodes of odd and even place have nothing in common
+    found = [(a, b) for a, b, _ in _pairs(near.propose_across(hashes, sizes, sketch, labels, 85, fine))]
+    assert sorted(found) == sorted((a, b) for a, b in alike if labels[a] != labels[b] and a % 2 == b % 2)
+
+
+def test_finer_sketches_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    for size in (40, 200, 250, 600, 5000):
+        base, rows, nodes = rng.integers(0, 2**63, size).astype(np.uint64), [], []
+        for k in range(60):
+            own = int(size * rng.random() * 0.2)
+            nodes.append(np.concatenate([base[own:], rng.integers(0, 2**63, own + k % 9).astype(np.uint64)]))
+            rows.append((bytes([k]), np.sort(nodes[-1]).tobytes()))
+        found = {r.node[0]: r.fine for r in near._fine_sketches(spark.createDataFrame(rows, "node binary, shingles binary")).collect()}
+        fine = np.stack([np.frombuffer(found[k], np.uint8) for k in range(60)])
+        sizes, ruled_out = np.array([len(x) for x in nodes]), 0
+        for k in range(59):
+            rest = np.arange(k + 1, 60)
+            common = np.array([len(np.intersect1d(nodes[k], nodes[j])) for j in rest])
+            link = 100 * common >= 85 * (sizes[k] + sizes[rest] - common)
+            near_ = near._finely(fine, sizes, np.full(len(rest), k), rest, 85)
+            assert near_[link].all()
+            ruled_out += (~near_).sum()
+            if size == 200:
+                assert (near_ == link).all()
+        assert ruled_out
