@@ -28,6 +28,11 @@ AROUND_WORDS = frozenset(
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion "
     "recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that say nothing of what an element with them holds.
+PART_WORDS = frozenset("area bar block box button buttons container form group inner item items link links list outer panel section slot unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element stands in: an article, one named as around it, one that is around by its kind or hidden.
+INSIDE, NAMED, AROUND_IT = 0, 1, 2
 MAIN_WORDS = frozenset("article content entry main post story".split())
 
 _TAG = re.compile(
@@ -49,9 +54,10 @@ class Element:
 
     name: str
     path: str
-    around: bool
-    article: int  # the article or main element it stands in, -1 outside
+    around: int
+    article: int  # the outermost article or main element it stands in, -1 outside
     parents: list[int] = field(default_factory=list)  # indices of the paths above it and its own
+    loose: tuple[int, ...] = ()  # those of them whose name has a word of what stands around, below the article's start
 
 
 @dataclass
@@ -59,20 +65,21 @@ class Page:
     paths: list[str] = field(default_factory=list)  # each distinct path once
     uses: list[int] = field(default_factory=list)  # how often an element with it was opened
     chars: list[int] = field(default_factory=list)  # characters of text outside links below it
-    blocks: list[tuple] = field(default_factory=list)  # (path index, around, article, text, characters in links, parents)
+    blocks: list[tuple] = field(default_factory=list)  # (path index, around: INSIDE, NAMED or AROUND_IT, article, text, characters in links, parents, loose)
 
 
-def _marks(attributes: str) -> tuple[str, set[str], bool]:
-    """(class and id as part of a path, their words and the role's, hidden)."""
+def _marks(attributes: str) -> tuple[str, list[set[str]], set[str], bool]:
+    """(class and id as part of a path, the words of each of their names and the role's, those of the id, hidden)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     shown = "".join(f"{sign}{re.sub('[0-9]+', '0', ' '.join(found[k].split()))}" for sign, k in ((".", "class"), ("#", "id")) if found.get(k))
-    words = {w.lower() for k in ("class", "id", "role") for w in _WORD.findall(found.get(k, ""))}
-    return shown, words, "hidden" in found or found.get("aria-hidden") == "true"
+    names = [{w.lower() for w in _WORD.findall(name)} for k in ("class", "role") for name in found.get(k, "").split()]
+    own = {w.lower() for w in _WORD.findall(found.get("id", ""))}
+    return shown, names, own, "hidden" in found or found.get("aria-hidden") == "true"
 
 
 def scan(html: str) -> Page:
     page, index = Page(), {}
-    stack: list[Element] = [Element("", "", False, -1, [])]
+    stack: list[Element] = [Element("", "", INSIDE, -1, [])]
     text: list[str] = []
     links, in_link, articles, at = 0, 0, 0, 0
 
@@ -82,7 +89,7 @@ def scan(html: str) -> Page:
             words = " ".join(unescape("".join(text)).split())
             if words:
                 top = stack[-1]
-                page.blocks.append((top.parents[-1] if top.parents else -1, top.around, top.article, words, links, top.parents))
+                page.blocks.append((top.parents[-1] if top.parents else -1, top.around, top.article, words, links, top.parents, top.loose))
                 for p in top.parents:
                     page.chars[p] += max(0, len(words) - links)
             text.clear()
@@ -141,23 +148,33 @@ def scan(html: str) -> Page:
         elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].name):
             stack.pop()
         top = stack[-1]
-        shown, words, hidden = _marks(attributes) if attributes else ("", set(), False)
+        shown, names, own, hidden = _marks(attributes) if attributes else ("", [], set(), False)
         path = f"{top.path}>{name}{shown}"
-        article = top.article
-        around = top.around or hidden or name in AROUND or (name == "header" and article < 0)
-        if name not in ("html", "body"):
-            clash = words & AROUND_WORDS
-            around = around or bool(clash & {"comment", "comments"} if name in ("article", "main") else clash)
-        if article < 0 and not around and (name in ("article", "main") or "main" in words and "role" in attributes):
-            article, articles = articles, articles + 1
-        elif name == "article" and not around and article >= 0:
-            article, articles = articles, articles + 1  # an article inside main, or inside another
+        article, around, loose, is_loose = top.article, top.around, top.loose, False
+        names = names if name in HEADINGS else [*names, own]  # a heading's id is what it is linked by
+        words = set().union(*names)
+        if hidden or name in AROUND or name == "header" and article < 0:
+            around = AROUND_IT
+        elif name in ("article", "main"):
+            if words & {"comment", "comments"}:
+                around = AROUND_IT
+            elif name == "main" and around == NAMED:
+                around = INSIDE  # what holds the main element is not around it
+            if article < 0 and around != AROUND_IT:
+                article, articles, loose = articles, articles + 1, ()
+        elif name not in ("html", "body"):
+            if around == INSIDE and any(n & AROUND_WORDS and n <= AROUND_WORDS | PART_WORDS for n in names):
+                around = NAMED
+            is_loose = bool(words & AROUND_WORDS)
+            if article < 0 and around == INSIDE and "main" in words and "role" in attributes:
+                article, articles, loose, is_loose = articles, articles + 1, (), False
         if path not in index:
             index[path] = len(page.paths)
             page.paths.append(path)
             page.uses.append(0)
             page.chars.append(0)
         page.uses[index[path]] += 1
-        stack.append(Element(name, path, around, article, [*top.parents, index[path]]))
+        loose = (*loose, index[path]) if is_loose else loose
+        stack.append(Element(name, path, around, article, [*top.parents, index[path]], loose))
     flush()
     return page

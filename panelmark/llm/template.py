@@ -11,8 +11,9 @@ template. As each of its tokens is on half of the pages, a template is no larger
 twice a page, whatever the number of pages.
 
 What is left of a page between the tokens of its template are slots. Main text is what
-slots inside the page's article (or main) element hold, other than in elements that
-are named as standing around articles. On a page without such an element it is what
+slots inside the page's article and main elements hold, other than in elements that
+stand around articles by their kind or name. A name that only has a word of such (as in
+``page-with-sidebar``) counts if the template has the element and it is not most of the page. On a page without such an element it is what
 the slots below the template's densest element hold, texts of the template left out.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import small_batches, staged
-from panelmark.llm.markup import Page, digest, scan
+from panelmark.llm.markup import AROUND_IT, INSIDE, Page, digest, scan
 
 LEAST_PAGES, SHARE = 3, 0.5
 #: The densest element holds this share of the text of a host's pages outside links, and no element below it does.
@@ -103,14 +104,22 @@ def templates(sums: DataFrame, hosts: DataFrame) -> DataFrame:
 
 def main_text(html: str, tokens: frozenset[int], dense: str | None) -> str:
     page = scan(html)
-    blocks = [b for b in page.blocks if not b[1]]
-    sizes: dict[int, int] = {}
-    for b in blocks:
-        if b[2] >= 0:
-            sizes[b[2]] = sizes.get(b[2], 0) + len(b[3])
-    if sizes:
-        largest = max(sizes, key=lambda a: (sizes[a], -a))
-        return "\n".join(b[3] for b in blocks if b[2] == largest)
+    total = sum(max(0, len(b[3]) - b[4]) for b in page.blocks)
+    # elements whose name only has a word of what stands around are around if the template has them and they are not most of the page
+    around = {p for b in page.blocks for p in b[6] if 2 * page.chars[p] < total and digest(ELEMENT + page.paths[p]) in tokens}
+    shown = [b for b in page.blocks if b[1] != AROUND_IT and not around.intersection(b[6])]
+    blocks = [b for b in shown if b[1] == INSIDE]
+    within = [b for b in blocks if b[2] >= 0]
+    if not within:  # what holds most of the page's text is no surrounding, whatever its name
+        named = [b for b in shown if b[2] >= 0]
+        within = named if 2 * sum(max(0, len(b[3]) - b[4]) for b in named) > total else []
+    if within:
+        sizes: dict[int, list[int]] = {}
+        for b in within:
+            size = sizes.setdefault(b[2], [0, 0])
+            size[0], size[1] = size[0] + len(b[3]), size[1] + b[4]
+        largest = max(sizes, key=lambda a: (sizes[a][0] - sizes[a][1], -a))
+        return "\n".join(b[3] for b in within if b[2] == largest)
     slots = [b for b in blocks if _text_token(page, b) not in tokens and 2 * b[4] <= len(b[3])]
     if dense is not None and dense in page.paths:
         below = page.paths.index(dense)

@@ -160,6 +160,28 @@ def test_what_stands_around_an_article_is_left_out():
     assert template.main_text(PAGE, frozenset(), None) == "Head & more\nOne two bold text\nThree <tag>\nFirst\nSecond"
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div class='content-sidebar-wrap'><main><p>Body</main><div class=sidebar>Side</div></div>", "Body"),
+        ("<div id='page-with-sidebar'><article><p>Body</article><div class='widget'>W</div></div>", "Body"),
+        ("<div class='sidebar'><main><p>Body</main></div>", "Body"),
+        ("<div class='social'><article><p>Body of the page</article></div><p>x", "Body of the page"),
+        ("<article><h2 id='related-work'>Related</h2><p>One<section id='search-algorithms'><p>Two</section><h3 id=notice>N</h3></article>", "Related\nOne\nTwo\nN"),
+        ("<article><p>Body</article><div class=comments><article>Nice</article></div>", "Body"),
+    ],
+)
+def test_names_with_a_word_of_what_stands_around_do_not_drop_the_article(html, want):
+    assert template.main_text(html, frozenset(), None) == want
+
+
+def test_the_template_decides_on_elements_whose_name_only_has_a_word_of_what_stands_around():
+    html = "<article><p>Some longer body text<div class='story-newsletter'>Mail</div></article>"
+    token = markup.digest(f"{template.ELEMENT}>article>div.story-newsletter")
+    assert template.main_text(html, frozenset(), None).endswith("Mail")
+    assert template.main_text(html, frozenset([token]), None) == "Some longer body text"
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "a < b", "<!--", "<script>", "</p></div>", "<a href='x", "&#0;&bogus;", "<article>", "<p>" * 3000, "<div>" * 300 + "x"])
 def test_broken_pages_do_not_fail(html):
     markup.scan(html)
