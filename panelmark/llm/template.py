@@ -119,7 +119,8 @@ def main_text(html: str, tokens: frozenset[int], dense: str | None) -> str:
             size = sizes.setdefault(b[2], [0, 0])
             size[0], size[1] = size[0] + len(b[3]), size[1] + b[4]
         largest = max(sizes, key=lambda a: (sizes[a][0] - sizes[a][1], -a))
-        return "\n".join(b[3] for b in within if b[2] == largest)
+        # further articles that are mostly links are teasers of other pages
+        return "\n".join(b[3] for b in within if b[2] == largest or 2 * sizes[b[2]][1] <= sizes[b[2]][0])
     slots = [b for b in blocks if _text_token(page, b) not in tokens and 2 * b[4] <= len(b[3])]
     if dense is not None and dense in page.paths:
         below = page.paths.index(dense)

@@ -182,6 +182,20 @@ def test_the_template_decides_on_elements_whose_name_only_has_a_word_of_what_sta
     assert template.main_text(html, frozenset([token]), None) == "Some longer body text"
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<main><h1>Title</h1><p>Lead</p><article>Body of it</article></main>", "Title\nLead\nBody of it"),
+        ("<main><h1>Title</h1><p>Lead that is longer</p><article>Body</article></main>", "Title\nLead that is longer\nBody"),
+        ("<article><p>First half</article><article><p>Second</article>", "First half\nSecond"),
+        ("<article><p>First half</article><article class=comment><p>Nice one, very good</article>", "First half"),
+        ("<article><p>First half</article><article><a href=/x>Another page</a></article>", "First half"),
+    ],
+)
+def test_all_article_elements_of_a_page_are_kept(html, want):
+    assert template.main_text(html, frozenset(), None) == want
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "a < b", "<!--", "<script>", "</p></div>", "<a href='x", "&#0;&bogus;", "<article>", "<p>" * 3000, "<div>" * 300 + "x"])
 def test_broken_pages_do_not_fail(html):
     markup.scan(html)
