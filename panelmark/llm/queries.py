@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import bpe, exact, near, packing, pii, quality, records, shards, template, warc
+from panelmark.llm import bpe, clusters, exact, near, packing, pii, quality, records, shards, template, warc
 from panelmark.llm.common import table
 from panelmark.session import fresh_dir
 
@@ -80,7 +80,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records, op10_html_text)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records, op10_html_text, op11_centroid_clusters)}
 
 _HERE = Path(__file__).parent
 SQL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((_HERE / "sql").glob("*.sql"))}
