@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import bpe, clusters, exact, near, packing, pii, quality, ranked, records, shards, template, warc
+from panelmark.llm import bpe, clusters, exact, near, packing, pii, quality, ranked, records, repeats, shards, template, warc
 from panelmark.llm.common import table
 from panelmark.session import fresh_dir
 
@@ -88,7 +88,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records, op10_html_text, op11_centroid_clusters, op12_ranked_search)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_personal_data, op3_warc, op4_packing, op5_exact_dedup, op6_quality, op7_sharding, op8_bpe, op9_token_records, op10_html_text, op11_centroid_clusters, op12_ranked_search, op13_substring_dedup)}
 
 _HERE = Path(__file__).parent
 SQL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((_HERE / "sql").glob("*.sql"))}
