@@ -19,6 +19,7 @@ from panelmark.plans.read import FMT, KEYS, TODAY
 from panelmark.plans.registry import query
 from panelmark.session import constant, fresh_dir
 from panelmark.sources import adapters as A
+from panelmark.sources import landed as Z
 from panelmark.sources import payloads as Y
 from panelmark.sources import raw as W
 from panelmark.sources import reference as ref
@@ -579,15 +580,36 @@ def _(spark, d):
     return rows.select("page_key", "indicator_raw", "entity_raw", "period_raw", F.col("value_raw").cast("double").alias("value"), "cutoff")
 
 
-@query("S-3_sdmx_csv", f"""WITH b AS ({W.BASE}) SELECT {W.ISO2} AS "REF_AREA", y || '-' || mm AS "TIME_PERIOD", v AS "OBS_VALUE",
-  'Policy, rate' || chr(10) || 'item "' || CAST(id AS VARCHAR) || '"' AS "COMPILATION" FROM b""")
-def _(spark, d):
+# Landed files: one of each shape a nation, written to the shared folder and read back by the source.
+NOTE = "CASE id % 3 WHEN 0 THEN '<' || CAST(id AS VARCHAR) || '>' ELSE 'Policy, rate' || chr(10) || 'item \"' || CAST(id AS VARCHAR) || '\"' END"
+CSV_COLUMNS = ["REF_AREA", "TIME_PERIOD", "OBS_VALUE", "COMPILATION"]
+
+
+def landed_csv(spark, d):
+    """Notes first, so that a record may begin with a tag and the file not."""
     path = fresh_dir(spark, "sdmx")
     rows = W.base_rows(spark, d).selectExpr(
-        f"{W.ISO2} AS REF_AREA", "y || '-' || mm AS TIME_PERIOD", "v AS OBS_VALUE",
-        "'Policy, rate' || chr(10) || 'item \"' || CAST(id AS STRING) || '\"' AS COMPILATION")
+        f"{NOTE.replace('VARCHAR', 'STRING')} AS COMPILATION", f"{W.ISO2} AS REF_AREA", "y || '-' || mm AS TIME_PERIOD", "v AS OBS_VALUE")
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-    return Y.read_sdmx_csv(spark, path, ["REF_AREA", "TIME_PERIOD", "OBS_VALUE", "COMPILATION"])
+    return path
+
+
+@query("S-3_sdmx_csv", f"""WITH b AS ({W.BASE}) SELECT {W.ISO2} AS "REF_AREA", y || '-' || mm AS "TIME_PERIOD", v AS "OBS_VALUE",
+  {NOTE} AS "COMPILATION" FROM b""")
+def _(spark, d):
+    return Y.read_sdmx_csv(spark, landed_csv(spark, d), CSV_COLUMNS)
+
+
+@query("S-8_csv_range", f"""WITH b AS ({W.BASE}) SELECT {W.ISO2} AS "REF_AREA", y || '-' || mm AS "TIME_PERIOD", v AS "OBS_VALUE" FROM b
+WHERE d >= DATE '1996-04-01' AND d < DATE '1998-01-01'""")
+def _(spark, d):
+    return Y.read_sdmx_csv(spark, landed_csv(spark, d), ["REF_AREA", "TIME_PERIOD", "OBS_VALUE"], start="1996Q2", end="1997")
+
+
+@query("S-8_csv_most_recent", f"""WITH b AS ({W.BASE}), r AS (SELECT {W.ISO2} AS a, y || '-' || mm AS p,
+  row_number() OVER (PARTITION BY {W.ISO2} ORDER BY y || '-' || mm DESC) AS n FROM b) SELECT a AS "REF_AREA", p AS "TIME_PERIOD" FROM r WHERE n <= 4""")
+def _(spark, d):
+    return Y.read_sdmx_csv(spark, landed_csv(spark, d), ["REF_AREA", "TIME_PERIOD"], mrv=4, start="1992")
 
 
 SERIES_PAYLOAD = "'{\"observations\":[{\"date\":\"' || CAST(d AS STRING) || '\",\"value\":\"' || v || '\"},{\"date\":\"1990-01-01\",\"value\":\".\"}]}' AS payload"
@@ -646,12 +668,94 @@ def _(spark, d):
     return Y.slice_rows(spelt_rows(spark, d), ["entity_raw", "indicator_raw"], start="1999Q2", end="2000")
 
 
-@query("S-9_partial_fetch", """SELECT 'run-3' AS run_id, CASE n_nationkey % 5 WHEN 0 THEN 'SourceError' ELSE 'PayloadError' END AS error_type,
-  CASE n_nationkey % 5 WHEN 0 THEN 'no answer' ELSE 'not a JSON document' END AS message, '{"fetch_context":"' || n_name || '"}' AS raw_record
-FROM nation WHERE n_nationkey % 5 IN (0, 1)""")
+def landed_parts(spark, d, shape):
+    """A file for each nation: every sixth blank, the next an error document, the next cut short, the others whole."""
+    spelt = spelt_rows(spark, d).join(A.table(spark, d, "nation").selectExpr(f"{W.ISO3.replace('k', 'n_nationkey')} AS entity_raw", "n_nationkey AS k", "n_name AS context"), "entity_raw")
+    by = ["k", "context"]
+    if shape == "csv":
+        line = F.concat_ws(",", "entity_raw", "indicator_raw", "period_raw", "value_raw", F.lit('"a, ""note"""'))
+        body = F.concat(F.lit("AREA,INDICATOR,TIME_PERIOD,OBS_VALUE,NOTE\n"), F.concat_ws("\n", F.sort_array(F.collect_list(line))))
+        cut = F.concat("whole", F.lit('\nZZZ,R9,2000,1,"cut'))
+    elif shape == "paged":
+        row = F.struct(F.col("entity_raw").alias("countryiso3code"), F.struct(F.col("indicator_raw").alias("id")).alias("indicator"),
+                       F.col("period_raw").alias("date"), F.col("value_raw").alias("value"))
+        body = F.concat(F.lit('[{"pages":1},'), F.to_json(F.collect_list(row)), F.lit("]"))
+        cut = F.expr("left(whole, length(whole) - 1)")
+    elif shape == "map":
+        spelt = spelt.groupBy(*by, "indicator_raw", "entity_raw").agg(F.map_from_entries(F.collect_list(F.struct("period_raw", "value_raw"))).alias("m"))
+        areas = F.map_from_arrays(F.array("entity_raw"), F.array("m"))
+        body = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("indicator_raw", areas.alias("a")))).alias("values")))
+        cut = F.expr("left(whole, length(whole) - 1)")
+    else:
+        spelt = spelt.where("indicator_raw = 'R2'")
+        body = F.to_json(F.struct(F.collect_list(F.struct(F.col("period_raw").alias("date"), F.col("value_raw").alias("value"))).alias("observations")))
+        cut = F.expr("left(whole, length(whole) - 1)")
+    path = fresh_dir(spark, f"landed-{shape}")
+    whole = spelt.groupBy(*by).agg(body.alias("whole"))
+    text = F.when(F.col("k") % 6 == 0, F.lit(" ")).when(F.col("k") % 6 == 1, F.lit("<html>busy")).when(F.col("k") % 6 == 2, cut).otherwise(F.col("whole"))
+    whole.select("context", text.alias("value")).write.partitionBy("context").text(path)
+    return path
+
+
+CSV_ROLES = ("TIME_PERIOD", "OBS_VALUE", "INDICATOR", ["AREA", "INDICATOR"])
+LANDED_CSV = ["AREA", "INDICATOR", "TIME_PERIOD", "OBS_VALUE"]
+
+
+def landed(spark, d, shape, **slices):
+    named = (LANDED_CSV, CSV_ROLES) if shape == "csv" else ()
+    return Z.read_landed(spark, landed_parts(spark, d, shape), shape, *named, **slices)
+
+
+@query("S-9_partial_fetch", """SELECT 'run-3' AS run_id, shape, CASE n_nationkey % 6 WHEN 0 THEN 'SourceError' ELSE 'PayloadError' END AS error_type,
+  CASE WHEN n_nationkey % 6 = 0 THEN 'no answer' WHEN shape = 'csv' THEN 'ends inside a quoted field' ELSE 'not a JSON document' END AS message,
+  '{"fetch_context":"' || n_name || '"}' AS raw_record
+FROM nation, (VALUES ('paged'), ('map'), ('series'), ('csv')) AS t(shape)
+WHERE n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey)
+  AND (n_nationkey % 6 = 2 OR n_nationkey % 6 IN (0, 1) AND shape <> 'csv')
+  AND (shape <> 'series' OR n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderkey % 5 = 2))""")
+def _(spark, d):
+    out = None
+    for shape in ("paged", "map", "series", "csv"):
+        failed = K.fetch_error_rows(K.require_some(Z.parts(landed(spark, d, shape))), "run-3").withColumn("shape", F.lit(shape))
+        out = failed if out is None else out.unionByName(failed)
+    return out
+
+
+@query("S-9_states", S.with_("n AS (SELECT n_name AS context, n_nationkey AS k FROM nation)", SPELT_ROWS.replace("WITH ", "", 1)) + f"""
+SELECT context, CASE k % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'error document' WHEN 2 THEN 'failed' ELSE 'ok' END AS state,
+  CASE WHEN k % 6 IN (0, 1) THEN 0 ELSE count(*) END AS n_rows FROM n JOIN s ON entity_raw = {W.ISO3} GROUP BY context, k""")
+def _(spark, d):
+    return Z.parts(landed(spark, d, "csv")).select("context", "state", "n_rows")
+
+
+SHAPES_SQL = SPELT_ROWS.rstrip() + f""",
+n AS (SELECT n_nationkey % 6 AS p, {W.ISO3} AS entity_raw FROM (SELECT n_nationkey, n_nationkey AS k FROM nation)),
+w AS (SELECT s.*, p FROM s JOIN n USING (entity_raw) WHERE p > 1)
+"""
+
+
+@query("S-8_shapes_most_recent", SHAPES_SQL + """, t AS (SELECT shape, w.*,
+    row_number() OVER (PARTITION BY shape, entity_raw, indicator_raw ORDER BY day DESC) AS turn
+  FROM w, (VALUES ('paged'), ('map'), ('csv')) AS t(shape) WHERE p > 2 OR shape = 'csv')
+SELECT shape, entity_raw, indicator_raw, period_raw, value_raw FROM t WHERE turn <= 3""")
+def _(spark, d):
+    out = None
+    for shape in ("paged", "map", "csv"):
+        rows = Z.observations(landed(spark, d, shape, mrv=3, start="1999"))
+        named = LANDED_CSV if shape == "csv" else ["entity_raw", "indicator_raw", "period_raw", "value_raw"]
+        rows = rows.select(F.lit(shape).alias("shape"), *(F.col(c).alias(n) for c, n in zip(named, ["entity_raw", "indicator_raw", "period_raw", "value_raw"])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("S-8_shapes_range", SHAPES_SQL + """SELECT shape, period_raw, value_raw FROM w, (VALUES ('paged'), ('map'), ('series'), ('csv')) AS t(shape)
+WHERE indicator_raw = 'R2' AND day BETWEEN DATE '1994-01-01' AND DATE '1997-12-31' AND (p > 2 OR shape = 'csv')""")
 def _(spark, d):
-    path = fresh_dir(spark, "fetched")
-    body = F.when(F.col("n_nationkey") % 5 == 0, F.lit(" ")).when(F.col("n_nationkey") % 5 == 1, F.lit("<html>busy")).otherwise(
-        F.to_json(F.struct("n_nationkey", "n_name")))
-    A.table(spark, d, "nation").select(F.col("n_name").alias("context"), body.alias("value")).write.partitionBy("context").text(path)
-    return K.fetch_error_rows(K.require_some(Y.fetched_parts(spark, path)), "run-3")
+    out = None
+    for shape in ("paged", "map", "series", "csv"):
+        only = {} if shape == "series" else {"indicators": ["R2"]}
+        rows = Z.observations(landed(spark, d, shape, start="1994", end="1997M12", **only))
+        period, value = ("TIME_PERIOD", "OBS_VALUE") if shape == "csv" else ("period_raw", "value_raw")
+        rows = rows.select(F.lit(shape).alias("shape"), F.col(period).alias("period_raw"), F.col(value).alias("value_raw"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -1,7 +1,8 @@
 """Landed provider payloads as raw rows.
 
-Each reader has a parser from a text column (one payload per row) and a file reader
-around it. A payload is one provider page, so its size is the provider's page size.
+Parsers take a text column with one payload per row, such as a message or a table brings it;
+file readers go through the data source of ``sources/landed.py``. A payload is one provider
+page, so its size is the provider's page size.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from panelmark.functions.codes import income_group
 from panelmark.functions.periods import parse_period, period_end
 from panelmark.sources.reference import KEYED_SERIES, MONITOR_INDICATORS
 from panelmark.session import constant, settled
+from panelmark.sources import landed
 
 PAGED_ROW = ("array<struct<countryiso3code:string,indicator:struct<id:string,value:string>,"
              "country:struct<id:string,value:string>,date:string,value:string,unit:string>>")
@@ -43,7 +45,7 @@ def parse_paged_json(payloads: DataFrame, payload: str = "payload") -> DataFrame
 
 
 def read_paged_json(spark: SparkSession, path: str, **slices) -> DataFrame:
-    return slice_rows(parse_paged_json(_texts(spark, path)), ["entity_raw", "entity_alt", "indicator_raw"], **slices)
+    return landed.observations(landed.read_landed(spark, path, "paged", **slices))
 
 
 def parse_nested_map_json(payloads: DataFrame, cutoff: int, payload: str = "payload") -> DataFrame:
@@ -60,23 +62,17 @@ def parse_nested_map_json(payloads: DataFrame, cutoff: int, payload: str = "payl
 
 
 def read_nested_map_json(spark: SparkSession, path: str, cutoff: int, **slices) -> DataFrame:
-    return slice_rows(parse_nested_map_json(_texts(spark, path), cutoff), ["entity_raw", "indicator_raw"], **slices)
+    return landed.observations(landed.read_landed(spark, path, "map", **slices)).withColumn("cutoff", F.lit(cutoff))
 
 
-def read_sdmx_csv(spark: SparkSession, path: str, columns: list[str], **slices) -> DataFrame:
+def read_sdmx_csv(spark: SparkSession, path: str, columns: list[str], period: str = "TIME_PERIOD", value: str = "OBS_VALUE",
+                  indicator: str | None = None, series: tuple[str, ...] = ("REF_AREA",), **slices) -> DataFrame:
     """Quoted CSV with commas and line breaks in fields. Blank files and XML error
-    documents yield nothing."""
-    schema = ", ".join(f"{c} STRING" for c in columns)
-    rows = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
-    # the first record of an error document begins with its first tag; marked rows are few
-    first = F.regexp_replace(F.col(columns[0]), r"^[\uFEFF\s]+", "").startswith("<")
-    bad = rows.where(first).select("_file").distinct()
-    kept = rows.join(bad, "_file", "left_anti").drop("_file")
-    return kept.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
+    documents yield nothing; ``period``, ``value``, ``indicator`` and ``series`` say what slices look at."""
+    asked = [*columns, *(c for c in (period, value, indicator, *series) if slices and c and c not in columns)]
+    named = [c if c in asked else None for c in (period, value, indicator)]
+    rows = landed.read_landed(spark, path, "csv", asked, (*named, [c for c in series if c in asked]), **slices)
+    return landed.observations(rows).select(*columns)
 
 
 def keyed_registry(spark: SparkSession) -> DataFrame:
@@ -100,8 +96,8 @@ def parse_series_observations(payloads: DataFrame, registry: DataFrame | None =
 
 def read_series_observations(spark: SparkSession, path: str, registry: DataFrame | None = None, **slices) -> DataFrame:
     """One file per series, named after it."""
-    texts = _texts(spark, path).withColumn("series_id", F.regexp_extract("file", r"([^/]+?)(\.[A-Za-z]+)?$", 1)).drop("file")
-    return slice_rows(parse_series_observations(texts, registry), ["series_id"], **slices)
+    rows = landed.observations(landed.read_landed(spark, path, "series", **slices))
+    return rows if registry is None else rows.join(registry, "series_id", "left")
 
 
 def with_default_units(rows: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -165,19 +161,6 @@ def slice_rows(rows: DataFrame, series: list[str], mrv: int | None = None, start
     return out.drop("_day")
 
 
-def fetched_parts(spark: SparkSession, path: str) -> DataFrame:
-    """(context, payload, kind, error): files below ``path/context=.../`` with what failed in each.
-
-    An empty file failed to arrive, one that is no JSON arrived damaged; both leave the
-    other parts as they are."""
-    text = spark.read.option("wholetext", True).schema("value string, context string").text(path)
-    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
-    damaged = F.try_parse_json("value").isNull()
-    return text.select(
-        "context", F.col("value").alias("payload"), F.when(blank, "SourceError").when(damaged, "PayloadError").alias("kind"),
-        F.when(blank, "no answer").when(damaged, "not a JSON document").alias("error"))
-
-
 def display_names(rows: DataFrame, registry: DataFrame, order: str) -> DataFrame:
     """Last non-empty provider name of each code, else the registry's, else the code."""
     named = rows.groupBy(F.col("indicator_raw").alias("indicator_code")).agg(
