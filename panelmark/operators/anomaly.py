@@ -2,15 +2,20 @@
 
 Each scored row sees its (at most ``window``) predecessors as an array made by one
 ordered window per series; fit, spread, fences and tests are row-local expressions.
-A series is bounded by its natural key: one row per date.
+What a break is measured by, the median of all earlier moves, is kept along the series in
+the same pass. A series is bounded by its natural key: one row per date.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from panelmark.session import settled
+from pyspark.sql.types import StructType
 
 # Fixed values of the detector.
 MAD_TO_SIGMA = 1.4826
@@ -102,10 +107,9 @@ def fences(df: DataFrame) -> DataFrame:
     return df.withColumn("fence_low", F.col("_q1") - reach).withColumn("fence_high", F.col("_q3") + reach)
 
 
-def score_windows(df: DataFrame, keys: list[str], window: int = 12, min_obs: int = 8) -> DataFrame:
-    """Every row with enough history, with its trend prediction, spread, residual and fences."""
-    rows = _trend_columns(df, keys, window).where((F.col("_index") >= min_obs) & (F.size("_prior") >= 1))
-    scored = fences(robust_sigma(local_trend(rows)))
+def _scored(df: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Every row with its trend prediction, spread, residual and fences, as far as its history goes."""
+    scored = fences(robust_sigma(local_trend(_trend_columns(df, keys, window))))
     scale = F.when(F.col("_log"), F.lit(1.0)).otherwise(F.greatest(F.abs("predicted"), F.lit(1.0)))
     both_positive = F.col("_log") & (F.col("value") > 0) & (F.col("predicted") > 0)
     relative = F.ln(F.when(both_positive, F.col("value"))) - F.ln(F.when(both_positive, F.col("predicted")))
@@ -118,16 +122,79 @@ def score_windows(df: DataFrame, keys: list[str], window: int = 12, min_obs: int
     )
 
 
-def _earlier_steps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Non-zero moves of each series with their position, smallest first, as one array per series."""
-    w = Window.partitionBy(*keys).orderBy("date")
-    moves = (
-        _points(df, keys)
-        .withColumn("_index", F.row_number().over(w) - 1)
-        .withColumn("_step", F.abs(F.col("value") - F.lag("value").over(w)))
-        .where(F.col("_step") > 0)
-    )
-    return moves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_step", "_index"))).alias("_steps"))
+def _enough(min_obs: int) -> Column:
+    return (F.col("_index") >= min_obs) & (F.size("_prior") >= 1)
+
+
+def score_windows(df: DataFrame, keys: list[str], window: int = 12, min_obs: int = 8) -> DataFrame:
+    """Every row with enough history, with its trend prediction, spread, residual and fences."""
+    return _scored(df, keys, window).where(_enough(min_obs))
+
+
+class Moves:
+    """The non-zero moves of a series so far, in order of size; new ones are sorted in when the median is asked."""
+
+    def __init__(self):
+        self.sorted, self.new = np.zeros(0), []
+
+    def add(self, steps: np.ndarray) -> None:
+        steps = steps[(steps > 0) | np.isnan(steps)]
+        if len(steps):
+            self.new.append(steps)
+
+    def median(self) -> float | None:
+        if self.new:
+            more = np.sort(np.concatenate(self.new))
+            self.sorted, self.new = np.insert(self.sorted, np.searchsorted(self.sorted, more), more), []
+        n = len(self.sorted)
+        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2 if n else None
+
+
+def _large_breaks(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Judged rows in the order of their series to the anomalies among them.
+
+    A break must be large beside the median of its series' own earlier moves, which is kept
+    while the rows stream by: one series is held at a time, and only its moves.
+    """
+    out = [*keys, "date", "value", "z_score", "deviation_type"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, last, moves = None, np.nan, Moves()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            new[0] = first != open_
+            for k in keys:
+                column = batch.column(k)
+                new[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, n - 1)))
+            value, predicted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "predicted"))
+            step = np.abs(np.diff(value, prepend=last))
+            step[new] = 0
+            starts = np.flatnonzero(new)
+            kinds = batch.column("deviation_type")
+            broke = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(kinds, "structural_break"), False)))
+            stays = np.asarray(kinds.is_valid()).copy()
+            seen = 0  # rows before it are in ``moves`` as far as they belong to its series
+            for row in broke.tolist():
+                begin = starts[np.searchsorted(starts, row, "right") - 1] if len(starts) and starts[0] <= row else 0
+                if begin > seen or (seen == 0 and new[0]):
+                    moves, seen = Moves(), begin
+                moves.add(step[seen:row])
+                seen = row
+                typical = moves.median()
+                stays[row] = typical is None or abs(value[row] - predicted[row]) >= typical * BREAK_MULTIPLE
+            begin = starts[-1] if len(starts) else 0
+            if begin > seen or (seen == 0 and new[0]):
+                moves, seen = Moves(), begin
+            moves.add(step[seen:])
+            open_, last = tuple(batch.column(k)[n - 1].as_py() for k in keys), value[-1]
+            yield batch.select(out).filter(pa.array(stays))
+
+    schema = StructType([f for f in judged.schema.fields if f.name in out])
+    return judged.mapInArrow(run, schema)
 
 
 def detect_anomalies(
@@ -135,27 +202,18 @@ def detect_anomalies(
 ) -> DataFrame:
     """keys, date, value, z_score (4 decimals, null for a structural break), deviation_type.
 
-    Breaks out of a flat stretch must be large beside the series' own earlier moves.
-    Only rows that left a flat stretch look at those moves, and only their series'
-    moves are gathered: sorted once a series, so what lies before a row is sorted too.
+    One ordered window per series, one scoring of its rows. Breaks out of a flat stretch must be
+    large beside the series' own earlier moves.
     """
-    scored = score_windows(df, keys, window, min_obs)
+    scored = _scored(df, keys, window)
     outside = (F.col("residual") < F.col("fence_low")) | (F.col("residual") > F.col("fence_high"))
     kind = F.when(~F.col("flat") & (F.abs("z") >= threshold) & outside,
                   F.when(F.col("z") > 0, F.lit("spike")).otherwise(F.lit("drop"))
                   ).when(F.col("flat") & F.col("_moved"), F.lit("structural_break"))
-    judged = scored.select(*keys, "date", "value", "_index", "predicted", "z", kind.alias("deviation_type"))
-    flagged = settled(judged, "predicted", "z", "deviation_type").where(F.col("deviation_type").isNotNull()).withColumn(
-        "z_score", F.when(F.col("deviation_type") != "structural_break", F.round("z", 4)))
-    out = [*keys, "date", "value", "z_score", "deviation_type"]
-    sudden = flagged.where(F.col("deviation_type") != "structural_break").select(*out)
-    candidates = flagged.where(F.col("deviation_type") == "structural_break")
-    prior = F.transform(F.filter("_steps", lambda s: s["_index"] < F.col("_index")), lambda s: s["_step"])
-    moves = _earlier_steps(df.join(candidates.select(*keys).distinct(), keys, "left_semi"), keys)
-    breaks = settled(candidates.join(moves, keys, "left").withColumn("_earlier", prior), "_earlier")
-    breaks = settled(breaks.withColumn("_typical", sorted_median(F.col("_earlier"))).drop("_steps", "_earlier"), "_typical")
-    large = F.abs(F.col("value") - F.col("predicted")) >= F.col("_typical") * BREAK_MULTIPLE
-    return sudden.unionByName(breaks.where(F.col("_typical").isNull() | large).select(*out))
+    judged = scored.withColumn("deviation_type", F.when(_enough(min_obs), kind)).select(
+        *keys, "date", "value", F.when(~F.col("flat"), F.round("z", 4)).alias("z_score"), "deviation_type", "predicted")
+    # all rows of a series are in one partition by the window; the sort is dropped where they are in order already
+    return _large_breaks(judged.sortWithinPartitions(*keys, "date"), keys)
 
 
 def refresh_anomalies(old: DataFrame, found: DataFrame, keys: list[str], now, scope: Column | None = None) -> DataFrame:
