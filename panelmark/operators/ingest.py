@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelmark.functions.codes import code_or_fallback, is_missing, to_iso3
 from panelmark.functions.periods import parse_period
-from panelmark.session import durable, settled
+from panelmark.session import settled, staged
 from panelmark.sources.reference import GROUPING_ISO2, bounds
 
 NORMALIZATION, VALIDATION, DUPLICATE = "NormalizationError", "ValidationError", "DuplicateRecord"
@@ -192,7 +192,7 @@ def source_status(sources: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def ingest_batch(raw: DataFrame, rules: Rules, today: dt.date, fetch_errors: int = 0):
     """(accepted, rejected, skipped, run summary) of one batch, classified once: the rows are
-    checkpointed in the shared folder, and all four read them from there."""
-    rows = durable(classify(raw, rules, today))
+    written to the shared folder, and all four read them from there."""
+    rows = staged(classify(raw, rules, today), "classified")
     return (accepted(rows), rejected(rows), rows.where("outcome.status = 'skipped'").select("ordinal"),
             run_summary(rows, fetch_errors))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmark.operators.latest import newest
-from panelmark.session import durable, exists
+from panelmark.operators.versioned import VersionedTable
 
 NATURAL_KEY = ["source", "indicator_code", "entity", "date"]
 
@@ -22,30 +22,36 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order_by: str | None
     return newest(rows, keys, order).drop("_age")
 
 
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Rows by source and year, sorted so that a reader of one indicator skips row groups; rebalancing
+    splits a large partition into files of the advised size and leaves a small one whole."""
+    rows = rows.sparkSession.sql("SELECT /*+ REBALANCE(source, year) */ * FROM {rows}", rows=rows)
+    return rows.sortWithinPartitions("source", "year", "indicator_code", "entity", "date")
+
+
 def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Facts by source and year. Rows of one partition are sorted so that a reader of
-    one indicator skips row groups; rebalancing splits a large partition into files of the
-    advised size and leaves a small one whole."""
-    rows = df.sparkSession.sql("SELECT /*+ REBALANCE(source, year) */ * FROM {rows}", rows=df.withColumn("year", F.year("date")))
-    (
-        rows.sortWithinPartitions("source", "year", "indicator_code", "entity", "date")
-        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source", "year").parquet(path)
-    )
+    """Facts in folders by source and year."""
+    rows = _laid_out(df.withColumn("year", F.year("date")))
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source", "year").parquet(path)
 
 
 def upsert_observations(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Merge a batch into the stored facts, rewriting only the partitions it touches.
+    """Merge a batch into the versioned facts at ``path``: the partitions it touches are written once, as
+    new versions beside the old ones, and readers see them all at once (``read_observations``)."""
+    table = VersionedTable(spark, path)
+    stored = table.read()
+    batch = new.withColumn("year", F.year("date"))
+    if stored is None:
+        merged = newest(batch, NATURAL_KEY, [F.lit(0)])
+    else:
+        touched = batch.select(F.col("source").alias("_source"), F.col("year").alias("_year")).distinct()
+        same = F.col("source").eqNullSafe(F.col("_source")) & F.col("year").eqNullSafe(F.col("_year"))
+        merged = upsert(stored.join(touched, same, "left_semi"), batch, NATURAL_KEY).select(*stored.columns)
+    table.replace_partitions(_laid_out(merged), ["source", "year"])
 
-    A first batch is written as it is. The merged partitions are checkpointed before the overwrite: the write then never
-    depends on files it is replacing, also when a lost executor forces a re-run.
-    """
-    if not exists(spark, path):
-        write_partitioned(newest(new, NATURAL_KEY, [F.lit(0)]), path)
-        return
-    touched = new.select("source", F.year("date").alias("year")).distinct()
-    stored = spark.read.option("basePath", path).parquet(path)
-    old = stored.join(touched, ["source", "year"], "left_semi").drop("year")
-    write_partitioned(durable(upsert(old, new, NATURAL_KEY)), path, mode="overwrite")
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    return VersionedTable(spark, path).read()
 
 
 def upsert_catalog(catalog: DataFrame, batch: DataFrame) -> DataFrame:

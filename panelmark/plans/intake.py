@@ -438,7 +438,7 @@ def _(spark, d):
     path, facts = fresh_dir(spark, "stored"), A.facts(spark, d)
     K.upsert_observations(spark, facts, path)  # an empty path at first
     K.upsert_observations(spark, facts.where(F.year("date") >= 2000).withColumn("value", F.col("value") + 1), path)
-    return spark.read.parquet(path).select("source", "indicator_code", "entity", "date", "value")
+    return K.read_observations(spark, path).select("source", "indicator_code", "entity", "date", "value")
 
 
 @query("K-3_error_ledger", classify_sql("paged") + """

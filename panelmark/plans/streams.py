@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelmark.operators import ingest as I
+from panelmark.operators.versioned import VersionedTable
 from panelmark.plans.derived import TRACES, traces
 from panelmark.plans.intake import ACCEPTED, classify_sql, rules
 from panelmark.plans.read import TODAY
@@ -41,7 +42,7 @@ def _(spark, d):
     path, schema = landed(spark, rows, "landing", files=3)
     tables = fresh_dir(spark, "tables")
     J.stream_first_wins(J.landing_stream(spark, path, schema, max_files=1), tables, ["o_custkey", "date"], "o_orderkey", month_of="date")
-    return spark.read.parquet(f"{tables}/duplicates").groupBy("o_custkey", "date").agg(F.count("*").alias("duplicates"))
+    return VersionedTable(spark, f"{tables}/duplicates").read().groupBy("o_custkey", "date").agg(F.count("*").alias("duplicates"))
 
 
 @query("ST-3_running_latest", """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_type AS indicator_code, CAST(ts AS DATE) AS date,
@@ -50,7 +51,7 @@ SELECT entity, indicator_code, max(date) AS date, arg_max(value, date) AS value
 def _(spark, d):
     path, schema = landed(spark, A.event_facts(spark, d), "landing")
     out = fresh_dir(spark, "latest")
-    J.write_updates(J.stream_latest(J.landing_stream(spark, path, schema, max_files=2)), out)
+    J.write_updates(J.stream_latest(J.landing_stream(spark, path, schema, max_files=2)), out, ["entity", "indicator_code"])
     return J.read_updates(spark, out, ["entity", "indicator_code"])
 
 

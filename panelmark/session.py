@@ -31,28 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
     Where the session names none, a folder in the warehouse: like the tables there, it
-    is reached by every executor, which a machine's temporary folder is not.
+    is reached by every executor. A cluster whose warehouse is a folder of one machine has
+    no such place and must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if named:
+        return named
+    home = spark.conf.get("spark.sql.warehouse.dir")
+    of_one_machine = ":" not in home or home.startswith("file:")
+    if of_one_machine and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder, and the warehouse is not one")
+    return home.rstrip("/") + "/_work"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    home = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that two readers of ``df`` see the same rows."""
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that several readers see the same rows."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = fresh_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame, *names: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Incremental runs of the batch operators over landing folders.
 
-Every micro-batch writes under its own batch id and replaces what an interrupted
-attempt of the same batch left there, so a restarted stream counts nothing twice.
+Every micro-batch is one write to a versioned table that takes a batch number once, so a
+restarted stream counts nothing twice; what batches left is merged level by level, so that
+reading costs what the table holds, not how often it was written to. The checkpoint lies
+beside the tables, since batch numbers mean something only together with it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +18,17 @@ from pyspark.sql import functions as F
 from panelmark.operators import ingest as I
 from panelmark.operators import sinks as K
 from panelmark.operators.latest import newest
-from panelmark.session import exists
+from panelmark.operators.versioned import VersionedTable
 
 NATURAL = ["entity", "indicator_code", "date"]
 
 
-def _batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
+def _append(path: str, rows: DataFrame, batch_id: int, by: list[str] | None = None, merge=None) -> None:
+    VersionedTable(rows.sparkSession, path).append(rows, batch_id, by, merge)
+
+
+def _newest_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return newest(rows, keys, [-F.col("batch_id")])
 
 
 def landing_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -45,10 +53,10 @@ def stream_ingest(raw: DataFrame, tables: str, rules: I.Rules, today: dt.date) -
         rows = I.classify(batch, rules, today).persist()
         try:
             run_id = f"{rules.source}-{batch_id}"
-            I.accepted(rows).write.mode("overwrite").parquet(_batch_path(f"{tables}/facts", batch_id))
-            K.error_rows(I.rejected(rows), run_id).write.mode("overwrite").parquet(_batch_path(f"{tables}/errors", batch_id))
-            I.run_summary(rows).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(
-                _batch_path(f"{tables}/runs", batch_id))
+            facts = I.accepted(rows).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            _append(f"{tables}/facts", facts, batch_id, merge=lambda old: _newest_batch(old, ["source", *NATURAL]))
+            _append(f"{tables}/errors", K.error_rows(I.rejected(rows), run_id), batch_id)
+            _append(f"{tables}/runs", I.run_summary(rows).withColumn("run_id", F.lit(run_id)), batch_id)
         finally:
             rows.unpersist()
 
@@ -56,7 +64,7 @@ def stream_ingest(raw: DataFrame, tables: str, rules: I.Rules, today: dt.date) -
 
 
 def read_facts(spark: SparkSession, tables: str) -> DataFrame:
-    return newest(spark.read.parquet(f"{tables}/facts"), ["source", *NATURAL], [-F.col("batch_id")])
+    return _newest_batch(VersionedTable(spark, f"{tables}/facts").read(), ["source", *NATURAL])
 
 
 def stream_first_wins(rows: DataFrame, tables: str, keys: list[str], order: str, month_of: str) -> None:
@@ -69,20 +77,23 @@ def stream_first_wins(rows: DataFrame, tables: str, keys: list[str], order: str,
     """
     spark = rows.sparkSession
     kept_path = f"{tables}/kept"
-    month = F.date_format(month_of, "yyyy-MM")
+    month = F.coalesce(F.date_format(month_of, "yyyy-MM"), F.lit("none"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        earlier = batch.limit(0).select(*keys)
-        if exists(spark, kept_path):
+        # keys of earlier batches; those of this one, if it was cut short after noting them, don't count
+        earlier = VersionedTable(spark, kept_path).read()
+        firsts = batch.groupBy(*keys).agg(F.min(order).alias(order))
+        if earlier is not None:
             months = [r[0] for r in batch.select(month).distinct().collect()]  # as many as the calendar has
-            earlier = spark.read.parquet(kept_path).where((F.col("batch_id") < batch_id) & F.col("month").isin(months)).select(*keys)
-        firsts = batch.groupBy(*keys).agg(F.min(order).alias(order)).join(earlier, keys, "left_anti")
+            earlier = earlier.where((F.col("batch_id") < batch_id) & F.col("month").isin(months)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            firsts = firsts.join(earlier, same, "left_anti")
         marked = batch.join(firsts.select(order, F.lit(True).alias("_first")), order, "left").persist()
         try:
-            marked.where(F.col("_first").isNull()).drop("_first").withColumn(
-                "error_type", F.lit(I.DUPLICATE)).write.mode("overwrite").parquet(_batch_path(f"{tables}/duplicates", batch_id))
-            marked.where("_first").select(*keys, month.alias("month")).write.mode("overwrite").partitionBy("month").parquet(
-                _batch_path(kept_path, batch_id))
+            rejects = marked.where(F.col("_first").isNull()).drop("_first").withColumn("error_type", F.lit(I.DUPLICATE))
+            _append(f"{tables}/duplicates", rejects, batch_id)
+            kept = marked.where("_first").select(*keys, F.lit(batch_id).cast("long").alias("batch_id"), month.alias("month"))
+            _append(kept_path, kept, batch_id, by=["month"])
         finally:
             marked.unpersist()
 
@@ -98,23 +109,27 @@ def stream_latest(rows: DataFrame) -> DataFrame:
     return best.select("entity", "indicator_code", "_b.date", "_b.value")
 
 
-def _stream_partials(rows: DataFrame, path: str, summarise) -> None:
+def _stream_partials(rows: DataFrame, path: str, keys: list[str], summarise) -> None:
     """Partial counts of every batch under its id. They add up to the same totals however
     the rows are cut into batches and however late a row comes, so nothing is dropped."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        summarise(batch).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        _append(path, summarise(batch), batch_id, merge=lambda parts: _added_up(parts, keys))
 
     _run(rows.writeStream.foreachBatch(handle), f"{path}/_checkpoint")
 
 
+def _added_up(parts: DataFrame, keys: list[str]) -> DataFrame:
+    kinds = dict(parts.dtypes)
+    return parts.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in parts.columns if c not in keys])
+
+
 def _totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    parts = spark.read.parquet(path).drop("batch_id")
-    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
+    return _added_up(VersionedTable(spark, path).read(), keys)
 
 
 def stream_counters(traces: DataFrame, path: str, at: str = "ts", width: str = "1 day") -> None:
     """Request counters per tumbling window; ``read_counters`` adds them up, ``counter_rates`` gives rates."""
-    _stream_partials(traces, path, lambda batch: batch.groupBy(F.window(at, width)).agg(
+    _stream_partials(traces, path, ["window_start"], lambda batch: batch.groupBy(F.window(at, width)).agg(
         F.count("*").alias("requests"), F.count_if("cached").alias("cache_hits"),
         F.count_if(F.col("fallbacks") > 0).alias("fallbacks"), F.count_if("ranked").alias("rankings"),
         F.count_if(F.col("outcome").isin("refused", "retracted", "absent")).alias("refusals"),
@@ -138,7 +153,7 @@ def counter_rates(counters: DataFrame) -> DataFrame:
 
 def stream_budget(log: DataFrame, path: str, client: str = "client", at: str = "at") -> None:
     """Requests per client over the trailing minute, in sliding windows of ten seconds."""
-    _stream_partials(log, path, lambda batch: batch.groupBy(client, F.window(at, "60 seconds", "10 seconds")).agg(
+    _stream_partials(log, path, [client, "window_start"], lambda batch: batch.groupBy(client, F.window(at, "60 seconds", "10 seconds")).agg(
         F.count("*").alias("n")).select(client, F.col("window.start").alias("window_start"), "n"))
 
 
@@ -146,16 +161,15 @@ def read_budget(spark: SparkSession, path: str, per_minute: int, client: str = "
     return _totals(spark, path, [client, "window_start"]).withColumn("over_budget", F.col("n") > per_minute)
 
 
-def write_updates(updates: DataFrame, path: str) -> None:
-    """Changed rows of a streaming aggregate, per batch id."""
+def write_updates(updates: DataFrame, path: str, keys: list[str]) -> None:
+    """Changed rows of a streaming aggregate; merging keeps the newest update of every key."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        _append(path, rows, batch_id, merge=lambda old: _newest_batch(old, keys))
 
     _run(updates.writeStream.outputMode("update").foreachBatch(handle), f"{path}/_checkpoint")
 
 
 def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest update of every key."""
-    rows = spark.read.parquet(path)
-    return newest(rows, keys, [-F.col("batch_id")]).drop("batch_id")
-
+    return _newest_batch(VersionedTable(spark, path).read(), keys).drop("batch_id")

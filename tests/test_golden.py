@@ -135,10 +135,10 @@ def test_stored_facts_are_merged_by_partition(spark, tmp_path):
     path = str(tmp_path / "facts")
     schema = "source string, indicator_code string, entity string, date date, value double"
     first = spark.createDataFrame([("s", "i", "AAA", dt.date(2000, 1, 1), 1.0), ("s", "i", "AAA", dt.date(2001, 1, 1), 2.0)], schema)
-    K.write_partitioned(first, path)
+    K.upsert_observations(spark, first, path)
     K.upsert_observations(spark, spark.createDataFrame(
         [("s", "i", "AAA", dt.date(2001, 1, 1), 5.0), ("s", "i", "BBB", dt.date(2001, 1, 1), 7.0)], schema), path)
-    rows = {(r["entity"], r["year"]): r["value"] for r in spark.read.parquet(path).collect()}
+    rows = {(r["entity"], r["year"]): r["value"] for r in K.read_observations(spark, path).collect()}
     assert rows == {("AAA", 2000): 1.0, ("AAA", 2001): 5.0, ("BBB", 2001): 7.0}
 
 
