@@ -35,29 +35,30 @@ def sorted_median(items: Column) -> Column:
     return (F.get(items, F.floor((n - 1) / 2).cast("int")) + F.get(items, F.floor(n / 2).cast("int"))) / 2
 
 
-def _points(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The columns both passes over a series read, under one set of filters, so that
-    the second pass can reuse the shuffle of the first."""
+def _points(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Observations with a value and a whole key."""
     held = F.col("value").isNotNull()
     for key in keys:
         held = held & F.col(key).isNotNull()
-    return df.select(*keys, "date", "value").where(held)
+    return df.select(*keys, "date", "value", *more).where(held)
 
 
-def _trend_columns(df: DataFrame, keys: list[str], window: int) -> DataFrame:
+def _trend_columns(df: DataFrame, keys: list[str], window: int, since: str | None = None) -> DataFrame:
     """Prior values of each row with least squares over them, on values and on logs.
 
     One ordered window per series. The fits come from the window itself, so the
-    array expressions below read ready columns and stay linear in the window size.
+    array expressions below read ready columns and stay linear in the window size. Rows
+    before the day in column ``since`` get no prior values and are not scored.
     """
     w = Window.partitionBy(*keys).orderBy("date")
     prior = w.rowsBetween(-window, -1)
-    rows = _points(df, keys)
+    rows = _points(df, keys, *([since] if since else []))
     rows = rows.withColumn("_index", F.row_number().over(w) - 1).withColumn(
         "_ln", F.when(F.col("value") > 0, F.ln("value")))
     fit = lambda f, y: f(F.col(y), F.col("_index").cast("double")).over(prior)
+    values = F.collect_list("value").over(prior)
     return rows.select(
-        "*", F.collect_list("value").over(prior).alias("_prior"),
+        "*", (F.when(F.col("date") >= F.col(since), values) if since else values).alias("_prior"),
         F.min("value").over(prior).alias("_lowest"),
         fit(F.regr_slope, "value").alias("_slope"), fit(F.regr_intercept, "value").alias("_base"),
         fit(F.regr_slope, "_ln").alias("_ln_slope"), fit(F.regr_intercept, "_ln").alias("_ln_base"),
@@ -107,9 +108,9 @@ def fences(df: DataFrame) -> DataFrame:
     return df.withColumn("fence_low", F.col("_q1") - reach).withColumn("fence_high", F.col("_q3") + reach)
 
 
-def _scored(df: DataFrame, keys: list[str], window: int) -> DataFrame:
+def _scored(df: DataFrame, keys: list[str], window: int, since: str | None = None) -> DataFrame:
     """Every row with its trend prediction, spread, residual and fences, as far as its history goes."""
-    scored = fences(robust_sigma(local_trend(_trend_columns(df, keys, window))))
+    scored = fences(robust_sigma(local_trend(_trend_columns(df, keys, window, since))))
     scale = F.when(F.col("_log"), F.lit(1.0)).otherwise(F.greatest(F.abs("predicted"), F.lit(1.0)))
     both_positive = F.col("_log") & (F.col("value") > 0) & (F.col("predicted") > 0)
     relative = F.ln(F.when(both_positive, F.col("value"))) - F.ln(F.when(both_positive, F.col("predicted")))
@@ -198,14 +199,15 @@ def _large_breaks(judged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def detect_anomalies(
-    df: DataFrame, keys: list[str], threshold: float = 2.0, window: int = 12, min_obs: int = 8
+    df: DataFrame, keys: list[str], threshold: float = 2.0, window: int = 12, min_obs: int = 8, since: str | None = None
 ) -> DataFrame:
     """keys, date, value, z_score (4 decimals, null for a structural break), deviation_type.
 
     One ordered window per series, one scoring of its rows. Breaks out of a flat stretch must be
-    large beside the series' own earlier moves.
+    large beside the series' own earlier moves. With ``since``, a date column, only rows from that
+    day on are scored; earlier ones are their history.
     """
-    scored = _scored(df, keys, window)
+    scored = _scored(df, keys, window, since)
     outside = (F.col("residual") < F.col("fence_low")) | (F.col("residual") > F.col("fence_high"))
     kind = F.when(~F.col("flat") & (F.abs("z") >= threshold) & outside,
                   F.when(F.col("z") > 0, F.lit("spike")).otherwise(F.lit("drop"))

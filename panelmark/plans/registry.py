@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-SECTIONS = ["read", "intake", "derived", "forecasts", "texts", "streams"]
+SECTIONS = ["read", "intake", "derived", "forecasts", "texts", "streams", "stored"]
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that was registered before, for another way to the same rows."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for section in SECTIONS:
         import_module(f"panelmark.plans.{section}")
