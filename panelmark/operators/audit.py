@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmark.functions import phrases as H
 from panelmark.functions import words as V
+from panelmark.functions.markup import strip_markup  # noqa: F401  part of the audit's surface
 from panelmark.operators.evidence import walk
 from panelmark.session import settled
 
@@ -36,12 +38,6 @@ def sentences(text: Column, same_line: bool = False) -> Column:
     return F.split(F.coalesce(text, F.lit("")), V.SENTENCE_SAME_LINE if same_line else V.SENTENCE, -1)
 
 
-def strip_markup(text: Column) -> Column:
-    for pattern, kept in V.MARKUP:
-        text = F.regexp_replace(text, pattern, kept)
-    return F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-
-
 def asks_for_ranking(question: Column) -> Column:
     return F.regexp_replace(F.coalesce(question, F.lit("")), V.NOT_SUPERLATIVE, " ").rlike(V.SUPERLATIVE)
 
@@ -200,27 +196,22 @@ def score_answers(judged: DataFrame) -> DataFrame:
 
 # Meaning.
 
-def _groups(text: Column, pattern: str, *indexes: int) -> Column:
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in indexes])
-
-
 def direction_facts(walked: DataFrame) -> DataFrame:
     """Adds ``facts``: array<struct<value, direction, kind>> the evidence asserts, without
     values it describes both ways; ``transitions`` and ``extremes`` beside them."""
     fact = lambda v, d, k: F.struct(v.alias("value"), d.alias("direction"), F.lit(k).alias("kind"))
     rows = settled(walked.withColumnsRenamed({"objects": "_objs", "texts": "_texts"}), "_objs", "_texts")
-    rows = rows.withColumn("_moves", F.flatten(F.transform("_texts", lambda t: _groups(t["t"], V.TRANSITION, 1, 2, 4))))
-    rows = rows.withColumn("_sizes", F.flatten(F.transform("_texts", lambda t: _groups(t["t"], V.MAGNITUDE, 1, 2))))
-    rows = settled(rows, "_moves", "_sizes")
+    rows = settled(rows.withColumn("_cut", F.transform("_texts", lambda t: H.tokens(t["t"]))), "_cut")
+    rows = rows.withColumn("_moves", F.flatten(F.transform("_cut", H.moves))).withColumn("_sizes", F.flatten(F.transform("_cut", H.sizes)))
+    rows = settled(rows.drop("_cut"), "_moves", "_sizes")
     marked = F.transform(F.filter("_objs", lambda o: o["type"].isin("spike", "drop") & o["value"].isNotNull()), lambda o: fact(
         o["value"], F.when(o["type"] == "spike", "rise").otherwise("fall"), "level"))
     deltas = F.transform(F.flatten(F.transform("_objs", lambda o: F.coalesce(o["changes"], F.array().cast("array<string>")))), to_number)
     changed = F.transform(F.filter(deltas, lambda d: d.isNotNull() & (d != 0)), lambda d: fact(
         F.abs(d), F.when(d > 0, "rise").otherwise("fall"), "change"))
-    way = lambda m: F.when(F.lower(m["g1"]).isin("fell", "fall"), "fall").otherwise("rise")
-    reached = F.transform("_moves", lambda m: fact(to_number(m["g4"]), way(m), "level"))
-    moved = F.transform("_moves", lambda m: fact(F.abs(to_number(m["g2"]) - to_number(m["g4"])), way(m), "change"))
-    sized = F.transform("_sizes", lambda m: fact(F.abs(to_number(m["g2"])), way(m), "change"))
+    reached = F.transform("_moves", lambda m: fact(to_number(m["end"]), m["way"], "level"))
+    moved = F.transform("_moves", lambda m: fact(F.abs(to_number(m["start"]) - to_number(m["end"])), m["way"], "change"))
+    sized = F.transform("_sizes", lambda m: fact(F.abs(to_number(m["figure"])), m["way"], "change"))
     rows = rows.withColumn("_facts", F.filter(F.concat(marked, changed, reached, moved, sized), lambda f: f["value"].isNotNull()))
     rows = settled(rows, "_facts")
     rows = rows.withColumn("facts", F.filter("_facts", lambda f: ~F.exists("_facts", lambda g: (
@@ -230,11 +221,11 @@ def direction_facts(walked: DataFrame) -> DataFrame:
     rows = rows.withColumn("transitions", F.concat(
         F.transform(F.filter("_objs", lambda o: o["value"].isNotNull() & o["previous"].isNotNull()),
                     lambda o: pair(o["previous"], o["value"])),
-        F.filter(F.transform("_moves", lambda m: pair(to_number(m["g2"]), to_number(m["g4"]))),
+        F.filter(F.transform("_moves", lambda m: pair(to_number(m["start"]), to_number(m["end"]))),
                  lambda p: p["start"].isNotNull() & p["end"].isNotNull())))
     keyed = F.transform(F.filter("figures", lambda n: n["unit"] == "%"), lambda n: n["value"])
     inline = F.flatten(F.transform(F.filter("_texts", lambda t: t["unit"].isNull()), lambda t: F.transform(
-        F.regexp_extract_all(t["t"], F.lit(V.INLINE_PERCENT), F.lit(1)), to_number)))
+        F.regexp_extract_all(t["t"], F.lit(V.PERCENT), F.lit(1)), to_number)))
     rows = rows.withColumn("extremes", F.array_sort(F.array_distinct(F.filter(
         F.concat(keyed, inline), lambda v: v.isNotNull() & (F.abs(v) >= EXTREME_PERCENT)))))
     return settled(rows.drop("figures", "_objs", "_moves", "_sizes", "_texts", "_facts"), "facts", "transitions", "extremes")
@@ -247,27 +238,29 @@ def same_figure(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
 
 def check_meaning(answers: DataFrame, facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """answers(answer_id, text) with contradictions, level_as_change and unqualified_extremes."""
-    rows = answers.join(facts.select("answer_id", "facts", "transitions", "extremes"), "answer_id", "left")
+    rows = answers.join(facts.select("answer_id", "facts", "transitions", "extremes", "unreadable"), "answer_id", "left")
     for name, kind in (("facts", "struct<value:double,direction:string,kind:string>"),
                        ("transitions", "struct<start:double,end:double>"), ("extremes", "double")):
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.array().cast(f"array<{kind}>")))
     rows = rows.withColumn("_levels", F.filter("facts", lambda f: f["kind"] == "level")).withColumn(
         "_changes", F.filter("facts", lambda f: f["kind"] == "change"))
     parts = F.transform(F.filter(sentences(F.col("text"), same_line=True), lambda s: F.trim(s) != ""), lambda s: F.struct(
-        F.lower(s).alias("low"), numbers(s).alias("figures"),
-        _groups(s, V.DIRECTED_TO, 1, 2).alias("directed"), _groups(s, V.CHANGE_OF, 1, 2).alias("sized")))
-    rows = settled(rows.withColumn("_parts", parts), "_parts", "_levels", "_changes")
+        F.lower(s).alias("low"), numbers(s).alias("figures"), H.tokens(s).alias("cut")))
+    rows = settled(rows.withColumn("_cut", parts), "_cut", "_levels", "_changes")
+    parts = F.transform("_cut", lambda p: F.struct(
+        p["low"].alias("low"), p["figures"].alias("figures"),
+        H.figure_after(p["cut"], "to", "at").alias("directed"), H.figure_after(p["cut"], "of", "by").alias("sized")))
+    rows = settled(rows.withColumn("_parts", parts).drop("_cut"), "_parts")
 
     def contradicted(m: Column) -> Column:
-        word = F.lower(m["g1"])
-        said = F.when(word.isin(V.RISE_WORDS), "rise").when(word.isin(V.FALL_WORDS), "fall")
+        said = F.when(m["word"].isin(V.RISE_WORDS), "rise").when(m["word"].isin(V.FALL_WORDS), "fall")
         return said.isNotNull() & F.exists("_levels", lambda f: (
-            same_figure(to_number(m["g2"]), f["value"], tolerance) & (f["direction"] != said)))
+            same_figure(to_number(m["figure"]), f["value"], tolerance) & (f["direction"] != said)))
 
     def level_misread(m: Column) -> Column:
-        size = F.abs(to_number(m["g2"]))
+        size = F.abs(to_number(m["figure"]))
         fits = lambda facts_: F.exists(facts_, lambda f: same_figure(size, f["value"], tolerance))
-        return F.lower(m["g1"]).isin(V.CHANGE_NOUNS) & ~fits("_changes") & fits("_levels")
+        return m["word"].isin(V.CHANGE_NOUNS) & ~fits("_changes") & fits("_levels")
 
     def bare_extreme(p: Column) -> Column:
         qualified = F.lit(False)
@@ -284,7 +277,7 @@ def check_meaning(answers: DataFrame, facts: DataFrame, tolerance: float = TOLER
         first = F.slice(F.filter(p["figures"], unplaced), 1, 1)
         return F.when(~qualified, F.transform(first, lambda n: n["literal"])).otherwise(F.array().cast("array<string>"))
 
-    literal = lambda m: m["g2"]
+    literal = lambda m: m["figure"]
     gather = lambda field, test: F.array_distinct(F.flatten(F.transform(
         "_parts", lambda p: F.transform(F.filter(p[field], test), literal))))
     out = rows.withColumn("contradictions", gather("directed", contradicted)).withColumn(
@@ -297,14 +290,15 @@ def check_meaning(answers: DataFrame, facts: DataFrame, tolerance: float = TOLER
 def audit_answers(answers: DataFrame, evidence: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Verdict per answer: score, what is not grounded, what contradicts the evidence.
 
-    answers(answer_id, text) and evidence(answer_id, payload) hold one row per answer.
+    answers(answer_id, text) and evidence(answer_id, payload) hold one row per answer. Evidence that
+    cannot be read contradicts nothing, so an answer that cites it does not pass.
     """
     judged = judge_figures(answers, evidence_numbers(evidence), tolerance)
     scored = score_answers(judged).drop("parts", "allowed")
     meaning = check_meaning(answers.select("answer_id", "text"), direction_facts(walk(evidence)), tolerance).drop(
         "text", "facts", "transitions", "extremes")
-    out = scored.join(meaning, "answer_id")
-    clean = (F.size("contradictions") == 0) & (F.size("level_as_change") == 0) & (F.size("unqualified_extremes") == 0)
+    out = scored.join(meaning, "answer_id").withColumn("unreadable", F.coalesce("unreadable", F.lit(False)))
+    clean = (F.size("contradictions") == 0) & (F.size("level_as_change") == 0) & (F.size("unqualified_extremes") == 0) & ~F.col("unreadable")
     return out.withColumn("passed", (F.col("score") >= 1.0) & clean)
 
 

@@ -1,7 +1,8 @@
 """What nested evidence says, at any depth.
 
-One pass over the tokens of a payload with an explicit stack, so depth costs nothing
-and has no limit; rows go to Python in Arrow batches.
+Payloads go to Python in Arrow batches and through its JSON parser; only one that is nested
+deeper than that parser goes is read token by token with an explicit stack. Of a field given twice
+the last one counts. Evidence that is no JSON says nothing, and is marked as unreadable.
 """
 
 from __future__ import annotations
@@ -13,100 +14,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r'\s*("(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|[{}\[\],:])')
-_SPACE = re.compile(r"\s*")
+_TOKEN = re.compile(r'[ \t\n\r]*("(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|[{}\[\],:])')
 #: Fields whose figures may be extreme.
 FIGURES = ("value", "min_value", "max_value", "median", "lower", "upper")
 
 _TEXTS = "array<struct<t:string,unit:string>>"
 _NUMBERS = "array<struct<key:string,value:double,unit:string>>"
 _OBJECTS = "array<struct<type:string,value:double,previous:double,changes:array<string>>>"
-SCHEMA = f"struct<objects:{_OBJECTS},texts:{_TEXTS},figures:{_NUMBERS}>"
+SCHEMA = f"struct<objects:{_OBJECTS},texts:{_TEXTS},figures:{_NUMBERS},unreadable:boolean>"
 _ARROW = pa.struct([
     ("objects", pa.list_(pa.struct([("type", pa.string()), ("value", pa.float64()), ("previous", pa.float64()), ("changes", pa.list_(pa.string()))]))),
     ("texts", pa.list_(pa.struct([("t", pa.string()), ("unit", pa.string())]))),
     ("figures", pa.list_(pa.struct([("key", pa.string()), ("value", pa.float64()), ("unit", pa.string())]))),
+    ("unreadable", pa.bool_()),
 ])
 
 
-class _Box:
-    """An object or array, with the box it lies in."""
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
 
-    def __init__(self, fields: bool, parent: _Box | None):
-        self.parent, self.fields, self.items = parent, {} if fields else None, []
-        self.unit: str | None = None
 
-
-def _boxes(text: str) -> list[_Box] | None:
-    """All objects and arrays, outer ones first; a lone scalar lies in an array of its
-    own. None if the text is no JSON, or an object has a field twice."""
-    root = _Box(False, None)
-    found, box, at, key, state = [root], root, 0, "", "value"
-    while at < len(text):
+def _deep(text: str):
+    """The document of a text of any depth. A container waits on the stack with what it expects next."""
+    stack: list[list] = [[[], None, "value"]]  # [container, key of the value to come, what may come]
+    at, end = 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
         token = _TOKEN.match(text, at)
         if token is None:
-            if _SPACE.fullmatch(text, at):
-                break
-            return None
-        at, mark = token.end(), token[1]
-        if mark in "}]":
-            if box.parent is None or (mark == "}") != (box.fields is not None) or state not in ("next", "first"):
-                return None
-            box, state = box.parent, "next"
-        elif mark in ",:":
-            wanted = "next" if mark == "," else "colon"
-            if state != wanted or box.parent is None:
-                return None
-            state = "key" if mark == "," and box.fields is not None else "value"
-        elif box.fields is not None and state in ("key", "first"):
-            if not mark.startswith('"'):
-                return None
-            key, state = json.loads(mark), "colon"
-            if key in box.fields:
-                return None
-        elif state in ("value", "first"):
-            value = _Box(mark == "{", box) if mark in "{[" else json.loads(mark)
-            if box.fields is None:
-                box.items.append(value)
+            raise ValueError("no JSON")
+        at, mark, top = token.end(), token[1], stack[-1]
+        box, _key, wanted = top
+        if mark in ("}", "]"):
+            if len(stack) == 1 or (mark == "}") != isinstance(box, dict) or wanted not in ("more", "first"):
+                raise ValueError("no JSON")
+            stack.pop()
+        elif mark == ",":
+            if wanted != "more" or len(stack) == 1:
+                raise ValueError("no JSON")
+            top[2] = "key" if isinstance(box, dict) else "value"
+        elif mark == ":":
+            if wanted != "colon":
+                raise ValueError("no JSON")
+            top[2] = "value"
+        elif isinstance(box, dict) and wanted in ("key", "first"):
+            if mark[0] != '"':
+                raise ValueError("no JSON")
+            top[1], top[2] = json.loads(mark), "colon"
+        elif wanted in ("value", "first"):
+            value = {} if mark == "{" else [] if mark == "[" else json.loads(mark)
+            if isinstance(box, dict):
+                box[top[1]] = value
             else:
-                box.fields[key] = value
-            state = "next"
-            if isinstance(value, _Box):
-                found.append(value)
-                box, state = value, "first"
+                box.append(value)
+            top[2] = "more"
+            if mark in ("{", "["):
+                stack.append([value, None, "first"])
         else:
-            return None
-    return found if box is root and state == "next" and len(root.items) == 1 else None
+            raise ValueError("no JSON")
+    if len(stack) != 1 or len(stack[0][0]) != 1:
+        raise ValueError("no JSON")
+    return stack[0][0][0]
+
+
+def document(text: str):
+    """The value of a JSON text; ValueError if it is none."""
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        return _deep(text)
 
 
 def _number(value) -> float | None:
-    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return None
+    try:
+        return float(value)
+    except OverflowError:
+        return None
 
 
 def _written(value) -> str | None:
-    """A scalar as text; boxes and null are none."""
-    if value is None or isinstance(value, _Box):
+    """A scalar as text; containers and null are none."""
+    if value is None or isinstance(value, (dict, list)):
         return None
     return value if isinstance(value, str) else json.dumps(value)
 
 
 def describe(text: str | None) -> dict:
-    out: dict = {"objects": [], "texts": [], "figures": []}
-    for box in _boxes(text or "") or []:
-        inherited = box.parent.unit if box.parent else None
-        box.unit = _written(box.fields["unit"]) if box.fields is not None and "unit" in box.fields else inherited
-        fields = box.fields if box.fields is not None else {}
-        if box.fields is not None:
-            kind, changes = fields.get("deviation_type"), fields.get("changes")
-            moved = changes.fields if isinstance(changes, _Box) and changes.fields is not None else {}
+    """Objects, texts and figures, outer ones first. A missing or blank payload is no evidence, not an unreadable one."""
+    out: dict = {"objects": [], "texts": [], "figures": [], "unreadable": False}
+    if text is None or not text.strip():
+        return out
+    try:
+        stack = [([document(text)], None)]
+    except ValueError:
+        return out | {"unreadable": True}
+    while stack:
+        box, unit = stack.pop()
+        if isinstance(box, dict):
+            unit = _written(box["unit"]) if "unit" in box else unit
+            kind, changes = box.get("deviation_type"), box.get("changes")
             out["objects"].append({
-                "type": kind.lower() if isinstance(kind, str) else None, "value": _number(fields.get("value")),
-                "previous": _number(fields.get("previous_value")), "changes": [_written(v) for v in moved.values()]})
-        for key, value in [*fields.items(), *(("", v) for v in box.items)]:
+                "type": kind.lower() if isinstance(kind, str) else None, "value": _number(box.get("value")), "previous": _number(box.get("previous_value")),
+                "changes": [_written(v) for v in changes.values()] if isinstance(changes, dict) else []})
+        inner = []
+        for key, value in box.items() if isinstance(box, dict) else (("", v) for v in box):
             if isinstance(value, str):
-                out["texts"].append({"t": value, "unit": box.unit})
+                out["texts"].append({"t": value, "unit": unit})
+            elif isinstance(value, (dict, list)):
+                inner.append((value, unit))
             elif key in FIGURES and _number(value) is not None:
-                out["figures"].append({"key": key, "value": _number(value), "unit": box.unit})
+                out["figures"].append({"key": key, "value": _number(value), "unit": unit})
+        stack.extend(reversed(inner))
     return out
 
 
@@ -116,6 +135,6 @@ def _described(payloads: pa.Array) -> pa.Array:
 
 def walk(evidence: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds ``objects`` (marks, values and changes of each object), ``texts`` and ``figures``
-    of the payload, each with the unit in force where it stands."""
+    of the payload, each with the unit in force where it stands, and whether it was ``unreadable``."""
     rows = evidence.withColumn("_e", F.arrow_udf(_described, SCHEMA)(F.col(payload).cast("string")))
-    return rows.select(*evidence.columns, "_e.objects", "_e.texts", "_e.figures")
+    return rows.select(*evidence.columns, "_e.objects", "_e.texts", "_e.figures", "_e.unreadable")

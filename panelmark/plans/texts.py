@@ -9,7 +9,7 @@ from panelmark.operators import audit as T
 from panelmark.operators import ranking as R
 from panelmark.plans import sql as S
 from panelmark.plans.derived import RESULTS, tool_results
-from panelmark.plans.registry import query
+from panelmark.plans.registry import oracle, query
 from panelmark.sources import adapters as A
 from panelmark.sources import prose as B
 
@@ -197,6 +197,16 @@ def _(spark, d):
     return T.audit_answers(B.answers(spark, d), B.evidence(spark, d)).select("answer_id", "score", "passed")
 
 
+DAMAGED = "CASE answer_id % 5 WHEN 0 THEN left(payload, length(payload) - 1) WHEN 1 THEN '{\"by\":\"a\",\"by\":\"b\",' || substring(payload, 2) ELSE payload END"
+
+
+@query("TX-6_unreadable", oracle("TX-6_verdicts").rsplit("SELECT answer_id, score,", 1)[0] + """SELECT answer_id, score, answer_id % 5 = 0 AS unreadable,
+  score >= 1 AND answer_id % 5 <> 0 AND answer_id NOT IN (SELECT answer_id FROM r1 UNION ALL SELECT answer_id FROM r2 UNION ALL SELECT answer_id FROM r3) AS passed FROM sc""")
+def _(spark, d):
+    evidence = B.evidence(spark, d).withColumn("payload", F.expr(DAMAGED))
+    return T.audit_answers(B.answers(spark, d), evidence).select("answer_id", "score", "unreadable", "passed")
+
+
 SAID = ("coalesce(text, '') || CASE conv_id % 8 WHEN 0 THEN ' Which is the highest in the world?' WHEN 1 THEN ' The most recent figure.' WHEN 2 THEN ' Lower than in the world''s largest economies.' "
         "WHEN 3 THEN ' No other country has a lower rate worldwide.' WHEN 4 THEN ' It ranked first. Globally it is at most average.' WHEN 5 THEN ' The best of all countries!' ELSE '' END AS said")
 SCOPE = r"(?i)\b(in the world|worldwide|globally|of all countries|of any country|across (?:all )?countries|among all countries)\b"
