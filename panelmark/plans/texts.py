@@ -212,7 +212,9 @@ SAID = ("coalesce(text, '') || CASE conv_id % 8 WHEN 0 THEN ' Which is the highe
 SCOPE = r"(?i)\b(in the world|worldwide|globally|of all countries|of any country|across (?:all )?countries|among all countries)\b"
 
 
-@query("TX-11_superlatives", rf"""WITH c AS (SELECT conv_id, turn, {SAID} FROM conversations),
+# The engine of the SQL ends words at letters beyond ASCII, so these are written as x there.
+@query("TX-11_superlatives", rf"""WITH c0 AS (SELECT conv_id, turn, {SAID} FROM conversations),
+c AS (SELECT conv_id, turn, regexp_replace(said, '[^\x00-\x7F]', 'x', 'g') AS said FROM c0),
 s AS (SELECT conv_id, turn, unnest({SPLIT_LINE.format(t='said')}) AS t FROM c),
 x AS (SELECT conv_id, turn, regexp_replace(t, '{V.NOT_SUPERLATIVE}', ' ', 'g') AS t FROM s)
 SELECT conv_id, turn, any_value(a) AS asks, bool_or(regexp_matches(regexp_replace(t, '(?i)in the world''?s', 'x', 'g'), '{SCOPE}') AND (regexp_matches(t, '{V.SUPERLATIVE}') OR regexp_matches(t, '{V.NEGATIVE_UNIVERSAL}'))) AS claims
