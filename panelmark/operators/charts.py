@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.functions.labels import elapsed
-from panelmark.operators.ranking import rank_entities
+from panelmark.operators.positions import values_at
 
 # Axis steps and indicators that are signed by meaning.
 STEPS = [1.0, 2.0, 2.5, 5.0, 10.0]
@@ -17,11 +17,7 @@ def robust_domain(newest_rows: DataFrame, signed: list[str] | None = None, by: s
     """Nearest-rank 5 % and 95 % of the values per indicator; symmetric for signed
     indicators and never of zero width."""
     finite = newest_rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    ranked = rank_entities(finite, order="asc", by=by)
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("entity_count")) + 1, F.col("entity_count"))
-    ends = ranked.groupBy(by).agg(
-        F.max(F.when(F.col("rank") == at(0.05), F.col("value"))).alias("_lo"),
-        F.max(F.when(F.col("rank") == at(0.95), F.col("value"))).alias("_hi"))
+    ends = values_at(finite, by, "value", {"_lo": 0.05, "_hi": 0.95})
     is_signed = F.col(by).isin(signed if signed is not None else SIGNED_INDICATORS)
     widest = F.greatest(F.abs("_lo"), F.abs("_hi"))
     bound = F.when(widest == 0, F.lit(1.0)).otherwise(widest)

@@ -11,6 +11,8 @@ from panelmark.operators.latest import SERIES, recent
 RECENT_POINTS = 6
 CONTEXT_ANOMALIES = 6
 WINDOW_POINTS = 12
+#: Limits of requests are served in classes that are powers of 2**4 apart; larger ones than 2**16 are one class.
+CLASS_BITS, CLASSES = 4, 5
 
 
 def query_observations(requests: DataFrame, facts: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def query_observations(requests: DataFrame, facts: DataFrame) -> DataFrame:
 
     Requests of one shape (series, window, limit) share one slice. Facts of series nobody
     asked for are dropped first, the window is a condition of the join, and a slice
-    gathers ``limit + 1`` points at most; coverage is an aggregate.
+    gathers ``limit + 1`` points at most, which each task holds to before the shuffle; coverage is an aggregate.
     """
     shape = [*SERIES, "start", "end", "latest_only", "limit"]
     marked = requests.withColumn("_shape", F.to_json(F.struct(*shape), {"ignoreNullFields": "false"}))
@@ -32,8 +34,17 @@ def query_observations(requests: DataFrame, facts: DataFrame) -> DataFrame:
     only_latest = F.col("latest_only") & F.col("start").isNull() & F.col("end").isNull()
     inside = (F.col("start").isNull() | (F.col("date") >= F.col("start"))) & (F.col("end").isNull() | (F.col("date") <= F.col("end")))
     newest_first = Window.partitionBy("_shape").orderBy(F.col("date").desc(), F.col("value").desc(), F.col("source").desc())
-    held = asked.join(shapes, SERIES).where(inside).withColumn("_n", F.row_number().over(newest_first))
-    held = held.where(F.col("_n") <= F.when(only_latest, F.lit(1)).otherwise(F.col("limit") + 1))
+    most = F.when(only_latest, F.lit(1)).otherwise(F.col("limit") + 1)
+    # requests of like limits are served together: a limit that is a constant is applied before the shuffle, per task
+    classes = F.least(F.ceil(F.log2(F.greatest(most, F.lit(1))) / CLASS_BITS), F.lit(CLASSES)).cast("int")
+    sized = shapes.withColumn("_most", most).withColumn("_class", classes)
+    held = None
+    for row in sized.groupBy("_class").agg(F.max("_most").alias("most")).collect():  # CLASSES rows at most
+        mine = asked.join(sized.where(F.col("_class") == row["_class"]), SERIES).where(inside)
+        mine = mine.withColumn("_n", F.row_number().over(newest_first)).where((F.col("_n") <= row["most"]) & (F.col("_n") <= F.col("_most")))
+        held = mine if held is None else held.unionByName(mine)
+    if held is None:
+        held = asked.join(sized, SERIES).withColumn("_n", F.lit(1)).limit(0)
     slices = held.groupBy("_shape").agg(F.array_sort(F.collect_list(F.struct("_n", "date", "value", "source"))).alias("_found"))
     none = F.array().cast("array<struct<_n:int,date:date,value:double,source:string>>")
     return (

@@ -101,6 +101,19 @@ def _(spark, d):
                       F.size("observations").alias("returned"), "truncated", "outcome")
 
 
+@query("P-10_contents", S.with_(S.FACTS) + f"""
+, q AS (SELECT {REQ.format(s='s', e='e', l='lim')} FROM (SELECT *, c_nationkey AS k FROM customer)),
+r AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY date DESC, value DESC, source DESC) - 1 AS position, date, value, source,
+  CASE WHEN latest_only AND s IS NULL AND e IS NULL THEN 1 ELSE lim END AS most
+FROM q JOIN facts f USING (entity, indicator_code) WHERE value IS NOT NULL AND (s IS NULL OR date >= s) AND (e IS NULL OR date <= e))
+SELECT request_id, position, date, value, source FROM r WHERE position < most""")
+def _(spark, d):
+    parts = _split(REQ.format(s="start", e="`end`", l="limit"))
+    req = A.table(spark, d, "customer").withColumn("k", F.col("c_nationkey")).selectExpr(*parts)
+    out = Q.query_observations(req, A.facts(spark, d)).select("request_id", F.posexplode("observations").alias("position", "o"))
+    return out.select("request_id", "position", "o.date", "o.value", "o.source")
+
+
 @query("W-12_truncation", S.with_(S.EVENTS) + """
 , r AS (SELECT entity, indicator_code, date, value, row_number() OVER (PARTITION BY entity, indicator_code ORDER BY date DESC) AS n,
   count(*) OVER (PARTITION BY entity, indicator_code) AS total FROM efacts)

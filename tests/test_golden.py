@@ -15,7 +15,8 @@ from panelmark.operators import models as M
 from panelmark.operators import sinks as K
 from panelmark.operators.anomaly import detect_anomalies, refresh_anomalies
 from panelmark.operators.charts import nice_domain
-from panelmark.operators.positions import split_row_number
+from panelmark.operators.positions import split_row_number, values_at
+from panelmark.operators.query import query_observations
 from panelmark.sources import payloads as Y
 
 JITTER = [1.0, 1.02, 0.99, 1.01, 0.98, 1.03, 1.0, 0.99, 1.02, 0.98]
@@ -240,3 +241,46 @@ def test_split_row_number_matches_a_plain_window_on_a_hot_group(spark):
     plain = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id")))
     out = split_row_number(plain, ["g"], "v", ["id"], "rank")
     assert out.count() == 6000 and out.where("rank <> want").count() == 0
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_ties_of_any_size_are_cut_by_digits(spark, descending):
+    """A third of all rows at one value, beside NaN, null, zeros, near values and repeated ties of all lengths."""
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select(
+        (F.col("id") % 2).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(5.0)).when(F.col("id") % 50 == 1, F.lit(float("nan"))).when(F.col("id") % 70 == 1, F.lit(None).cast("double"))
+        .when(F.col("id") % 40 == 2, F.lit(0.0)).otherwise(5.0 + (F.col("id") % 97) / 1e4).alias("v"),
+        F.when(F.col("id") % 11 == 0, F.lit("")).when(F.col("id") % 13 == 0, F.lit("longer-than-both-digits")).otherwise(F.concat(F.lit("e"), (F.col("id") * 37 % 800).cast("string"))).alias("e"), "id")
+    order = F.col("v").desc() if descending else F.col("v").asc()
+    plain = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(order, "e", "id")))
+    for largest in (1, 40, 1 << 20):
+        out = split_row_number(plain, ["g"], "v", ["e", "id"], "rank", descending, largest)
+        assert out.columns == [*plain.columns, "rank"] and out.count() == 3000 and out.where("rank <> want").count() == 0
+    parts = split_row_number(plain, ["g"], "v", ["e", "id"], "rank", descending, 40).where("v = 5.0")
+    sizes = parts.groupBy("g", F.substring("e", 1, 3), F.substring("e", 4, 3)).count().agg(F.max("count")).first()[0]
+    assert sizes < 100 < parts.count() / 2  # the rows of one task at most, of the thousand that share the value
+
+
+def test_quantiles_by_selection(spark):
+    rows = [("a", float(i % 17 - 8)) for i in range(331)] + [("b", 7.0)] * 90 + [("c", -1.5), ("d", 1e300), ("d", -1e-300), ("d", 0.0)]
+    got = values_at(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"lo": 0.05, "mid": 0.5, "hi": 0.95})
+    assert "row_number" not in got._jdf.queryExecution().toString()
+    want = {}
+    for k in "abcd":
+        mine = sorted(v for n, v in rows if n == k)
+        want[k] = tuple(mine[min(int(p * len(mine)) + 1, len(mine)) - 1] for p in (0.05, 0.5, 0.95))
+    assert {r["k"]: (r["lo"], r["mid"], r["hi"]) for r in got.collect()} == want
+
+
+def test_limits_of_requests_reach_the_tasks(spark):
+    facts = spark.createDataFrame([("s", "i", "E", dt.date(2000, 1, 1) + dt.timedelta(days=k), float(k)) for k in range(400)],
+                                  "source string, indicator_code string, entity string, date date, value double")
+    schema = "request_id int, entity string, indicator_code string, start date, end date, latest_only boolean, limit int"
+    asked = [(1, "E", "i", None, None, False, 2), (2, "E", "i", None, None, False, 300), (3, "E", "i", None, None, True, 9), (4, "X", "i", None, None, False, 5)]
+    out = query_observations(spark.createDataFrame(asked, schema), facts)
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
+    got = {r["request_id"]: (len(r["observations"]), r["truncated"], r["observations"][:1]) for r in out.collect()}
+    assert [got[k][:2] for k in (1, 2, 3, 4)] == [(2, True), (300, True), (1, False), (0, False)] and got[2][2][0]["value"] == 399.0
+    assert query_observations(spark.createDataFrame([], schema), facts).count() == 0
