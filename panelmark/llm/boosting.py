@@ -112,7 +112,12 @@ def fit(x: np.ndarray, y: np.ndarray, monotone=None, rounds: int = 60, depth: in
     return Trees(depth, bias, np.array(features), np.array(thresholds), np.array(values))
 
 
+def folds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """A number below ``parts`` for each row, the same ones each time."""
+    mixed = keys.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
 def split_fold(keys: np.ndarray, parts: int = 4) -> np.ndarray:
     """True for about one row in ``parts``, the same rows each time: the held-out part."""
-    mixed = keys.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(40)) % np.uint64(parts) == 0
+    return folds(keys, parts) == 0

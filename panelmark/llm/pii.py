@@ -4,12 +4,13 @@ Everything on the way from text to spans is a DataFrame expression inside the ro
 its document: no shuffle, whatever the skew.
 
 Four rules (BASE) find spans that always count. Four looser generators propose spans of
-the same kinds, which may overlap the others. Trees, one set a kind, give each candidate
-the odds that a span of such a format in such surroundings passes the rule's checks; the
-checks themselves (Luhn, numbers up to 255, a dotted domain, the plus sign) are not among
-the features. A kind's threshold is the lowest score above which held-out candidates pass
-so often that the lower 95 % bound of that share is ``PRECISION``. So a mistyped number that
-looks in all else like the valid ones is taken too, and where the shape says little
+the same kinds and near misses (dotted names, dotted numbers of any length, long numbers), which
+may overlap the others. Trees, one set a kind, give each candidate the odds that a span of such a
+format in such surroundings passes the rule's checks; the checks themselves (Luhn, numbers up
+to 255, the at sign, the plus sign) are not among the features. A kind's odds are calibrated
+on candidates the trees have not seen (cross-fitting, then a rising curve of shares), and its
+threshold is the lowest score from which on at least ``PRECISION`` of them pass. So a mistyped
+number that looks in all else like the valid ones is taken too, and where the shape says little
 (most long numbers are no cards) nothing is added.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmark.llm import boosting
@@ -37,12 +38,17 @@ BASE = {
     "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_HOST = "[A-Za-z0-9-]++"
 LOOSE = {
-    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)*+",
-    "ip": r"[0-9](?<![0-9A-Za-z.][0-9])[0-9]{0,3}+(?:\.[0-9]{1,4}+){3}+(?![0-9A-Za-z])",
+    # an address in any of its spellings, or else a dotted name
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?{_HOST}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?{_HOST})*+"
+             rf"|(?<![A-Za-z0-9._%+@-]){_HOST}(?:\.{_HOST})++(?![@_%+(\[])",
+    "ip": r"[0-9](?<![0-9A-Za-z.][0-9])[0-9]{0,3}+(?:\.[0-9]{1,4}+){1,5}+(?![0-9A-Za-z])",
     "card": r"[0-9](?<![0-9A-Za-z][0-9])(?:[\x20./-]?[0-9]){11,18}+(?![0-9A-Za-z])",
     "phone": r"(?:\+|00)?+\(?+[0-9](?<![0-9A-Za-z][0-9])(?:[\x20().-]{0,2}+[0-9]){8,14}+(?![0-9A-Za-z])",
 }
+#: Spellings that only the generators know: the rules say nothing about them, so they are no lesson for the trees.
+OWN = {"email": r"[\x20(\[]", "ip": "^$", "card": "[./]", "phone": "^00"}
 #: Numbers up to 255, as text of any length.
 _OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)(?:\.|$)){4}$"
 _WORDS = {
@@ -53,12 +59,12 @@ FEATURES = [
     "n_chars", "n_digits", "n_letters", "n_spaces", "n_dots", "n_dashes", "n_brackets", "n_groups", "first_group", "last_group",
     "word_before", "glued_before", "glued_after", "assigned", "starts_line",
 ]
-#: Candidates the trees are fitted on at most, those with the smallest hashes; characters of context; numbers of a block of sums.
-TRAIN_CANDIDATES, CONTEXT, BLOCK = 8000, 24, 256
+#: Candidates of each kind the trees are fitted on at most, those with the smallest hashes; characters of context; numbers of a block of sums.
+TRAIN_CANDIDATES, CONTEXT, BLOCK = 2000, 24, 256
 #: Documents, those with the smallest hashed ids, in which these candidates are looked for.
 TRAIN_DOCUMENTS = 100_000
-PRECISION = 0.97
-_ROUNDS, _DEPTH = 16, 3
+PRECISION = 0.95
+_ROUNDS, _DEPTH, _FOLDS = 16, 3, 4
 
 
 def _before(values: Column, together, nothing: int = 0) -> Column:
@@ -90,7 +96,8 @@ def _matches(df: DataFrame, patterns: dict[str, str], label: str) -> DataFrame:
     """Adds ``{label}_{kind}``: array<struct<start, end, value, before, after>> of all matches."""
     made = []
     for kind in KINDS:
-        text = F.when(F.col("_mail" if kind == "email" else "_digit"), F.col("_text")).otherwise("")
+        named = F.col("_mail") | F.col("_dotted") if label == "loose" else F.col("_mail")
+        text = F.when(named if kind == "email" else F.col("_digit"), F.col("_text")).otherwise("")
         gap = lambda g: F.struct(F.char_length(g).cast("long").alias("n"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head"))
         df = df.withColumn(f"_found_{kind}", F.regexp_extract_all(text, F.lit(patterns[kind]), F.lit(0)))
         df = df.withColumn(f"_gaps_{kind}", F.transform(F.split(text, patterns[kind], -1), gap))
@@ -122,7 +129,7 @@ def _matches(df: DataFrame, patterns: dict[str, str], label: str) -> DataFrame:
 
 
 def _features(kind: str, c: Column) -> Column:
-    """struct<start, end, FEATURES...> of one candidate: its format, and what stands around it."""
+    """struct<start, end, own, FEATURES...> of one candidate: its format, and what stands around it."""
     value, before, after = c["value"], c["before"], c["after"]
     count = lambda chars: F.length(F.regexp_replace(value, f"[^{chars}]", ""))
     group = lambda at: F.length(F.regexp_extract(value, at, 1))
@@ -134,14 +141,16 @@ def _features(kind: str, c: Column) -> Column:
         "word_before": flag(before.rlike(_WORDS[kind])), "glued_before": flag(before.rlike("[^\\s(\"'<,;:]$")), "glued_after": flag(after.rlike("^[^\\s)\"'>,;:.!?]")),
         "assigned": flag(before.rlike("[=:]\\s*[\"']?$")), "starts_line": flag(before.rlike("^$|\n$")),
     }
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), *(of[f].cast("double").alias(f) for f in FEATURES))
+    own = value.rlike(OWN[kind]).alias("own")
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), own, *(of[f].cast("double").alias(f) for f in FEATURES))
 
 
 def _texts(df: DataFrame, text_col: str, *others: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = df.select(*others, text.alias("_text"))
     mail = F.instr("_text", "@") + F.instr("_text", "(at)") + F.instr("_text", "[at]") > 0
-    return settled(df.withColumn("_mail", mail).withColumn("_digit", F.col("_text").rlike("[0-9]")), "_text", "_mail", "_digit")
+    dotted = F.col("_text").rlike(r"[A-Za-z0-9]\.[A-Za-z0-9]")
+    return settled(df.withColumns({"_mail": mail, "_digit": F.col("_text").rlike("[0-9]"), "_dotted": dotted}), "_text", "_mail", "_digit", "_dotted")
 
 
 def _base(df: DataFrame) -> DataFrame:
@@ -154,49 +163,86 @@ def _base(df: DataFrame) -> DataFrame:
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Adds ``loose_{kind}``: array<struct<start, end, FEATURES...>> of the generators' spans."""
+    """Adds ``loose_{kind}``: array<struct<start, end, own, FEATURES...>> of the generators' spans."""
     df = _matches(df, LOOSE, "loose")
     for kind in KINDS:
         df = df.withColumn(f"loose_{kind}", F.transform(F.col(f"loose_{kind}"), lambda c: _features(kind, c)))
     return settled(df, *(f"loose_{kind}" for kind in KINDS))
 
 
-def _lower_bound(hits: int, n: int) -> float:
-    """Lower end of the 95 % Wilson interval of a share."""
-    z, p = 1.96, hits / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def rising_shares(scores: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest score, share of hits) of blocks of rising score, pooled until the share rises too (isotonic regression)."""
+    order = np.argsort(scores, kind="stable")
+    low, total, good = [], [], []
+    for score, hit in zip(scores[order].tolist(), hits[order].tolist()):
+        if low and score == last:  # noqa: F821  equal scores are one block
+            total[-1], good[-1] = total[-1] + 1, good[-1] + hit
+        else:
+            low, total, good = [*low, score], [*total, 1], [*good, hit]
+        last = score
+    at = 1
+    while at < len(low):
+        if good[at] * total[at - 1] <= good[at - 1] * total[at]:
+            total[at - 1] += total.pop(at)
+            good[at - 1] += good.pop(at)
+            low.pop(at)
+            at = max(1, at - 1)
+        else:
+            at += 1
+    return np.array(low), np.array(good, float) / np.maximum(np.array(total, float), 1)
+
+
+def _threshold(scores: np.ndarray, hits: np.ndarray) -> float:
+    """The lowest score whose calibrated share is ``PRECISION``, and from which on candidates pass that often
+    (one hit and one miss are added to their count, so a handful proves nothing); infinite if there is none."""
+    low, share = rising_shares(scores, hits)
+    for t in low[share >= PRECISION]:
+        above = scores >= t
+        if (hits[above].sum() + 1) / (above.sum() + 2) >= PRECISION:
+            return float(t) - 1e-9
+    return math.inf
 
 
 def fit_models(df: DataFrame, id_col: str, text_col: str, most: int = TRAIN_CANDIDATES) -> dict[str, tuple[boosting.Trees, float]]:
-    """(trees, threshold) by kind, from at most ``most`` candidates in about ``TRAIN_DOCUMENTS`` documents.
+    """(trees, threshold) by kind, from at most ``most`` candidates of each kind in about ``TRAIN_DOCUMENTS`` documents.
 
-    A candidate's label is whether it is a span of the rules. Only the sample is bounded:
-    spans are looked for in every text. A kind of which the sample has only one label,
-    or for which no threshold is precise enough, is left out: it adds nothing.
+    A candidate's label is whether it is a span of the rules; spellings only the generators know have none.
+    Only the sample is bounded: spans are looked for in every text. Each candidate is scored by trees fitted
+    without its fold, and these scores give the threshold of the trees fitted on all. A kind of which the
+    sample has only one label has no trees; one without a threshold that is precise enough adds nothing.
     """
     documents = hashed_share(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", TRAIN_DOCUMENTS)
     rows = _candidates(_base(_texts(documents, "text", F.col("id"))))
     each = []
     for number, kind in enumerate(KINDS):
-        passed = lambda c: F.exists(F.col(f"base_{kind}"), lambda s: (s["start"] == c["start"]) & (s["end"] == c["end"]))  # noqa: B023, E731
-        each.append(F.transform(f"loose_{kind}", lambda c: F.struct(F.lit(number).alias("kind"), passed(c).cast("int").alias("good"), c.alias("c"))))  # noqa: B023
-    found = rows.select("id", F.explode(F.concat(*each)).alias("x"))
+        # the rule's spans and the candidates in one order: a candidate is good if the rule's span of its place stands before it
+        place = lambda c: (c["start"].alias("start"), c["end"].alias("end"))
+        none = F.transform(F.slice(f"loose_{kind}", 1, 0), lambda c: F.struct(*place(c), F.lit(0).alias("loose"), c.alias("c")))
+        ruled = F.transform(f"base_{kind}", lambda b: F.struct(*place(b), F.lit(0).alias("loose"), F.get(none, F.lit(0))["c"].alias("c")))  # noqa: B023
+        loose = F.transform(f"loose_{kind}", lambda c: F.struct(*place(c), F.lit(1).alias("loose"), c.alias("c")))
+        rows = settled(rows.withColumn(f"_all_{kind}", F.array_sort(F.concat(ruled, loose))), f"_all_{kind}")
+        every = F.col(f"_all_{kind}")
+        good = lambda x, i: (F.get(every, i - 1)["start"] == x["start"]) & (F.get(every, i - 1)["end"] == x["end"])  # noqa: B023, E731
+        each.append(F.transform(every, lambda x, i: F.struct(
+            F.lit(number).alias("kind"), F.coalesce(good(x, i), F.lit(False)).cast("int").alias("good"), x["loose"].alias("loose"), x["c"].alias("c"))))  # noqa: B023
+    found = rows.select("id", F.explode(F.concat(*each)).alias("x")).filter("x.loose = 1 AND (x.good = 1 OR NOT x.c.own)")
     found = found.select("x.kind", "x.good", F.xxhash64("id", "x.c.start", "x.kind").alias("key"), *(F.col(f"x.c.{f}") for f in FEATURES))
-    sample = found.orderBy("key", *FEATURES, "good").limit(most).collect()
+    turn = F.row_number().over(Window.partitionBy("kind").orderBy("key", *FEATURES, "good"))
+    sample = found.withColumn("turn", turn).filter(F.col("turn") <= most).orderBy("kind", "turn").collect()
     models = {}
     for number, kind in enumerate(KINDS):
         mine = [r for r in sample if r["kind"] == number]
         x = np.array([[r[f] for f in FEATURES] for r in mine]).reshape(len(mine), len(FEATURES))
-        y, held = np.array([r["good"] for r in mine], int), boosting.split_fold(np.array([r["key"] for r in mine], np.int64), 3)
-        if len(set(y[~held].tolist())) < 2:
+        y, key = np.array([r["good"] for r in mine], int), np.array([r["key"] for r in mine], np.int64)
+        if len(set(y.tolist())) < 2:
             continue
-        trees = boosting.fit(x[~held], y[~held], rounds=_ROUNDS, depth=_DEPTH, rate=0.3)
-        odds, passed = trees.margin(x[held]), y[held]
-        for threshold in np.unique(odds):  # the lowest that is precise enough
-            above = odds >= threshold
-            if _lower_bound(int(passed[above].sum()), int(above.sum())) >= PRECISION:
-                models[kind] = (trees, float(threshold) - 1e-9)
-                break
+        fold = boosting.folds(key, _FOLDS)
+        odds = np.zeros(len(mine))
+        for k in range(_FOLDS):
+            rest, held = fold != k, fold == k
+            if rest.any() and held.any():
+                odds[held] = boosting.fit(x[rest], y[rest], rounds=_ROUNDS, depth=_DEPTH, rate=0.3).margin(x[held])
+        models[kind] = (boosting.fit(x, y, rounds=_ROUNDS, depth=_DEPTH, rate=0.3), _threshold(odds, y))
     return models
 
 
@@ -204,6 +250,7 @@ def _accepted(df: DataFrame, models: dict[str, tuple[boosting.Trees, float]]) ->
     """Adds ``added``: array<struct<start, kind, end, odds>> of candidates over their threshold that
     touch no span of the rules and no accepted candidate of higher odds."""
     kept = []
+    models = {k: m for k, m in models.items() if m[1] < math.inf}
     for kind, (trees, threshold) in models.items():
         odds = lambda c: trees.expression(lambda i: c[FEATURES[i]])
         scored = F.transform(F.col(f"loose_{kind}"), lambda c: F.struct(
@@ -211,13 +258,40 @@ def _accepted(df: DataFrame, models: dict[str, tuple[boosting.Trees, float]]) ->
         df = settled(df.withColumn(f"_scored_{kind}", scored), f"_scored_{kind}")
         kept.append(F.filter(F.col(f"_scored_{kind}"), lambda c: c["odds"] >= threshold))
     empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,odds:double>>)")
-    df = settled(df.withColumn("_over", F.concat(empty, *kept)), "_over")
+    df = settled(df.withColumn("_over", F.array_sort(F.concat(empty, *kept))), "_over")
+    df = _clear_of_base(df)
+    # candidates that touch, directly or through others, are a chain; only those of one chain are compared
+    df = settled(df.withColumn("_reach", _before(F.transform("_free", lambda c: c["end"]), lambda x, y: F.greatest(x, y))), "_reach")
+    heads = F.filter(F.transform("_free", lambda c, i: F.when(c["start"] >= F.get("_reach", i), i)), lambda i: i.isNotNull())
+    df = settled(df.withColumn("_heads", heads), "_heads")
+    chains = F.transform("_heads", lambda h, i: F.slice("_free", h + 1, F.coalesce(F.get("_heads", i + 1), F.size("_free")) - h))
+    df = settled(df.withColumn("_chains", chains), "_chains")
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter("_over", lambda c: ~F.exists(F.col("base"), lambda b: meets(b, c)))
-    df = settled(df.withColumn("_free", free), "_free")
     better = lambda a, b: (a["odds"] > b["odds"]) | ((a["odds"] == b["odds"]) & (F.struct(a["start"], a["kind"]) < F.struct(b["start"], b["kind"])))
-    added = F.filter("_free", lambda c: ~F.exists(F.col("_free"), lambda o: meets(o, c) & better(o, c)))
-    return settled(df.withColumn("added", added), "added").drop("_over", "_free", *(f"_scored_{k}" for k in models))
+    best = lambda chain: F.filter(chain, lambda c: ~F.exists(chain, lambda o: meets(o, c) & better(o, c)))
+    added = F.flatten(F.transform("_chains", best))
+    return settled(df.withColumn("added", added), "added").drop("_over", "_free", "_reach", "_heads", "_chains", *(f"_scored_{k}" for k in models))
+
+
+def _clear_of_base(df: DataFrame) -> DataFrame:
+    """Adds ``_free``: those of ``_over`` that touch no span of ``base``; both are sorted once, together.
+
+    A candidate touches one that starts before it if the furthest end of these lies behind its start, and
+    one that starts with or after it if the nearest of these starts lies before its end.
+    """
+    one = lambda c, base, odds: F.struct(c["start"].alias("start"), F.lit(base).alias("base"), c["kind"].alias("kind"), c["end"].alias("end"), odds.alias("odds"))
+    both = F.concat(F.transform("base", lambda c: one(c, 1, F.lit(0.0))), F.transform("_over", lambda c: one(c, 0, c["odds"])))
+    df = settled(df.withColumn("_both", F.array_sort(both)), "_both")
+    far = F.expr("bigint(9223372036854775807)")
+    df = df.withColumn("_ends", F.transform("_both", lambda c: F.when(c["base"] == 1, c["end"]).otherwise(F.lit(0).cast("long"))))
+    df = df.withColumn("_starts", F.reverse(F.transform("_both", lambda c: F.when(c["base"] == 1, far - c["start"]).otherwise(F.lit(0).cast("long")))))
+    df = settled(df, "_ends", "_starts")
+    df = df.withColumn("_reach", _before(F.col("_ends"), lambda x, y: F.greatest(x, y)))
+    df = df.withColumn("_next", F.reverse(_before(F.col("_starts"), lambda x, y: F.greatest(x, y))))
+    df = settled(df, "_reach", "_next")
+    clear = lambda c, i: (c["base"] == 0) & (F.get("_reach", i) <= c["start"]) & (far - F.get("_next", i) >= c["end"])
+    free = F.transform(F.filter("_both", clear), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["odds"].alias("odds")))
+    return settled(df.withColumn("_free", free), "_free").drop("_both", "_ends", "_starts", "_reach", "_next")
 
 
 def find_spans(df: DataFrame, models: dict, text_col: str, *others: Column) -> DataFrame:

@@ -123,6 +123,49 @@ def test_personal_trees_add_what_looks_valid_and_leave_the_rest(spark):
     assert spans == {5000: [(10, 29)], 5001: []}
 
 
+def test_personal_spans_with_models_one_by_one(spark, odd):
+    """Added spans of odd texts, recomputed from the candidates and the trees in plain Python."""
+    rng = np.random.default_rng(16)
+    parts = [*"ab1 .-(@\n", "+1 (383) 555-6083", "4111 1111 1111 1112", "a@b.c", "1.2.3.4", "300.256.1.1", "www.a-b.org", "0049 30 1234567", "7.5", "x (at) y (dot) z", "1.2.3.4.5"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(400)] + ["1.2.3.999 " * 1500, "300.1.2.3" * 400]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
+    models = pii.fit_models(docs, "doc_id", "text")
+    assert set(models) == set(pii.KINDS)
+    models = {k: (m[0], -0.5) for k, m in models.items()}
+    every = pii._candidates(pii._base(pii._texts(docs, "text", F.monotonically_increasing_id().alias("row"))))
+    found = pii.find_spans(docs, models, "text", F.monotonically_increasing_id().alias("row"))
+    spans = {r.row: [tuple(s) for s in r.spans] for r in found.select("row", "spans").collect()}
+    added = 0
+    for r in every.collect():
+        base = sorted((s.start, k, s.end) for k, kind in enumerate(pii.KINDS) for s in r[f"base_{kind}"])
+        over = []
+        for k, kind in enumerate(pii.KINDS):
+            loose = r[f"loose_{kind}"]
+            x = np.array([[c[f] for f in pii.FEATURES] for c in loose]).reshape(len(loose), len(pii.FEATURES))
+            trees, threshold = models[kind]
+            over += [(c.start, k, c.end, o) for c, o in zip(loose, trees.margin(x).tolist()) if o >= threshold]
+        meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+        covered = np.zeros(len(r._text) + 1, bool)
+        for s in base:
+            covered[s[0] : s[2]] = True
+        over = sorted(c for c in over if not covered[c[0] : c[2]].any())
+        mine = []
+        for i, c in enumerate(over):
+            near = [o for o in over[max(0, i - 60) : i + 60] if meets(o, c)]
+            if not any((o[3], ) > (c[3], ) or (o[3] == c[3] and o[:2] < c[:2]) for o in near):
+                mine.append(c[:3])
+        added += len(mine)
+        assert spans[r.row] == sorted(base + mine), r._text[:200]
+    assert added > 100
+
+
+def test_rising_shares():
+    low, share = pii.rising_shares(np.array([1.0, 2, 2, 3, 4, 5]), np.array([0, 1, 1, 0, 1, 1]))
+    assert low.tolist() == [1, 2, 4] and np.allclose(share, [0, 2 / 3, 1])
+    assert pii._threshold(np.arange(10.0), np.ones(10)) == np.inf  # a handful proves nothing
+    assert pii._threshold(np.arange(100.0), np.arange(100) >= 40) == 40 - 1e-9
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 300_000
     rows = [(3, "http://a/", "p" * 100), (2, None, "p" * 100), (None, "u", "p" * 100), (4, "u", "p" * 99), (5, "u", "p" * 99), (6, "é\n", None), (7, "u", ""), (8, "u", big), (9, "u", big), (8, "u", big)]
