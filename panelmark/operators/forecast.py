@@ -167,33 +167,47 @@ def _plausible(history, median, lower, upper) -> str | None:
 def forecast(inputs: DataFrame, models: list[tuple[str, Model]] | None = None) -> DataFrame:
     """The cascade over Python models: (history, horizon, season) -> (median, lower, upper).
 
-    Rows arrive as Arrow batches of whole series, so workers hold one batch at a time
-    and no group is gathered. A model that raises or answers nonsense gives way to the
-    next; a series no model can answer keeps null arrays and its list of attempts.
+    Rows arrive as Arrow batches of whole series, dealt out evenly by their hash, so workers hold one
+    batch at a time and no group is gathered. A model with ``of_many`` answers all series of a batch that
+    are still open at once; should that fail, it is asked one by one. A model that raises or answers
+    nonsense gives way to the next; a series no model can answer keeps null arrays and its attempts.
     """
     chosen = models or LOCAL_MODELS
 
+    def asked(model, rows: list) -> list:
+        many = getattr(model, "of_many", None)
+        if many is not None and len(rows) > 1:
+            try:
+                return many([list(r.history) for r in rows], [int(r.horizon) for r in rows], [int(r.season) for r in rows])
+            except Exception:  # one of them fails: find out which
+                pass
+        return [None] * len(rows)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = []
-            for row in batch.itertuples(index=False):
-                attempts, answer = [], (None, None, None, None)
-                for name, model in chosen:
+            rows = list(batch.itertuples(index=False))
+            answers, attempts, open_ = [(None, None, None, None)] * len(rows), [[] for _ in rows], list(range(len(rows)))
+            for name, model in chosen:
+                still = []
+                for i, answer in zip(open_, asked(model, [rows[i] for i in open_])):
+                    row = rows[i]
                     try:
-                        median, lower, upper = model(list(row.history), int(row.horizon), int(row.season))
+                        median, lower, upper = answer or model(list(row.history), int(row.horizon), int(row.season))
                         why = _plausible(row.history, median, lower, upper)
                     except Exception as exc:  # any model failure hands over to the next
                         why = f"{type(exc).__name__}: {exc}"
                     if why is None:
-                        answer = (name, list(median), list(lower), list(upper))
-                        break
-                    attempts.append(f"{name}: {why}")
-                answers.append((*answer, attempts))
-            extra = pd.DataFrame(answers, columns=["model", "median", "lower", "upper", "attempts"], index=batch.index)
+                        answers[i] = (name, list(median), list(lower), list(upper))
+                    else:
+                        attempts[i].append(f"{name}: {why}")
+                        still.append(i)
+                open_ = still
+            extra = pd.DataFrame([(*a, t) for a, t in zip(answers, attempts)], columns=["model", "median", "lower", "upper", "attempts"], index=batch.index)
             yield pd.concat([batch, extra], axis=1)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in inputs.dtypes)
-    return inputs.mapInPandas(
+    spread = inputs.repartition(F.xxhash64(*[c for c, t in inputs.dtypes if t in ("string", "int", "bigint", "date")]))
+    return spread.mapInPandas(
         run, f"{schema}, model string, median array<double>, lower array<double>, upper array<double>, attempts array<string>")
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from panelmark.operators import forecast as P
+from panelmark.operators import models as M
 from panelmark.operators import query as Q
 from panelmark.operators.anomaly import detect_anomalies
 from panelmark.plans import sql as S
@@ -104,7 +105,43 @@ def _(spark, d):
     return P.forecast_closed(inputs(spark, d), ["drift", "seasonal_naive"]).select(*KEYS, "model", F.size("attempts").alias("attempts"))
 
 
-@query("F-5_smoothing")
+def _weights(name: str, column: str, values: tuple) -> str:
+    return f"(VALUES {', '.join(f'({i}, {v}::DOUBLE)' for i, v in enumerate(values))}) AS {name}({name}_i, {column})"
+
+
+# Every weight of every form runs along its series; states are the elements of the reduced list.
+_ERROR = "(x.y - (acc.l + acc.s + acc.p[x.t % m + 1]))"
+SMOOTHING = f"""
+hist AS (SELECT {KEY_SQL}, list(value ORDER BY date) AS y, count(*) AS n, max(date) AS last_date FROM facts WHERE value IS NOT NULL GROUP BY {KEY_SQL} HAVING count(*) >= 16),
+forms AS (SELECT * FROM (VALUES (0, 1, 0), (1, 1, 1), (2, 12, 0), (3, 12, 1)) AS f(form, m, trend)),
+grid AS (SELECT form, m, trend, row_number() OVER (PARTITION BY form ORDER BY wa_i, wb_i, wg_i) AS idx, a, b, g * (1 - a) AS g
+  FROM forms, {_weights('wa', 'a', M.ALPHAS)}, {_weights('wb', 'b', (*M.BETAS, 0.0))}, {_weights('wg', 'g', (*M.GAMMAS, 0.0))}
+  WHERE (trend = 1) = (b > 0) AND (m > 1) = (g > 0)),
+begun AS (SELECT h.*, form, m, trend, CASE WHEN m > 1 THEN list_sum(y[1:m]) / m ELSE y[1] END AS l0,
+    CASE WHEN trend = 0 THEN 0.0 WHEN m > 1 THEN (list_sum(y[m + 1:2 * m]) / m - list_sum(y[1:m]) / m) / m ELSE y[2] - y[1] END AS s0
+  FROM hist h, forms WHERE m = 1 OR n >= 2 * m),
+fits AS (SELECT {KEY_SQL}, y, n, last_date, form, m, trend, idx, a, b, g, list_reduce(list_prepend(
+    {{'l': l0, 's': s0, 'p': CASE WHEN m > 1 THEN list_transform(y[1:m], lambda v: v - l0) ELSE [0.0::DOUBLE] END, 'e': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 't': -1::BIGINT}},
+    list_transform(y, lambda v, i: {{'l': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'p': [0.0::DOUBLE], 'e': 0.0::DOUBLE, 'y': v, 't': i - 1}})),
+    lambda acc, x: {{'l': acc.l + acc.s + a * {_ERROR}, 's': acc.s + a * b * {_ERROR},
+      'p': list_transform(acc.p, lambda q, j: CASE WHEN j = x.t % m + 1 THEN q + g * {_ERROR} ELSE q END),
+      'e': acc.e + {_ERROR} * {_ERROR}, 'y': x.y, 't': x.t}}) AS st
+  FROM begun JOIN grid USING (form, m, trend)),
+best AS (SELECT *, 2 + 2 * trend + CASE WHEN m > 1 THEN m + 1 ELSE 0 END AS k FROM fits QUALIFY row_number() OVER (PARTITION BY {KEY_SQL}, form ORDER BY st.e, idx) = 1),
+won AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY {KEY_SQL}
+  ORDER BY n * ln(greatest(st.e / n, 1e-300)) + CASE WHEN n - k - 1 > 0 THEN 2 * k + 2 * k * (k + 1) / (n - k - 1) ELSE 'infinity'::DOUBLE END, form) = 1),
+steps AS (SELECT *, st.l + st.s * step + st.p[(n + step - 1) % m + 1] AS median, step - 1 AS h, CASE WHEN m > 1 THEN (step - 1) // m ELSE 0 END AS c
+  FROM won, range(1, 13) AS r(step)),
+bands AS (SELECT *, 1.2816 * sqrt(st.e / greatest(n - k, 1) * (1 + h * (a * a + a * a * b * (h + 1) + (a * b) * (a * b) * (h + 1) * (2 * h + 1) / 6)
+  + g * c * (2 * a + g + a * b * m * (c + 1)))) AS wide FROM steps),
+answers AS (SELECT *, CASE WHEN max(wide) OVER (PARTITION BY {KEY_SQL}) = 0 THEN 1.2816 * list_stddev_pop(y) ELSE wide END AS band,
+  max(abs(median - y[-1])) OVER (PARTITION BY {KEY_SQL}) > 20 * greatest(list_max(y) - list_min(y), abs(y[-1]), 1) AS bad FROM bands)
+"""
+
+
+@query("F-5_smoothing", S.with_(S.FACTS, SMOOTHING) + f"""
+SELECT {KEY_SQL}, 'smoothing' AS model, CAST(step AS INT) AS step, CAST(date_trunc('month', last_date) + to_months(CAST(step AS INT)) AS DATE) AS date,
+  round(median, 3) AS median, round(median - band, 3) AS lower, round(median + band, 3) AS upper FROM answers WHERE NOT bad""")
 def _(spark, d):
     out = P.forecast_points(P.forecast(inputs(spark, d)), KEYS)
     return out.select(*KEYS, "model", "step", "date", *rounded())

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,35 @@ def test_smoothing_follows_trend_and_season():
     assert median == [5.0] * 3 and lower == [5.0] * 3 and upper == [5.0] * 3
 
 
+def test_a_series_is_smoothed_alike_alone_and_among_others():
+    rng = np.random.default_rng(2)
+    series = [list(np.cumsum(rng.normal(0, 1, n)) + 5 * np.sin(np.arange(n) / 2)) for n in (16, 24, 17, 80, 24, 300, 48)] + [[4.0] * 30, [1.0, 2.0] * 20]
+    horizons, seasons = [12, 8, 5, 12, 12, 3, 8, 4, 12], [12, 12, 1, 12, 4, 12, 4, 12, 4]
+    together = M.smoothing_many(series, horizons, seasons)
+    for h, k, m, got in zip(series, horizons, seasons, together):
+        alone = M.smoothing(h, k, m)
+        assert got == alone and [len(x) for x in got] == [k] * 3
+    assert M.smoothing_many([], [], []) == []
+
+
+def test_one_bad_series_of_a_batch_leaves_the_others(spark):
+    rows = [(n, dt.date(2000 + i, 1, 1), float(i + 1), "annual") for n in "abc" for i in range(20)]
+    inputs = O.series_inputs(spark.createDataFrame(rows, "name string, date date, value double, frequency string"), ["name"]).coalesce(1)
+
+    def picky(h, n, s):
+        if len(h) == 21:
+            raise ValueError("no")
+        return M.smoothing(h, n, s)
+
+    def many(hs, ns, ss):
+        return [picky(*x) for x in zip(hs, ns, ss)]
+
+    picky.of_many = many
+    longer = inputs.withColumn("history", F.when(F.col("name") == "b", F.concat("history", F.array(F.lit(21.0)))).otherwise(F.col("history")))
+    got = {r["name"]: (r["model"], r["attempts"]) for r in O.forecast(longer, [("picky", picky), ("smoothing", M.smoothing)]).collect()}
+    assert got == {"a": ("picky", []), "b": ("smoothing", ["picky: ValueError: no"]), "c": ("picky", [])}
+
+
 def test_cascade_records_attempts(spark):
     rows = [("a", dt.date(2000 + i, 1, 1), float(i + 1), "annual") for i in range(20)]
     rows += [("b", dt.date(2000 + i, 1, 1), 1.0, "annual") for i in range(10)]
