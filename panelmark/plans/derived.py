@@ -224,6 +224,29 @@ def _(spark, d):
         "entity_name", F.size("recent").alias("recent"), F.size("changes").alias("changes"))
 
 
+def context(spark, d):
+    f = A.facts(spark, d)
+    return Q.series_context(f, detect_anomalies(f, KEYS), ref.catalog(spark), A.profiles(spark, d), KEYS)
+
+
+@query("AN-9_recent_points", S.with_(S.FACTS, S.CATALOG) + f"""
+, r AS (SELECT source, indicator_code, entity, date, {FMT.format(x='value')} AS value, row_number() OVER (PARTITION BY source, indicator_code, entity ORDER BY date DESC) AS back
+  FROM facts JOIN catalog USING (source, indicator_code) WHERE value IS NOT NULL)
+SELECT source, indicator_code, entity, row_number() OVER (PARTITION BY source, indicator_code, entity ORDER BY date) - 1 AS position, date, value FROM r WHERE back <= 6""")
+def _(spark, d):
+    rows = context(spark, d).select(*KEYS, F.posexplode("recent").alias("position", "p"))
+    return rows.select(*KEYS, "position", "p.date", "p.value")
+
+
+@query("AN-9_flagged_points", S.with_(S.FACTS, S.CATALOG, S.anomalies()) + f"""
+, r AS (SELECT source, indicator_code, entity, date, {FMT.format(x='value')} AS value, {FMT.format(x='z_score')} AS z_score, deviation_type,
+  row_number() OVER (PARTITION BY source, indicator_code, entity ORDER BY date DESC) AS n FROM anomalies JOIN catalog USING (source, indicator_code))
+SELECT source, indicator_code, entity, n - 1 AS position, date, value, z_score, deviation_type FROM r WHERE n <= 6""")
+def _(spark, d):
+    rows = context(spark, d).select(*KEYS, F.posexplode("anomalies").alias("position", "p"))
+    return rows.select(*KEYS, "position", "p.date", "p.value", "p.z_score", "p.deviation_type")
+
+
 # Chart helpers.
 @query("A-9_robust_domain", S.with_(S.FACTS, S.LATEST) + """
 , r AS (SELECT indicator_code, value, row_number() OVER (PARTITION BY indicator_code ORDER BY value, entity) AS rn, count(*) OVER (PARTITION BY indicator_code) AS n FROM latest),

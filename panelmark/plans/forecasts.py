@@ -234,6 +234,15 @@ def _(spark, d):
     return out.select(*KEYS, F.size("forecast").alias("points"), F.element_at("forecast", -1)["median"].alias("last_median"))
 
 
+@query("F-12_points", S.with_(S.FACTS, INPUTS, DRIFT) + f"""
+SELECT source, indicator_code, entity, step - 1 AS position, CAST(step AS INT) AS step, CAST(date_trunc('month', last_date) + to_months(CAST(step AS INT)) AS DATE) AS date,
+  {FMT.format(x='median')} AS median, {FMT.format(x='(median - 1.2816 * sd)')} AS lower, {FMT.format(x='(median + 1.2816 * sd)')} AS upper FROM drift""")
+def _(spark, d):
+    rows = inputs(spark, d)
+    out = Q.with_forecast(rows.select(*KEYS), P.forecast_points(P.closed_form(rows, "drift"), KEYS), KEYS)
+    return out.select(*KEYS, F.posexplode("forecast").alias("position", "p")).select(*KEYS, "position", "p.*")
+
+
 @query("U-2_chart_frame", S.with_(S.FACTS, INPUTS, DRIFT, S.anomalies(), f"pts AS ({POINTS})") + """
 SELECT f.source, f.indicator_code, f.entity, f.date, strftime(f.date, '%Y-%m') AS label, f.value,
   CASE WHEN f.date = p.last_date THEN f.value END AS median, a.date IS NOT NULL AS flagged, a.z_score, a.deviation_type

@@ -406,6 +406,23 @@ def _(spark, d):
     return Qy.check_catalog(ref.catalog(spark), A.facts(spark, d))
 
 
+@query("V-9_every_rule", S.with_(S.FACTS, S.CATALOG) + """
+, found AS (SELECT * FROM (VALUES ('vocabulary', 'lines/LIN.QTY', 'metric_type=nonsense'), ('mixed_frequency', 'ORD.CNT', '2')) AS v(rule, subject, detail)
+UNION ALL SELECT 'one_primary', concept, CAST(count(*) FILTER (is_primary AND NOT (source = 'orders' AND indicator_code = 'ORD.REV')) AS VARCHAR) FROM catalog WHERE concept IS NOT NULL GROUP BY concept
+  HAVING count(*) FILTER (is_primary AND NOT (source = 'orders' AND indicator_code = 'ORD.REV')) <> 1
+UNION ALL SELECT 'unclassified', source || '/' || indicator_code, 'concept,' || CASE WHEN indicator_code = 'LIN.QTY' THEN '' ELSE 'metric_type,' END
+  || 'transformation,observation_basis,price_basis,coverage_definition,seasonal_adjustment'
+FROM catalog WHERE concept IS NULL AND (source, indicator_code) IN (SELECT source, indicator_code FROM facts))
+SELECT * FROM found""")
+def _(spark, d):
+    """The catalog with one word outside its vocabulary, one concept without its primary and one code of two frequencies."""
+    at = lambda s, c: (F.col("source") == s) & (F.col("indicator_code") == c)
+    spoilt = ref.catalog(spark).withColumn("metric_type", F.when(at("lines", "LIN.QTY"), "nonsense").otherwise(F.col("metric_type"))).withColumn(
+        "is_primary", F.col("is_primary") & ~at("orders", "ORD.REV")).withColumn(
+        "frequency", F.when(at("lines", "ORD.CNT"), "weekly").otherwise(F.col("frequency")))
+    return Qy.check_catalog(spoilt, A.facts(spark, d))
+
+
 @query("V-10_view_agreement", S.with_(S.FACTS, S.LATEST, S.CATALOG, S.SOURCES, S.PROFILES, S.OBSERVATIONS) + """
 SELECT count(*) FILTER (value IS NOT NULL) AS facts, (SELECT count(*) FROM obs) AS observations,
   count(DISTINCT (entity, indicator_code)) FILTER (value IS NOT NULL) AS series, (SELECT count(*) FROM latest) AS latest, true AS agree FROM facts""")
@@ -643,6 +660,25 @@ def _(spark, d):
     return dims["countries"].select("entity", "entity_name", "region")
 
 
+@query("S-7_reference_rows", S.with_(S.PROFILES) + f""",
+{S.values("seeds", ["code", "name", "category", "unit"], ref.SEED_INDICATORS)}, {S.values("hosts", ["source", "url", "active"], ref.SEED_SOURCES)}
+SELECT 'indicator' AS dim, 'world_bank/' || code AS key, name || '|' || category || '|' || unit || '|annual' AS content FROM seeds
+UNION ALL SELECT 'source', source, url || '|' || CAST(active AS VARCHAR) FROM hosts
+UNION ALL SELECT 'country', entity, entity_name || '|' || region FROM profiles WHERE entity <> 'NAB'
+UNION ALL SELECT 'country', 'TWN', 'Held already|HERE'
+""" + "".join(f"UNION ALL SELECT 'country', '{c}', '{n}|{r}' " for c, n, r, _i, _m in ref.SEED_TERRITORIES if c != "TWN"))
+def _(spark, d):
+    """All three dimensions; a territory that the registry holds keeps what it says there."""
+    held = A.profiles(spark, d).select("entity", "entity_name", "region").where("entity <> 'NAB'").unionByName(
+        constant(spark, "entity string, entity_name string, region string", [("TWN", "Held already", "HERE")]))
+    dims = ref.reference_dims(spark, held)
+    row = lambda dim, key, *parts: (F.lit(dim).alias("dim"), key.alias("key"), F.concat_ws("|", *parts).alias("content"))
+    return (
+        dims["indicators"].select(*row("indicator", F.concat_ws("/", "source", "indicator_code"), "indicator_name", "category", "unit", "frequency"))
+        .unionByName(dims["sources"].select(*row("source", F.col("source"), F.col("base_url"), F.col("is_active").cast("string"))))
+        .unionByName(dims["countries"].select(*row("country", F.col("entity"), "entity_name", "region"))))
+
+
 # One series a nation and spelling; several rows of a period count once.
 SPELLING = ("CASE id % 5 WHEN 0 THEN y || 'M' || m WHEN 1 THEN y || 'Q' || q WHEN 2 THEN y WHEN 3 THEN y || '-' || mm ELSE CAST(d AS STRING) END")
 CALENDAR = "CASE id % 5 WHEN 1 THEN 'quarter' WHEN 2 THEN 'year' WHEN 4 THEN 'day' ELSE 'month' END"
