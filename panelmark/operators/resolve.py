@@ -1,7 +1,7 @@
 """Tables of requested names to indicators and entities.
 
 The name tables are small and joined on equality, so a request table of any size is
-read once and never shuffled for it.
+read once and, while they are below Spark's broadcast size, never shuffled for it.
 """
 
 from __future__ import annotations
@@ -12,32 +12,40 @@ from pyspark.sql import functions as F
 from panelmark.functions.codes import iso3, normalise_token, strip_qualifier
 
 
-def _heads(metadata: DataFrame, by) -> DataFrame:
-    """The indicator to use per name: primary first, then the widest coverage."""
-    return metadata.groupBy(by.alias("name")).agg(F.min(F.struct(
-        (~F.col("is_primary")).alias("p"), (-F.col("country_count")).alias("c"), "source", "indicator_code")).alias("_h")
-    ).select("name", F.col("_h.indicator_code").alias("code"))
+_HIT = "struct<how:string,code:string,candidates:array<string>,note:string>"
 
 
 def name_table(metadata: DataFrame, aliases: DataFrame, not_held: DataFrame) -> DataFrame:
-    """name -> how it resolves: by concept, by alias, or to several candidates."""
-    concepts = _heads(metadata.where("concept IS NOT NULL"), F.col("concept"))
-    known = aliases.join(concepts.withColumnRenamed("name", "concept"), "concept")
-    single = known.where("NOT ambiguous").select(F.col("alias").alias("name"), "code")
-    several = known.where("ambiguous").groupBy(F.col("alias").alias("name")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "code"))), lambda s: s["code"]).alias("candidates"))
-    none = F.lit(None).cast("array<string>")
-    ways = (
-        concepts.select("name", F.lit(1).alias("way"), "code", none.alias("candidates"))
-        .unionByName(single.select("name", F.lit(2).alias("way"), "code", none.alias("candidates")))
-        .unionByName(several.select("name", F.lit(3).alias("way"), F.lit(None).cast("string").alias("code"), "candidates"))
-    )
-    best = ways.groupBy("name").agg(F.min(F.struct("way", "code", "candidates")).alias("r"))
-    return best.join(not_held.withColumnRenamed("alias", "name"), "name", "left").select(
-        "name", F.struct(
-            F.element_at(F.array(F.lit("concept"), F.lit("alias"), F.lit("ambiguous")), F.col("r.way")).alias("how"),
-            F.col("r.code").alias("code"), F.col("r.candidates").alias("candidates"),
-            F.when(F.col("r.way") == 3, F.col("note")).alias("note")).alias("hit"))
+    """(key, hit) of every way to name an indicator, each at most once: ``=`` an exact code, ``~`` a code in any case,
+    ``:`` a concept, an alias or an ambiguous wording, ``!`` what is known not to be held.
+
+    One pass over the metadata writes all its names out; the indicator to use per name is primary first, then of the
+    widest coverage. A name that is several things counts as the first of concept, alias, ambiguous.
+    """
+    row = lambda key, way, position: F.struct(key.alias("key"), F.lit(way).alias("way"), position.alias("position"))
+    zero = F.lit(0)
+    meant = aliases.groupBy("concept").agg(F.collect_list(F.struct("alias", "ambiguous", "position")).alias("_as"))
+    names = metadata.join(meant, "concept", "left").select("is_primary", "country_count", "source", "indicator_code", F.explode(F.filter(F.concat(
+        F.array(row(F.concat(F.lit("="), "indicator_code"), 0, zero), row(F.concat(F.lit("~"), F.lower("indicator_code")), 0, zero), row(F.concat(F.lit(":"), "concept"), 1, zero)),
+        F.coalesce(F.transform("_as", lambda a: F.struct(
+            F.concat(F.lit(":"), a["alias"]).alias("key"), F.when(a["ambiguous"], 3).otherwise(2).alias("way"), a["position"].alias("position"))),
+            F.array().cast("array<struct<key:string,way:int,position:int>>"))), lambda n: n["key"].isNotNull())).alias("n"))
+    order = F.struct((~F.col("is_primary")).alias("p"), (-F.col("country_count")).alias("c"), "source", "indicator_code")
+    heads = names.groupBy("n.key", "n.way", "n.position").agg(F.min(order).alias("_h"))
+    held = heads.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("way", "position", F.col("_h.indicator_code").alias("code")))).alias("_all"))
+    held = held.select("key", F.get("_all", zero)["way"].alias("way"), "_all")
+    note = not_held.select(F.concat(F.lit(":"), "alias").alias("key"), "note")
+    several = F.transform(F.filter("_all", lambda x: x["way"] == 3), lambda x: x["code"])
+    unclear = F.col("way") == 3
+    hits = held.join(note, "key", "left").select("key", F.struct(
+        F.when(F.col("way") == 0, F.when(F.col("key").startswith("="), "code").otherwise("folded_code")).otherwise(
+            F.get(F.array(F.lit("concept"), F.lit("alias"), F.lit("ambiguous")), F.col("way") - 1)).alias("how"),
+        F.when(~unclear, F.get("_all", zero)["code"]).alias("code"), F.when(unclear, several).alias("candidates"),
+        F.when(unclear, F.col("note")).alias("note")).cast(_HIT).alias("hit"))
+    none = F.lit(None).cast("string")
+    missing = not_held.select(F.concat(F.lit("!"), "alias").alias("key"), F.struct(
+        F.lit("none").alias("how"), none.alias("code"), F.lit(None).cast("array<string>").alias("candidates"), F.col("note").alias("note")).cast(_HIT).alias("hit"))
+    return hits.unionByName(missing)
 
 
 def resolve_indicators(requests: DataFrame, metadata: DataFrame, aliases: DataFrame, not_held: DataFrame,
@@ -45,27 +53,19 @@ def resolve_indicators(requests: DataFrame, metadata: DataFrame, aliases: DataFr
     """requests with ``resolution`` struct(how, code, candidates, note).
 
     An exact code wins; then concept, alias, ambiguous wording; then the same without
-    one trailing qualifier; then the code in any case; else what is known not to be held.
+    one trailing qualifier; then the code in any case; else what is known not to be held. All five are
+    looked up in one table of names, which Spark brings to the requests while it is small.
     """
     names = name_table(metadata, aliases, not_held)
-    empty = F.lit(None).cast("array<string>")
-    text = F.lit(None).cast("string")
-    code_hit = lambda how: F.struct(F.lit(how).alias("how"), F.col("code"), empty.alias("candidates"), text.alias("note"))
-    exact = _heads(metadata, F.col("indicator_code")).select(F.col("name").alias("_raw"), code_hit("code").alias("_exact"))
-    folded = _heads(metadata, F.lower("indicator_code")).select(F.col("name").alias("_low"), code_hit("folded_code").alias("_folded"))
-    rows = (
-        requests.withColumn("_raw", F.trim(F.coalesce(F.col(token), F.lit("")))).withColumn("_low", F.lower("_raw"))
-        .withColumn("_norm", normalise_token(F.col("_raw"))).withColumn("_strip", strip_qualifier(F.col("_norm")))
-        .join(exact, "_raw", "left")
-        .join(names.select(F.col("name").alias("_norm"), F.col("hit").alias("_full")), "_norm", "left")
-        .join(names.select(F.col("name").alias("_strip"), F.col("hit").alias("_short")), "_strip", "left")
-        .join(folded, "_low", "left")
-        .join(not_held.select(F.col("alias").alias("_norm"), F.col("note").alias("_note")), "_norm", "left")
-    )
-    miss = F.struct(F.lit("none").alias("how"), text.alias("code"), empty.alias("candidates"),
-                    F.col("_note").alias("note"))
-    return rows.withColumn("resolution", F.coalesce("_exact", "_full", "_short", "_folded", miss)).select(
-        *requests.columns, "resolution")
+    raw = F.trim(F.coalesce(F.col(token), F.lit("")))
+    norm = normalise_token(raw)
+    ways = {"=": raw, ":": norm, "::": strip_qualifier(norm), "~": F.lower(raw), "!": norm}
+    rows = requests.select(*requests.columns, *(F.concat(F.lit(mark[0]), of).alias(f"_k{i}") for i, (mark, of) in enumerate(ways.items())))
+    for i in range(len(ways)):
+        rows = rows.join(names.alias(f"n{i}"), F.col(f"_k{i}") == F.col(f"n{i}.key"), "left").drop(F.col(f"n{i}.key")).withColumnRenamed("hit", f"_h{i}")
+    none = F.lit(None).cast("string")
+    miss = F.struct(F.lit("none").alias("how"), none.alias("code"), F.lit(None).cast("array<string>").alias("candidates"), none.alias("note")).cast(_HIT)
+    return rows.withColumn("resolution", F.coalesce(*(f"_h{i}" for i in range(len(ways))), miss)).select(*requests.columns, "resolution")
 
 
 def resolve_entities(requests: DataFrame, countries: DataFrame, token: str = "token") -> DataFrame:

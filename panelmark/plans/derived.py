@@ -22,21 +22,23 @@ from panelmark.sources import names as N
 from panelmark.sources import raw as W
 from panelmark.sources import reference as ref
 
-SINGLE = {"revenue": "sales turnover order_revenue", "orders": "order_volume bookings", "shipping": "freight"}
-SEVERAL = {"trade": "revenue orders", "costs": "freight_cost", "business": "orders discount_rate revenue"}
+SINGLE = {"sales": "revenue", "turnover": "revenue", "order_revenue": "revenue", "order_volume": "orders", "bookings": "orders", "freight": "shipping"}
+SEVERAL = {"trade": ["revenue", "orders"], "costs": ["freight_cost"], "business": ["orders", "discount_rate", "revenue"]}
 NOTES = {"trade": "No net trade figure is held.", "profit": "Profit is not held."}
 TOKENS = ["ORD.REV", " LIN.DISC ", "revenue", "Revenue Index", "sales", "Turnover figures", "order volume", "Trade", "trade values",
           "discount-rate", "ord.cnt", "profit", "business!", "nothing at all", "", None, "costs", "freight", "orders", "_"]
 TOKEN_SQL = "CASE c_custkey % 20 " + " ".join(
     f"WHEN {i} THEN " + ("NULL" if t is None else f"'{t}'") for i, t in enumerate(TOKENS)) + " END"
-_ALIAS_ROWS = ([(a, c, False, 0) for c, ns in SINGLE.items() for a in ns.split()]
-               + [(a, c, True, i) for a, ns in SEVERAL.items() for i, c in enumerate(ns.split())])
+
+
+def _alias_rows(single, several):
+    return [(a, c, False, 0) for a, c in single.items()] + [(a, c, True, i) for a, cs in several.items() for i, c in enumerate(cs)]
+
+
 NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_')"
 QUAL = "'rate', 'rates', 'ratio', 'level', 'levels', 'index', 'data', 'figures', 'statistics', 'stats', 'numbers', 'percentage', 'percent', 'value', 'values'"
 
-@query("J-5_resolve_indicators", S.with_(S.FACTS, S.CATALOG, S.META, S.values("al", ["alias", "concept", "ambiguous", "pos"], _ALIAS_ROWS),
-       S.values("nh", ["alias", "note"], list(NOTES.items()))) + f"""
-, req AS (SELECT c_custkey AS request_id, trim(coalesce({TOKEN_SQL}, '')) AS raw FROM customer),
+RESOLVED = f"""
 r AS (SELECT *, {NORM.format(x='raw')} AS n FROM req),
 q AS (SELECT *, CASE WHEN regexp_extract(n, '^(.+)_([^_]*)$', 2) IN ({QUAL}) THEN regexp_extract(n, '^(.+)_([^_]*)$', 1) END AS s FROM r),
 heads AS (SELECT concept, arg_min(indicator_code, (CASE WHEN is_primary THEN 0 ELSE 1 END, -country_count, source, indicator_code)) AS code FROM meta WHERE concept IS NOT NULL GROUP BY 1),
@@ -54,16 +56,46 @@ SELECT q.request_id,
 FROM q LEFT JOIN (SELECT DISTINCT indicator_code FROM meta) e ON e.indicator_code = q.raw
 LEFT JOIN best b1 ON b1.name = q.n LEFT JOIN best b2 ON b2.name = q.s
 LEFT JOIN (SELECT DISTINCT lower(indicator_code) AS low, indicator_code AS code FROM meta) f ON f.low = lower(q.raw)
-LEFT JOIN nh n1 ON n1.alias = q.n LEFT JOIN nh n2 ON n2.alias = q.s""")
-def _(spark, d):
-    req = A.table(spark, d, "customer").selectExpr("c_custkey AS request_id", f"{TOKEN_SQL} AS token")
-    meta = R.indicator_metadata(A.facts(spark, d), ref.catalog(spark))
-    out = Z.resolve_indicators(req, meta, N.aliases(spark, SINGLE, SEVERAL), N.not_held(spark, NOTES))
+LEFT JOIN nh n1 ON n1.alias = q.n LEFT JOIN nh n2 ON n2.alias = q.s"""
+REQUESTS = f", req AS (SELECT c_custkey AS request_id, trim(coalesce({TOKEN_SQL}, '')) AS raw FROM customer),"
+
+
+def resolved(out):
     r = F.col("resolution")
     return out.select("request_id", r["how"].alias("how"), r["code"].alias("code"),
                       F.when(r["candidates"].isNotNull(), F.concat_ws(",", r["candidates"])).alias("candidates"), r["note"].alias("note"))
 
 
+@query("J-5_resolve_indicators", S.with_(S.FACTS, S.CATALOG, S.META, S.values("al", ["alias", "concept", "ambiguous", "pos"], _alias_rows(SINGLE, SEVERAL)),
+       S.values("nh", ["alias", "note"], list(NOTES.items()))) + REQUESTS + RESOLVED)
+def _(spark, d):
+    req = A.table(spark, d, "customer").selectExpr("c_custkey AS request_id", f"{TOKEN_SQL} AS token")
+    meta = R.indicator_metadata(A.facts(spark, d), ref.catalog(spark))
+    return resolved(Z.resolve_indicators(req, meta, N.aliases(spark, SINGLE, SEVERAL), N.not_held(spark, NOTES)))
+
+
+# The library's own wording, asked of a catalog of parts: each brand is an indicator of one of its concepts.
+CONCEPTS = sorted(set(N.ALIASES.values()))
+WORDING = sorted({*N.ALIASES, *N.AMBIGUOUS, *N.NOT_HELD, *CONCEPTS})
+PART_META = ("SELECT 'parts' AS source, p_brand AS indicator_code, {concept} AS concept, min(p_partkey) % 3 = 0 AS is_primary, count(*) AS country_count FROM part GROUP BY p_brand")
+_CONCEPT = "CASE CAST(substring(p_brand, 7) AS INT) % {n} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CONCEPTS)) + " END"
+CONCEPT = _CONCEPT.format(n=len(CONCEPTS) + 1)
+WORDED = (f"CASE c_custkey % {len(WORDING) + 3} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDING))
+          + f" WHEN {len(WORDING)} THEN 'Brand#23' WHEN {len(WORDING) + 1} THEN 'brand#11' ELSE 'unheard of' END")
+OWN_WORDS = f"replace({WORDED}, '_', CASE c_custkey % 2 WHEN 0 THEN ' ' ELSE '-' END) || CASE c_custkey % 5 WHEN 0 THEN ' data' ELSE '' END"
+
+
+@query("J-5_own_wording", "WITH meta AS (" + PART_META.format(concept=CONCEPT).replace("GROUP BY p_brand", "GROUP BY p_brand, concept") + "), "
+       + S.values("al", ["alias", "concept", "ambiguous", "pos"], _alias_rows(N.ALIASES, N.AMBIGUOUS)) + ", " + S.values("nh", ["alias", "note"], list(N.NOT_HELD.items()))
+       + f", req AS (SELECT c_custkey AS request_id, trim({OWN_WORDS}) AS raw FROM customer)," + RESOLVED)
+def _(spark, d):
+    req = A.table(spark, d, "customer").selectExpr("c_custkey AS request_id", f"{OWN_WORDS} AS token")
+    parts = A.table(spark, d, "part").withColumn("concept", F.expr(CONCEPT))
+    meta = parts.groupBy(F.col("p_brand").alias("indicator_code"), "concept").agg(
+        F.lit("parts").alias("source"), (F.min("p_partkey") % 3 == 0).alias("is_primary"), F.count("*").alias("country_count"))
+    return resolved(Z.resolve_indicators(req, meta, N.aliases(spark), N.not_held(spark)))
+
+
 WHO = "CASE c_custkey % 9 WHEN 0 THEN 'NATION_' || CAST(c_nationkey AS STRING) WHEN 1 THEN ' nation_1' WHEN 2 THEN 'nat' WHEN 3 THEN 'nati' WHEN 4 THEN 'XYZ' WHEN 5 THEN 'nab' WHEN 6 THEN '' WHEN 7 THEN 'nation_2x' ELSE 'NAY' END"
 
 

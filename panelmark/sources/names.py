@@ -6,38 +6,90 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelmark.session import constant
 
-# Phrasings that mean one concept.
+# Phrasings and the one concept each means.
 ALIASES = {
-    "gdp_growth": "economic_growth growth output_growth real_gdp_growth gdp_growth_rate",
-    "gdp_per_capita": "gdp_per_head per_capita_gdp per_capita_income income_per_person income_per_capita average_income living_standards",
-    "government_debt": "debt public_debt national_debt sovereign_debt gross_debt debt_to_gdp debt_burden government_borrowing",
-    "unemployment": "jobless joblessness unemployed out_of_work",
-    "inflation": "consumer_price_inflation cpi_inflation price_inflation cost_of_living",
-    "price_level": "consumer_price_index consumer_prices price_index cpi_index",
-    "policy_rate": "central_bank_rate policy_interest_rate monetary_policy_rate benchmark_rate base_rate bank_rate official_rate",
-    "bond_yield": "government_bond_yield bond_yields sovereign_yield long_term_interest_rate ten_year_yield 10_year_yield yield",
-    "exchange_rate": "fx fx_rate currency currency_rate dollar_exchange_rate usd_exchange_rate",
-    "current_account": "current_account_balance external_balance balance_of_payments",
-    "exports": "export",
-    "imports": "import",
-    "equity_market": "stock_market stock_market_index stock_prices share_prices equity_prices equities",
-    "industrial_production": "manufacturing_output industrial_output factory_output",
+    "economic_growth": "gdp_growth",
+    "growth": "gdp_growth",
+    "output_growth": "gdp_growth",
+    "real_gdp_growth": "gdp_growth",
+    "gdp_growth_rate": "gdp_growth",
+    "gdp_per_head": "gdp_per_capita",
+    "per_capita_gdp": "gdp_per_capita",
+    "per_capita_income": "gdp_per_capita",
+    "income_per_person": "gdp_per_capita",
+    "income_per_capita": "gdp_per_capita",
+    "average_income": "gdp_per_capita",
+    "living_standards": "gdp_per_capita",
+    "debt": "government_debt",
+    "public_debt": "government_debt",
+    "national_debt": "government_debt",
+    "sovereign_debt": "government_debt",
+    "gross_debt": "government_debt",
+    "debt_to_gdp": "government_debt",
+    "debt_burden": "government_debt",
+    "government_borrowing": "government_debt",
+    "jobless": "unemployment",
+    "joblessness": "unemployment",
+    "unemployed": "unemployment",
+    "out_of_work": "unemployment",
+    "consumer_price_inflation": "inflation",
+    "cpi_inflation": "inflation",
+    "price_inflation": "inflation",
+    "cost_of_living": "inflation",
+    "consumer_price_index": "price_level",
+    "consumer_prices": "price_level",
+    "price_index": "price_level",
+    "cpi_index": "price_level",
+    "central_bank_rate": "policy_rate",
+    "policy_interest_rate": "policy_rate",
+    "monetary_policy_rate": "policy_rate",
+    "benchmark_rate": "policy_rate",
+    "base_rate": "policy_rate",
+    "bank_rate": "policy_rate",
+    "official_rate": "policy_rate",
+    "government_bond_yield": "bond_yield",
+    "bond_yields": "bond_yield",
+    "sovereign_yield": "bond_yield",
+    "long_term_interest_rate": "bond_yield",
+    "ten_year_yield": "bond_yield",
+    "10_year_yield": "bond_yield",
+    "yield": "bond_yield",
+    "fx": "exchange_rate",
+    "fx_rate": "exchange_rate",
+    "currency": "exchange_rate",
+    "currency_rate": "exchange_rate",
+    "dollar_exchange_rate": "exchange_rate",
+    "usd_exchange_rate": "exchange_rate",
+    "current_account_balance": "current_account",
+    "external_balance": "current_account",
+    "balance_of_payments": "current_account",
+    "export": "exports",
+    "import": "imports",
+    "stock_market": "equity_market",
+    "stock_market_index": "equity_market",
+    "stock_prices": "equity_market",
+    "share_prices": "equity_market",
+    "equity_prices": "equity_market",
+    "equities": "equity_market",
+    "manufacturing_output": "industrial_production",
+    "industrial_output": "industrial_production",
+    "factory_output": "industrial_production",
 }
 
 # Phrasings that mean several concepts and are never guessed.
 AMBIGUOUS = {
-    "gdp": "gdp_growth gdp_per_capita",
-    "gross_domestic_product": "gdp_growth gdp_per_capita",
-    "economic_output": "gdp_growth gdp_per_capita",
-    "economy_size": "gdp_growth gdp_per_capita",
-    "cpi": "inflation price_level",
-    "prices": "inflation price_level",
-    "price": "inflation price_level",
-    "interest_rate": "policy_rate bond_yield",
-    "interest_rates": "policy_rate bond_yield",
-    "borrowing_costs": "policy_rate bond_yield",
-    "trade": "exports imports current_account",
-    "trade_balance": "exports imports current_account",
+    "gdp": ["gdp_growth", "gdp_per_capita"],
+    "gross_domestic_product": ["gdp_growth", "gdp_per_capita"],
+    "economic_output": ["gdp_growth", "gdp_per_capita"],
+    "economy_size": ["gdp_growth", "gdp_per_capita"],
+    "cpi": ["inflation", "price_level"],
+    "prices": ["inflation", "price_level"],
+    "price": ["inflation", "price_level"],
+    "interest_rate": ["policy_rate", "bond_yield"],
+    "interest_rates": ["policy_rate", "bond_yield"],
+    "borrowing_costs": ["policy_rate", "bond_yield"],
+    "trade": ["exports", "imports", "current_account"],
+    "trade_balance": ["exports", "imports", "current_account"],
 }
 
 # Requests that name something the catalog cannot supply at all.
@@ -48,10 +100,10 @@ NOT_HELD = {
 }
 
 
-def aliases(spark: SparkSession, singles: dict[str, str] = ALIASES, several: dict[str, str] = AMBIGUOUS) -> DataFrame:
+def aliases(spark: SparkSession, singles: dict[str, str] = ALIASES, several: dict[str, list[str]] = AMBIGUOUS) -> DataFrame:
     """alias, concept, ambiguous, position: one row per concept an alias can mean."""
-    rows = [(a, concept, False, 0) for concept, names in singles.items() for a in names.split()]
-    rows += [(a, concept, True, i) for a, names in several.items() for i, concept in enumerate(names.split())]
+    rows = [(alias, concept, False, 0) for alias, concept in singles.items()]
+    rows += [(alias, concept, True, i) for alias, concepts in several.items() for i, concept in enumerate(concepts)]
     return constant(spark, "alias string, concept string, ambiguous boolean, position int", rows)
 
 
