@@ -108,13 +108,22 @@ def described_anomalies(anomalies: DataFrame, catalog: DataFrame, countries: Dat
 
 
 def newest_anomalies(anomalies: DataFrame, limit: int = 100, entity=None, indicator_code=None, ceiling: int = 500) -> DataFrame:
-    """The newest ``limit``; requests are held to ``ceiling``, which a caller may raise."""
+    """The newest ``limit``; requests are held to ``ceiling``, which a caller may raise. ``newest_page`` says whether there are more."""
+    return newest_page(anomalies, limit, entity, indicator_code, ceiling).drop("truncated")
+
+
+def newest_page(anomalies: DataFrame, limit: int = 100, entity=None, indicator_code=None, ceiling: int = 500) -> DataFrame:
+    """``newest_anomalies`` with ``truncated``: whether one more was there. Only limit + 1 rows are ever brought together."""
     rows = anomalies
     if entity:
         rows = rows.where(F.col("entity") == entity)
     if indicator_code:
         rows = rows.where(F.col("indicator_code") == indicator_code)
-    return rows.orderBy(F.col("date").desc(), "entity", "indicator_code", "source").limit(max(1, min(limit, ceiling)))
+    most = max(1, min(limit, ceiling))
+    order = [F.col("date").desc(), F.col("entity"), F.col("indicator_code"), F.col("source")]
+    top = rows.orderBy(*order).limit(most + 1)
+    whole = Window.partitionBy(F.lit(1))
+    return top.withColumn("truncated", F.count("*").over(whole) > most).orderBy(*order).limit(most)
 
 
 def notable_anomalies(anomalies: DataFrame, limit: int = 10, ceiling: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmark.operators.latest import SERIES
 from panelmark.operators.positions import split_row_number
+from panelmark.operators.resolve import resolve_indicators
 
 #: The ceiling a service sets on the limit of a ranking it is asked for.
 MAX_ENTRIES = 300
@@ -65,6 +66,36 @@ def rank_entities(
     return ranked.join(stats, by).withColumn("truncated", truncated)
 
 
+def answer_rankings(
+    requests: DataFrame, metadata: DataFrame, aliases: DataFrame, not_held: DataFrame, newest_rows: DataFrame, countries: DataFrame,
+    max_age_years: int | None = None, today: dt.date | None = None, ceiling: int = MAX_ENTRIES,
+) -> DataFrame:
+    """requests(request_id, token, order, limit) answered in one call: a row for each entry of its ranking.
+
+    The token is resolved first; one that names no single indicator has no entries here (``resolve_indicators``
+    says why). Each entry carries the size and date range of the whole field, whether the request's limit
+    (at most ``ceiling``; null asks for all) cut it, and the other indicators of the same concept. Requests for one
+    indicator in one order share one ranking, numbered run by run of like values.
+    """
+    held = resolve_indicators(requests, metadata, aliases, not_held).withColumn("indicator_code", F.col("resolution.code")).where("indicator_code IS NOT NULL")
+    way = F.when(F.lower("order") == "asc", "asc").otherwise("desc")
+    held = held.select("request_id", "indicator_code", way.alias("order"), F.when(F.col("limit").isNotNull(), F.least(F.greatest("limit", F.lit(1)), F.lit(ceiling))).alias("_most"))
+    rows = newest_rows if max_age_years is None else newest_rows.where(F.col("date") >= F.lit(recency_cutoff(today, max_age_years)))
+    shapes = held.select("indicator_code", "order").distinct()
+    asked = rows.join(shapes, "indicator_code").withColumn("_key", F.when(F.col("order") == "asc", -F.col("value")).otherwise(F.col("value")))
+    by = ["indicator_code", "order"]
+    ranked = split_row_number(asked, by, "_key", ["entity"], "rank").drop("_key")
+    stats = asked.groupBy(*by).agg(F.count("*").alias("entity_count"), F.min("date").alias("earliest"), F.max("date").alias("newest"))
+    pairs = metadata.where("concept IS NOT NULL").select("concept", "indicator_code").distinct()
+    others = pairs.join(pairs.withColumnRenamed("indicator_code", "_other"), "concept").where(F.col("_other") != F.col("indicator_code"))
+    others = others.groupBy("indicator_code").agg(F.array_sort(F.collect_set("_other")).alias("alternatives"))
+    entries = ranked.join(held, by).where(F.col("_most").isNull() | (F.col("rank") <= F.col("_most")))
+    return (
+        entries.join(stats, by).join(others, "indicator_code", "left").join(countries.select("entity", "entity_name", "region"), "entity", "left")
+        .withColumn("truncated", F.coalesce(F.col("entity_count") > F.col("_most"), F.lit(False)))
+        .withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<string>"))).drop("_most"))
+
+
 def rank_map(newest_rows: DataFrame, countries: DataFrame, indicator_code: str) -> DataFrame:
     """Every map point with its value and rank on the chosen indicator, null where it has none."""
     chosen = rank_entities(newest_rows.where(F.col("indicator_code") == indicator_code))

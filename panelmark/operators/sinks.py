@@ -134,6 +134,11 @@ def purge_groupings(df: DataFrame, codes: DataFrame) -> DataFrame:
     return df.join(codes.select("entity"), "entity", "left_anti")
 
 
+def purge_everywhere(facts: DataFrame, anomalies: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts and anomalies without the listed groupings: an anomaly does not outlive the series it was found in."""
+    return purge_groupings(facts, codes), purge_groupings(anomalies, codes)
+
+
 def guarded_purge(facts: DataFrame, source: str, indicator_code: str, entity: str) -> DataFrame:
     """Without one series while it still holds rows off the first of a month; a clean
     series is left alone, so running it again changes nothing."""

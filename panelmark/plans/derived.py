@@ -74,6 +74,29 @@ def _(spark, d):
     return resolved(Z.resolve_indicators(req, meta, N.aliases(spark, SINGLE, SEVERAL), N.not_held(spark, NOTES)))
 
 
+_HOW, _TAIL = RESOLVED.split("SELECT q.request_id,", 1)
+
+
+@query("P-6_answered_rankings", S.with_(S.FACTS, S.CATALOG, S.META, S.LATEST, S.PROFILES, S.values("al", ["alias", "concept", "ambiguous", "pos"], _alias_rows(SINGLE, SEVERAL)),
+       S.values("nh", ["alias", "note"], list(NOTES.items()))) + REQUESTS + _HOW.rstrip() + ", res AS (SELECT q.request_id," + _TAIL + """),
+asked AS (SELECT request_id, code, CASE request_id % 2 WHEN 0 THEN 'asc' ELSE 'desc' END AS ord, CASE WHEN request_id % 3 > 0 THEN request_id % 11 END AS lim FROM res WHERE code IS NOT NULL),
+alt AS (SELECT a.indicator_code AS code, string_agg(DISTINCT b.indicator_code, ',' ORDER BY b.indicator_code) AS alternatives
+  FROM meta a JOIN meta b ON a.concept = b.concept AND a.indicator_code <> b.indicator_code GROUP BY 1),
+f AS (SELECT request_id, code, ord, lim, entity, value, date, row_number() OVER (PARTITION BY request_id ORDER BY CASE ord WHEN 'asc' THEN value ELSE -value END, entity) AS rank,
+  count(*) OVER (PARTITION BY request_id) AS entity_count, min(date) OVER (PARTITION BY request_id) AS earliest FROM asked JOIN latest ON indicator_code = code)
+SELECT request_id, code AS indicator_code, ord, rank, f.entity, entity_name, value, date, entity_count, earliest,
+  lim IS NOT NULL AND entity_count > greatest(lim, 1) AS truncated, coalesce(alternatives, '') AS alternatives
+FROM f LEFT JOIN alt USING (code) LEFT JOIN profiles p ON p.entity = f.entity WHERE lim IS NULL OR rank <= greatest(lim, 1)""")
+def _(spark, d):
+    i = F.col("request_id")
+    req = A.table(spark, d, "customer").selectExpr("c_custkey AS request_id", f"{TOKEN_SQL} AS token").withColumn(
+        "order", F.when(i % 2 == 0, "asc").otherwise("desc")).withColumn("limit", F.when(i % 3 > 0, i % 11))
+    f = A.facts(spark, d)
+    out = R.answer_rankings(req, R.indicator_metadata(f, ref.catalog(spark)), N.aliases(spark, SINGLE, SEVERAL), N.not_held(spark, NOTES), L.latest(f), A.profiles(spark, d))
+    return out.select("request_id", "indicator_code", F.col("order").alias("ord"), "rank", "entity", "entity_name", "value", "date", "entity_count", "earliest", "truncated",
+                      F.concat_ws(",", "alternatives").alias("alternatives"))
+
+
 # The library's own wording, asked of a catalog of parts: each brand is an indicator of one of its concepts.
 CONCEPTS = sorted(set(N.ALIASES.values()))
 WORDING = sorted({*N.ALIASES, *N.AMBIGUOUS, *N.NOT_HELD, *CONCEPTS})

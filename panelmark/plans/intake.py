@@ -516,6 +516,17 @@ def _(spark, d):
     return K.purge_groupings(f, ref.grouping_codes(spark))
 
 
+@query("P-8_purge_with_anomalies", S.with_(S.FACTS, "codes AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in ref.GROUPING_CODES) + "]) AS c)", S.anomalies()) + f"""
+SELECT 'facts' AS kept, {RECODED} AS entity, count(*) AS n FROM facts WHERE {RECODED} NOT IN (SELECT c FROM codes) GROUP BY 2
+UNION ALL SELECT 'anomalies', {RECODED}, count(*) FROM anomalies WHERE {RECODED} NOT IN (SELECT c FROM codes) GROUP BY 2""")
+def _(spark, d):
+    recoded = lambda df: df.withColumn("entity", F.expr(RECODED))
+    f = A.facts(spark, d)
+    kept = K.purge_everywhere(recoded(f), recoded(detect_anomalies(f, KEYS)), ref.grouping_codes(spark))
+    counts = [df.groupBy(F.lit(label).alias("kept"), "entity").agg(F.count("*").alias("n")) for label, df in zip(("facts", "anomalies"), kept)]
+    return counts[0].unionByName(counts[1])
+
+
 @query("P-9_guarded_purge", S.with_(S.EVENTS) + """
 SELECT * FROM efacts WHERE NOT (entity = '8' AND indicator_code = 'error' AND EXISTS (SELECT 1 FROM efacts
   WHERE entity = '8' AND indicator_code = 'error' AND day(date) <> 1))""")

@@ -380,6 +380,19 @@ def _(spark, d):
     return L.newest_anomalies(flagged(spark, d))
 
 
+@query("L-1_pages", FA + """
+, a AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY date DESC, entity, indicator_code, source) AS i FROM anomalies),
+e AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY date DESC, entity, indicator_code, source) AS i FROM anomalies WHERE entity = 'NAB')
+SELECT 'most' AS page, source, indicator_code, entity, date, n > 500 AS truncated FROM a WHERE i <= 500
+UNION ALL SELECT 'few', source, indicator_code, entity, date, n > 7 FROM a WHERE i <= 7
+UNION ALL SELECT 'one', source, indicator_code, entity, date, n > 500 FROM e WHERE i <= 500""")
+def _(spark, d):
+    found = flagged(spark, d)
+    pages = {"most": L.newest_page(found, 10_000), "few": L.newest_page(found, 7), "one": L.newest_page(found, 500, entity="NAB")}
+    out = [p.select(F.lit(n).alias("page"), *KEYS, "date", "truncated") for n, p in pages.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("L-2_notable_anomalies", FA + """
 SELECT * FROM anomalies ORDER BY z_score IS NULL, abs(z_score) DESC, date DESC, entity, indicator_code, source LIMIT 10""")
 def _(spark, d):
