@@ -10,15 +10,22 @@ pages, have it and it has two tokens or more; valid classes nest by their paths
 template. As each of its tokens is on half of the pages, a template is no larger than
 twice a page, whatever the number of pages.
 
+Tokens inside article and main elements have vectors of their own, over the host's different
+articles instead of its pages: copies of one article count once, so that what is repeated with
+an article is not taken for what a host repeats in every article.
+
 What is left of a page between the tokens of its template are slots. Main text is what
 slots inside the page's article and main elements hold, other than in elements that
 stand around articles by their kind or name. A name that only has a word of such (as in
-``page-with-sidebar``) counts if the template has the element and it is not most of the page. On a page without such an element it is what
-the slots below the template's densest element hold, texts of the template left out.
+``page-with-sidebar``) counts if the template has the element and it is not most of the page. Headings, cells
+and terms inside an article are its own even if the template has them, and an article of which the slots hold
+less than half is an edited copy of others and stays whole. On a page without such an element main text is what
+the slots below the template's densest element hold.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,65 +34,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import small_batches, staged
-from panelmark.llm.markup import AROUND_IT, INSIDE, Page, digest, scan
+from panelmark.llm.markup import AROUND_IT, HEADINGS, INSIDE, Page, digest, scan
 
 LEAST_PAGES, SHARE = 3, 0.5
 #: The densest element holds this share of the text of a host's pages outside links, and no element below it does.
 DENSE = 0.6
 #: Tokens a task holds before it passes on their sums.
 HELD = 100_000
-_TOKENS = "host string, token long, path string, pages long, uses long, first long, second long, chars long"
-ELEMENT, TEXT = "E", "T"
+_TOKENS = "host string, token long, path string, article long, pages long, uses long, first long, second long, chars long"
+#: Kinds of tokens: elements and texts of a page, elements and texts of its articles.
+ELEMENT, TEXT, INNER, OWN = "E", "T", "I", "A"
+#: What every page, and every different article, has once: their vectors' pages are a host's numbers of both.
+EACH_PAGE, EACH_ARTICLE = digest("pages"), digest("articles")
+#: Elements whose text names what follows in an article.
+LABELS = HEADINGS | frozenset("th td dt caption figcaption summary".split())
 
 
 def _text_token(page: Page, block: tuple) -> int:
-    return digest(f"{TEXT}{page.paths[block[0]] if block[0] >= 0 else ''}\n{block[3]}")
+    return digest(f"{OWN if block[2] >= 0 else TEXT}{page.paths[block[0]] if block[0] >= 0 else ''}\n{block[3]}")
+
+
+def _is_label(page: Page, block: tuple) -> bool:
+    return block[0] >= 0 and re.match("[a-z0-9]*", page.paths[block[0]].rsplit(">", 1)[-1])[0] in LABELS
 
 
-def _tokens(page: Page) -> Iterator[tuple[int, str | None, int, int]]:
-    """(token, path of an element, uses, characters below it)."""
+def _tokens(page: Page) -> Iterator[tuple[int, str | None, int, int, int]]:
+    """(token, path of an element, article or 0 for tokens of the page, uses, characters below it)."""
+    yield EACH_PAGE, None, 0, 1, 0
     for path, uses, chars in zip(page.paths, page.uses, page.chars):
-        yield digest(ELEMENT + path), path, uses, chars
-    texts: dict[int, int] = {}
+        yield digest(ELEMENT + path), path, 0, uses, chars
+    within = [block for block in page.blocks if block[2] >= 0]
+    article = (digest("\n".join(block[3] for block in within)) or 1) if within else 0
+    if article:
+        yield EACH_ARTICLE, None, article, 1, 0
+        for path in sorted(set().union(*(block[5] for block in within))):
+            yield digest(INNER + page.paths[path]), None, article, page.uses[path], 0
+    texts: dict[tuple[int, int], int] = {}
     for block in page.blocks:
-        if block[2] < 0:  # texts of articles are no template, even where pages are copies
-            token = _text_token(page, block)
-            texts[token] = texts.get(token, 0) + 1
-    for token, uses in texts.items():
-        yield token, None, uses, 0
+        token = _text_token(page, block), article if block[2] >= 0 else 0
+        texts[token] = texts.get(token, 0) + 1
+    for (token, of), uses in texts.items():
+        yield token, None, of, uses, 0
 
 
 def token_sums(pages: DataFrame) -> DataFrame:
-    """(host, token, path, pages, uses, first, second, chars) of (key, host, html), summed over pages."""
+    """(host, token, path, pages, uses, first, second, chars) of (key, host, html): tokens of pages
+    summed over pages, those of articles over the host's different articles."""
+    values = ("pages", "uses", "first", "second", "chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
 
         def out() -> pa.RecordBatch:
-            keys, values = list(sums), np.array(list(sums.values()), np.int64).reshape(len(sums), 5).T
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string())]
+            keys, held = list(sums), np.array(list(sums.values()), np.int64).reshape(len(sums), len(values)).T
+            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))]
             sums.clear()
-            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, values)], ["host", "token", "path", "pages", "uses", "first", "second", "chars"])
+            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, held)], ["host", "token", "path", "article", *values])
 
         for batch in batches:
             for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html"))):
-                for token, path, uses, chars in _tokens(scan(html)):
-                    vector = digest(f"{key} {uses}")
-                    entry = sums.setdefault((host, token, path), [0, 0, 0, 0, 0])
+                for token, path, article, uses, chars in _tokens(scan(html)):
+                    vector = digest(f"{article or key} {uses}")
+                    entry = sums.setdefault((host, token, path, article), [0, 0, 0, 0, 0])
                     for k, value in enumerate((1, uses, vector & 0xFFFFFFFF, vector >> 32 & 0xFFFFFFFF, chars)):
-                        entry[k] += value
+                        entry[k] = max(entry[k], value) if article else entry[k] + value
                 if len(sums) >= HELD:
                     yield out()
         if sums:
             yield out()
 
     each = pages.mapInArrow(run, _TOKENS)
-    return each.groupBy("host", "token").agg(F.max("path").alias("path"), *(F.sum(c).alias(c) for c in ("pages", "uses", "first", "second", "chars")))
-
-
-def templates(sums: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, tokens: array<long>, dense: string) from token sums and (host, host_pages)."""
-    often = sums.join(hosts, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= SHARE * F.col("host_pages")))
+    once = [F.when(F.col("article") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in values]
+    each = each.groupBy("host", "token", "article").agg(F.max("path").alias("path"), *once)
+    of_articles = F.max(F.col("article") != 0).alias("of_articles")
+    return each.groupBy("host", "token").agg(F.max("path").alias("path"), of_articles, *(F.sum(c).alias(c) for c in values))
+
+
+def templates(sums: DataFrame) -> DataFrame:
+    """(host, tokens: array<long>, dense: string) from token sums. What is on fewer than
+    ``LEAST_PAGES`` pages, which most texts are, is left out before the sums are written and read twice."""
+    often = staged(sums.filter(F.col("pages") >= LEAST_PAGES), "tokens")
+    totals = often.filter(F.col("token").isin(EACH_PAGE, EACH_ARTICLE)).select("host", "of_articles", F.col("pages").alias("in_all"))
+    often = often.join(totals, ["host", "of_articles"]).filter(F.col("pages") >= SHARE * F.col("in_all"))
     vector = ["host", "pages", "uses", "first", "second"]
     classes = often.groupBy(*vector).agg(
         F.collect_list("token").alias("tokens"),
@@ -113,6 +143,10 @@ def main_text(html: str, tokens: frozenset[int], dense: str | None) -> str:
     if not within:  # what holds most of the page's text is no surrounding, whatever its name
         named = [b for b in shown if b[2] >= 0]
         within = named if 2 * sum(max(0, len(b[3]) - b[4]) for b in named) > total else []
+    if tokens and within:
+        slots = [b for b in within if _is_label(page, b) or _text_token(page, b) not in tokens]
+        if 2 * sum(len(b[3]) for b in slots) >= sum(len(b[3]) for b in within):
+            within = slots
     if within:
         sizes: dict[int, list[int]] = {}
         for b in within:
@@ -147,8 +181,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host"),
     )
     keyed = rows.select(F.xxhash64("page_id", "url").alias("key"), "host", "html")
-    hosts = staged(rows.groupBy("host").agg(F.count("*").alias("host_pages")), "hosts")
-    found = staged(templates(token_sums(keyed), hosts), "templates")
+    found = staged(templates(token_sums(keyed)), "templates")
     joined = rows.join(found, "host", "left").select("page_id", "url", "html", "tokens", "dense")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

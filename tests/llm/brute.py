@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 
+from panelmark.llm import markup
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -89,3 +91,25 @@ def article(page):
         return ""
     blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", found[1])]
     return "\n".join(b for b in blocks if b)
+
+
+def repeated(pages):
+    """{page: texts of its article that its host's template has}, from whole occurrence vectors over different articles.
+
+    ``pages`` are (page, host, html)."""
+    hosts = collections.defaultdict(dict)
+    for _page, host, text in pages:
+        found = markup.scan(text)
+        within = [b for b in found.blocks if b[2] >= 0]
+        counts = collections.Counter((found.paths[b[0]], b[3]) for b in within)
+        counts.update({(found.paths[p], None): found.uses[p] for b in within for p in b[5]})
+        hosts[host][tuple(b[3] for b in within)] = counts
+    texts = {}
+    for host, articles in hosts.items():
+        tokens = set().union(*articles.values())
+        vectors = collections.defaultdict(list)
+        for token in tokens:
+            vectors[tuple(counts[token] for counts in articles.values())].append(token)
+        valid = [v for v in vectors if sum(map(bool, v)) >= max(3, len(articles) / 2) and len(vectors[v]) > 1]
+        texts[host] = {token[1] for v in valid for token in vectors[v] if token[1]}
+    return {page: texts[host] & {b[3] for b in markup.scan(text).blocks if b[2] >= 0} for page, host, text in pages}

@@ -377,6 +377,32 @@ def test_html_without_article_elements_by_the_host_s_template(spark, sf):
     assert {r.page_id: r.text for r in template.extracted(plain).collect()} == want
 
 
+def test_lines_that_a_host_repeats_inside_its_articles_are_template(spark):
+    share = ["<p>Follow us on Foo", "<div class=x>Sign the petition</div>"]
+
+    def page(k, lines, body):
+        return f"<nav>Top</nav><article><h1>Title {k}</h1>{lines[0]}<h2>Summary</h2>{body}<table><tr><td>Price<td>{k}</table>{''.join(lines[1:])}</article>"
+
+    rows = [(k, "one", page(k, share, f"<p>Body of page {k} in words of its own, long enough.")) for k in range(12)]
+    # a host where one article and its copies are most pages, and one with edited copies of one article
+    rows += [(100 + k, "two", page(0, ["", ""], "<p>A line that is copied<p>and another one")) for k in range(30)]
+    rows += [(200 + k, "two", page(k, ["", ""], f"<p>Own text {k} of a page")) for k in range(3)]
+    rows += [(300 + k, "three", page(0, ["", ""], f"<p>A first paragraph that all of them have<p>and a second one<p>edit {k}")) for k in range(9)]
+    # too few different articles for a template, and a line on half of them with a class of its own
+    rows += [(400 + k, "four", page(k, share, f"<p>Body {k}")) for k in range(2)]
+    rows += [(500 + k, "five", page(k, ["", *(["<p class=y>Read on tomorrow"] if k % 2 else [])], f"<p>Body of page {k} that is longer")) for k in range(10)]
+    pages = spark.createDataFrame([(k, f"http://{host}/{k}", html) for k, host, html in rows], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text.split("\n") for r in template.extracted(pages).collect()}
+    want = brute.repeated(rows)
+    for k, host, html in rows:
+        whole = template.main_text(html, frozenset(), None).split("\n")
+        gone = {"one": {"Follow us on Foo", "Sign the petition"}, "five": {"Read on tomorrow"}}.get(host, set())
+        assert got[k] == [x for x in whole if x not in gone], (k, host)
+        assert gone & set(whole) == (want[k] - {"Summary", "Price"} if host in ("one", "five") else set())
+        assert host not in ("one",) or len(got[k]) == len(whole) - 2
+    assert want[300] and not want[400]
+
+
 def test_html_odd_rows(spark):
     body = "<nav>n</nav><article><p>Same text</p></article>"
     rows = [(1, "http://h/1", None), (2, None, body), (3, "no url", ""), (4, "http://h/2", "<p>" + LONG), (None, "http://h/3", body), (4, "http://h/2", body)]
