@@ -1,9 +1,9 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 A document is the set of its distinct word shingles; equal sets are one node from the
-start. A node has ``TREES`` signatures of ``DEPTH`` min-hashes, and a sketch of
-``SKETCH`` further bytes. Each tree is all nodes in the order of its signature, dealt
-out by ranges, so neighbours in the order share the longest prefixes. A region is a run of
+start. A node has signatures of several min-hashes, one a tree, as many and as long as the threshold asks (``forest``), and
+a sketch of ``SKETCH`` bytes. Each tree is all nodes in the order of its signature, dealt
+out by ranges, so neighbours in the order share the longest prefixes; equal signatures are ordered by further min-hashes, others in each tree. A region is a run of
 nodes that share a prefix: one min-hash deep where that holds no more than ``REGION``
 nodes, and only where it holds more is it split by the next min-hash, so the depth
 follows the density and no region is cut off. Inside a region every two nodes are
@@ -13,15 +13,17 @@ most of the region resembles (the originals of large groups of copies), not all
 Proposals are confirmed on the full sets. The best of each node go first; of the others only
 those that would join two components still apart are looked at, so a group of thousands
 costs a few confirmations a document. Nodes that left a pair out are marked, and go through the
-trees again with their components known: first every two components that have nodes whose size
+trees again with their components known. Before, in runs that share half a signature and are longer than a region, all nodes meet
+the ``HEADS`` nodes of the run with most links, one a component, wherever in the run they lie. Then every two components that have nodes whose size
 and sketch allow a link are proposed by the most alike of these, whatever their number; then, with
 the components that gives, every pair across. For these the nodes bring ``FINE`` more bytes, which
 hold their whole set if it is small, so that what is proposed are links; larger sets have a finer sketch there.
 
 Recall: two nodes at the threshold s share a min-hash in one of T trees with probability
-1 - (1 - s)^T, at 0.85 and 10 trees 1 - 6e-9. Where regions are split down to all ``DEPTH``
-min-hashes it is 1 - (1 - s^DEPTH)^T, at 0.85 0.991 for a single pair. The tests and the README
-give measured recall.
+1 - (1 - s)^T, at 0.85 and 10 trees 1 - 6e-9. Where regions are split down to all d
+min-hashes it is 1 - (1 - s^d)^T for a single pair, ``RECALL`` or more by the choice of T and d: 10 trees of 6 at 0.85,
+16 of 6 at 0.8. With the originals of groups dense enough to be split so, which are heads of runs, it is that of half the depth:
+misses of 7e-5 and 1e-5. The tests and the README give measured recall.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import byte_view, id_and_text, slices, small_batches, staged
@@ -38,21 +40,35 @@ from panelmark.llm.components import components
 from panelmark.llm.quality import _repeats
 from panelmark.llm.wordscan import LOWER, scramble, span_prints, windows_of, word_spans
 
-TREES, DEPTH, SKETCH = 10, 6, 128
+SKETCH = 128
+#: Min-hashes of a signature, trees and hashes of all trees at most, and what of single pairs at the threshold is found at full depth.
+DEPTH, TREES, HASHES, RECALL = 6, 20, 128, 0.99
 #: Bytes of the finer sketch of nodes that left a pair out, a power of two, and shingles of sets that are whole in it.
 FINE, WHOLE = 1024, 256
 #: Nodes that one region compares at most before it is split by a further min-hash.
 REGION = 1024
 #: Proposals of a node in one region: most alike, and most resembled by others.
 NEAREST, HUBS = 6, 3
+#: Components of a long run of one signature that are shown to all of it.
+HEADS = 16
 #: Ranks of proposals; a node paired with itself has the last one if it left a pair out.
 FIRST, OTHER, LEFT = 0, 1, 2
 _RNG = np.random.default_rng(85)
-_FACTOR = _RNG.integers(1, 2**31, max(TREES * DEPTH, SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFT = _RNG.integers(0, 2**32, max(TREES * DEPTH, SKETCH), dtype=np.uint32)
+_FACTOR = _RNG.integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFT = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
 _SHORT = 0x9E3779B97F4A7C15
 
 
+def forest(percent: int) -> tuple[int, int]:
+    """(trees, min-hashes of each): the longest signatures of which few enough trees find ``RECALL`` of the pairs at the threshold."""
+    share = min(max(percent, 1), 99) / 100
+    for depth in range(DEPTH, 0, -1):
+        trees = int(np.ceil(np.log(1 - RECALL) / np.log(1 - share**depth)))
+        if trees <= TREES or depth == 1:
+            return min(trees, HASHES), depth
+    raise AssertionError
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit shingles, their rows) of lower-cased texts, each distinct one once a row. A row
     with fewer words has all of them as its one shingle; a row without words has none."""
@@ -87,8 +103,9 @@ def _node_keys(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack(halves, axis=1).astype(">u8").view(np.uint8).reshape(len(starts), 16)
 
 
-def signatures(df: DataFrame, words: int) -> DataFrame:
+def signatures(df: DataFrame, words: int, trees_depth: tuple[int, int]) -> DataFrame:
     """(id, text_key, n_shingles, node, trees, sketch) of (id, text, text_key); without shingles the last three are null."""
+    hashes = trees_depth[0] * trees_depth[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +117,7 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
                 if len(filled):
                     short = (keys >> np.uint64(32)).astype(np.uint32) ^ keys.astype(np.uint32)
                     least = np.stack([np.minimum.reduceat(short * f + s, starts) for f, s in zip(_FACTOR, _SHIFT)], axis=1)
-                    of_trees = least[:, : TREES * DEPTH].astype(">u4").view(np.uint8)
+                    of_trees = least[:, :hashes].astype(">u4").view(np.uint8)
                     of_sketch = ((least * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)[:, :SKETCH]
                     for i, row in enumerate(filled.tolist()):
                         trees[row], sketch[row] = of_trees[i].tobytes(), of_sketch[i].tobytes()
@@ -117,22 +134,22 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "id long, text_key long, n_shingles long, node binary, trees binary, sketch binary")
 
 
-def _regions(hashes: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
+def _regions(hashes: np.ndarray, low: int, high: int, depth: int, region: int = REGION) -> Iterator[tuple[int, int]]:
     """Runs of sorted signatures that share ``depth`` min-hashes, split further while too large."""
-    if high - low <= REGION or depth == hashes.shape[1]:
-        for at in range(low, high, REGION):
-            yield at, min(at + REGION, high)
+    if high - low <= region or depth == hashes.shape[1]:
+        for at in range(low, high, region):
+            yield at, min(at + region, high)
         return
     column = hashes[low:high, depth]
     cuts = [low, *(np.flatnonzero(column[1:] != column[:-1]) + 1 + low).tolist(), high]
     begin = low
     for a, b in zip(cuts, cuts[1:]):  # small neighbours stay together
-        if b - begin > REGION:
+        if b - begin > region:
             if a > begin:
                 yield begin, a
             begin = a
-            if b - a > REGION:
-                yield from _regions(hashes, a, b, depth + 1)
+            if b - a > region:
+                yield from _regions(hashes, a, b, depth + 1, region)
                 begin = b
     if high > begin:
         yield begin, high
@@ -178,7 +195,7 @@ def _least(percent: int) -> int:
     return int((share - 5 * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH)
 
 
-def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, region: int = REGION) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(one, other, rank) of the pairs that sorted rows of one tree propose.
 
     Small regions are compared together, step by step; a large one by itself, so that
@@ -188,11 +205,11 @@ def propose(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent:
     least, sure = _least(percent), int(percent / 100 * SKETCH)
     equal = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]).any(axis=1)))
     for a, b in zip(equal.tolist(), [*equal[1:].tolist(), len(hashes)]):
-        if b - a > REGION:
+        if b - a > region:
             yield np.arange(a, b), np.arange(a, b), np.full(b - a, LEFT)
     edge = np.flatnonzero(np.diff(hashes[:, 0], prepend=hashes[0, 0] ^ 1, append=hashes[-1, 0] ^ 1))
     run, found = np.full(len(hashes), -1, np.int32), []
-    regions = (r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _regions(hashes, int(a), int(b), 1))
+    regions = (r for a, b in zip(edge, edge[1:]) if b - a > 1 for r in _regions(hashes, int(a), int(b), 1, region))
     for number, (a, b) in enumerate(regions):
         if b - a <= 64:
             run[a:b] = number
@@ -238,18 +255,18 @@ def _finely(fine: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.n
     return near
 
 
-def _mixed(hashes: np.ndarray, labels: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
+def _mixed(hashes: np.ndarray, labels: np.ndarray, low: int, high: int, depth: int, region: int = REGION) -> Iterator[tuple[int, int]]:
     """Runs of sorted signatures with nodes of several components, split while they have too many pairs across."""
     _labels, counts = np.unique(labels[low:high], return_counts=True)
     if len(counts) == 1:
         return
-    if depth == hashes.shape[1] or (high - low) ** 2 - int((counts**2).sum()) <= REGION**2:
+    if depth == hashes.shape[1] or (high - low) ** 2 - int((counts**2).sum()) <= region**2:
         yield low, high
         return
     column = hashes[low:high, depth]
     cuts = [low, *(np.flatnonzero(column[1:] != column[:-1]) + 1 + low).tolist(), high]
     for a, b in zip(cuts, cuts[1:]):
-        yield from _mixed(hashes, labels, a, b, depth + 1)
+        yield from _mixed(hashes, labels, a, b, depth + 1, region)
 
 
 def _most_alike(parts: list[tuple], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +279,7 @@ def _most_alike(parts: list[tuple], labels: np.ndarray) -> tuple[np.ndarray, np.
     return one[best], other[best], equal[best]
 
 
-def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int, fine: np.ndarray | None = None):
+def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int, fine: np.ndarray | None = None, region: int = REGION):
     """(one, other, rank): for each two labels with rows that look alike in a region, the most alike of these;
     with finer sketches all pairs of different labels that these allow too.
 
@@ -271,7 +288,7 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
     """
     least = _least(percent)
     edge = np.flatnonzero(np.diff(hashes[:, 0], prepend=hashes[0, 0] ^ 1, append=hashes[-1, 0] ^ 1))
-    for low, high in (r for a, b in zip(edge.tolist(), edge[1:].tolist()) if b - a > 1 for r in _mixed(hashes, labels, a, b, 1)):
+    for low, high in (r for a, b in zip(edge.tolist(), edge[1:].tolist()) if b - a > 1 for r in _mixed(hashes, labels, a, b, 1, region)):
         _labels, of, counts = np.unique(labels[low:high], return_inverse=True, return_counts=True)
         order = np.lexsort((of, counts[of]))
         ends = np.append(np.flatnonzero(np.diff(of[order])) + 1, high - low)
@@ -293,12 +310,20 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
                 parts, held = [], 0
 
 
-def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame:
+def _by_tree(nodes: DataFrame, trees_depth: tuple[int, int], *extra: str) -> DataFrame:
+    """(tree, signature, node, n_shingles, sketch, ...): each node once a tree."""
+    width = 4 * trees_depth[1]
+    each = nodes.select("node", "n_shingles", "trees", "sketch", *extra, F.explode(F.sequence(F.lit(0), F.lit(trees_depth[0] - 1))).alias("tree"))
+    return each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch", *extra)
+
+
+def proposals(nodes: DataFrame, percent: int, trees_depth: tuple[int, int], across: bool = False, region: int = REGION) -> DataFrame:
     """(a, b, rank): pairs of nodes to confirm, a < b; rank ``FIRST`` is some node's first choice in
     some region, and a row with rank ``LEFT`` names a node, as a and b, that left pairs out.
     With ``across`` pairs of nodes whose ``label`` differs, those most alike of each two labels,
     or all that their finer sketches allow if the nodes have a column ``fine``."""
     extra = [c for c in ("label", "fine") if across and c in nodes.columns]
+    depth = trees_depth[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -311,26 +336,26 @@ def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame
             table = pa.Table.from_batches(held).combine_chunks()
             tree = table["tree"].to_numpy()
             raw = lambda name, width: np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, width)
-            hashes = np.ascontiguousarray(raw("signature", 4 * DEPTH)).view(">u4").astype(np.uint32)
+            hashes = np.ascontiguousarray(raw("signature", 4 * depth)).view(">u4").astype(np.uint32)
             keys, sketch, sizes = raw("node", 16), raw("sketch", SKETCH), table["n_shingles"].to_numpy()
             labels = np.unique(raw("label", 16).copy().view("V16").ravel(), return_inverse=True)[1] if across else None
             fine = byte_view(table["fine"])[0][-FINE * rows :].reshape(rows, FINE) if "fine" in extra else None
             # an unfinished run waits for its rest; one larger than a buffer is cut at its next min-hash,
             # and rows of one signature with enough overlap to be seen as too many for a region
             end, keep, fresh = rows, rows, tree[1:] != tree[:-1]
-            for k in range(0 if last else DEPTH):
+            for k in range(0 if last else depth):
                 fresh = fresh | (hashes[1:, k] != hashes[:-1, k])
                 if fresh.any():
                     end = keep = int(np.flatnonzero(fresh)[-1]) + 1
                     break
             else:
-                keep = rows if last else rows - REGION - 1
+                keep = rows if last else rows - region - 1
             held, rows = ([] if keep == rows else table.slice(keep).to_batches()), rows - keep
             for a in np.flatnonzero(np.append(True, tree[1:end] != tree[: end - 1])).tolist():
                 b = a + int(np.searchsorted(tree[a:end], tree[a], "right"))
                 part = hashes[a:b], sizes[a:b], sketch[a:b]
-                over = (labels[a:b], percent, None if fine is None else fine[a:b]) if across else ()
-                for one, other, rank in propose_across(*part, *over) if across else propose(*part, percent):
+                over = (labels[a:b], percent, None if fine is None else fine[a:b], region) if across else ()
+                for one, other, rank in propose_across(*part, *over) if across else propose(*part, percent, region):
                     left, right = keys[a:b][one], keys[a:b][other]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(map(bytes, left)), pa.binary()), pa.array(list(map(bytes, right)), pa.binary()), pa.array(rank, pa.int32())],
@@ -340,18 +365,46 @@ def proposals(nodes: DataFrame, percent: int, across: bool = False) -> DataFrame
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= (64 if across else 8) * REGION:
+            if rows >= (64 if across else 8) * region:
                 yield from go(last=False)
         yield from go(last=True)
 
-    width = 4 * DEPTH
-    each = nodes.select("node", "n_shingles", "trees", "sketch", *extra, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    each = each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch", *extra)
-    order = ["tree", "signature", "node"]
+    each = _by_tree(nodes, trees_depth, *extra)
+    further = F.expr(f"substring(sketch, pmod(tree * 12 + 64, {SKETCH - 12}) + 1, 12)")
+    order = ["tree", "signature", further, "node"]
     found = each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary, rank int")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"))
 
 
+def to_heads(nodes: DataFrame, links: DataFrame, percent: int, trees_depth: tuple[int, int], region: int = REGION) -> DataFrame:
+    """(a, b): nodes of a run that shares half a signature and is longer than ``region`` with the heads of the run's other components.
+
+    ``nodes`` have a ``label``. A component's head in a run is its node with most ``links``; the ``HEADS`` heads with
+    most are shown to the whole run, over however many buffers and tasks it lies. Heads are found by partial maxima;
+    sketches go along only with nodes of such runs.
+    """
+    least, width = _least(percent), 4 * max(1, trees_depth[1] // 2)
+    run = ["tree", "prefix"]
+    each = _by_tree(nodes, trees_depth).select("tree", F.expr(f"substring(signature, 1, {width})").alias("prefix"), "node")
+    long = each.groupBy(*run).agg(F.count("*").alias("rows")).filter(F.col("rows") > region).select(*run)
+    each = staged(each.join(long, run, "left_semi"), "near-dense").join(nodes.select("node", "label", "n_shingles", "sketch"), "node")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    heads = each.join(degree, "node").groupBy(*run, "label").agg(F.max(F.struct("links", "node", "n_shingles", "sketch")).alias("head"))
+    place = F.row_number().over(Window.partitionBy(*run).orderBy(F.desc("head.links"), F.desc("head.node")))
+    heads = heads.select("*", place.alias("place")).filter(F.col("place") <= HEADS).select(
+        *run, F.col("label").alias("of"), F.col("head.node").alias("mate"), F.col("head.n_shingles").alias("size"), F.col("head.sketch").alias("other"))
+    met = each.join(heads, run).filter(
+        (F.col("label") != F.col("of")) & (100 * F.least("n_shingles", "size") >= percent * F.greatest("n_shingles", "size")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "other"))
+            yield batch.select(["a", "b"]).filter(pa.array((one == other).sum(axis=1) >= least))
+
+    pairs = met.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b"), "sketch", "other")
+    return pairs.mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def _sets(df: DataFrame, words: int) -> DataFrame:
     """(node, shingles: sorted u64) of (id, text)."""
 
@@ -409,7 +462,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 80, region: int = REGION) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_key), one row for each row of ``df``.
 
     Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their shingle
@@ -418,20 +471,27 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     such a row is kept only if its component has no id at all, or it has no shingles. Rows
     repeated under one id are all kept or all not. ``text_key`` is a hash of the text, by
     which rows of a null or repeated id can be told apart. Other columns are not read.
+    ``region`` is the number of nodes that are compared at once; buffers are 8 and 64 of it.
     """
     small_batches(df.sparkSession)
+    trees_depth = forest(percent)
     rows = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    signed = staged(signatures(rows, words), "near-signed")
+    signed = staged(signatures(rows, words, trees_depth), "near-signed")
     some = signed.filter("node is not null")
     # equal sets have equal signatures, so any of them will do
     nodes = some.groupBy("node").agg(
         F.min("id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("trees").alias("trees"), F.first("sketch").alias("sketch")
     )
     nodes = staged(nodes, "near-nodes")
-    pairs = staged(proposals(nodes, percent), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("least_id").alias("wanted")).distinct()
-    texts = rows.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = staged(_sets(texts, words), "near-sets")
+    pairs = staged(proposals(nodes, percent, trees_depth, region=region), "near-pairs")
+    ends = lambda some: some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def whole(some: DataFrame) -> DataFrame:
+        wanted = some.join(nodes, "node").select(F.col("least_id").alias("wanted")).distinct()
+        texts = rows.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        return staged(_sets(texts, words), "near-sets")
+
+    sets = whole(ends(pairs))
 
     links = staged(_confirmed(pairs.filter(F.col("rank") == FIRST), sets, percent), "near-links")
     label = components(links)
@@ -441,16 +501,26 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     more = staged(_confirmed(apart, sets, percent), "near-links")
     label = components(links.unionByName(more))
 
-    # what the nodes left out: first the most alike of each two components, then every pair still across
+    def labelled(some: DataFrame) -> DataFrame:
+        return some.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # what the nodes left out: heads of long runs, then the most alike of each two components, then every pair still across
     left = pairs.filter(F.col("rank") == LEFT).select(F.col("a").alias("node")).join(nodes, "node")
-    fine = left.join(_fine_sketches(sets), "node")
     tried = pairs.select("a", "b")
-    for marked in (left, fine):
-        marked = marked.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = staged(proposals(marked, percent, across=True).select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    walks = [
+        lambda: to_heads(labelled(nodes), links.unionByName(more), percent, trees_depth, region),
+        lambda: proposals(labelled(left), percent, trees_depth, across=True, region=region),
+        lambda: proposals(labelled(left.join(_fine_sketches(sets), "node")), percent, trees_depth, across=True, region=region),
+    ]
+    for walk in walks:
+        rest = staged(walk().select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.unionByName(rest)
-        rest = staged(_confirmed(rest, sets, percent), "near-links")
-        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
+        new = ends(rest).join(sets, "node", "left_anti")  # heads meet nodes that nothing proposed before
+        if not new.isEmpty():
+            sets = sets.unionByName(whole(new))
+        joined = staged(_confirmed(rest, sets, percent), "near-links")
+        if not joined.isEmpty():
+            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(joined))
 
     known = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = staged(known.groupBy("label").agg(F.min("least_id").alias("component_id")), "near-components")

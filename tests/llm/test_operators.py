@@ -59,6 +59,24 @@ def test_near_finds_one_link_amid_pairs_just_below_the_threshold(spark):
     assert {r.id: (r.n_shingles, r.component_id) for r in found} == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_finds_copies_of_one_original_over_many_buffers(spark, percent):
+    """A third of the rows are copies that only the original links; runs of them are longer than any buffer."""
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in range(200)]
+    rows = []
+    for k in range(1500):
+        copy = list(base)
+        for at in rng.choice(66, int((100 - percent) / 2.6) if k else 0, replace=False):
+            copy[3 * at] = f"n{k}m{at}"
+        rows.append((10_000 - k, " ".join(copy)))
+    rows += [(20_000 + k, " ".join(f"o{x}" for x in rng.integers(0, 10**6, 60))) for k in range(1000)]
+    want = brute.near(rows, 3, percent)
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text", 3, percent, region=4).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in found} == want
+    assert max(collections.Counter(c for _, c in want.values()).values()) > 1000
+
+
 def test_near_odd_rows(odd, none):
     rows = near.near_duplicates(odd, "doc_id", "text", 3, 85).collect()
     assert len(rows) == len(ODD)

@@ -82,6 +82,13 @@ def _pairs(found):
     return [(min(a, b), max(a, b), r) for one, other, rank in found for a, b, r in zip(one.tolist(), other.tolist(), rank.tolist())]
 
 
+def test_trees_and_depth_follow_the_threshold():
+    assert near.forest(85) == (10, 6) and near.forest(80) == (16, 6)
+    for percent in range(10, 100):
+        trees, depth = near.forest(percent)
+        assert 1 - (1 - (percent / 100) ** depth) ** trees >= near.RECALL and trees * depth <= near.HASHES
+
+
 def test_pairs_not_proposed_are_between_marked_nodes():
     *rows, alike = _alike_rows(3, 800)
     found = _pairs(near.propose(*rows, 85))
