@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmark.operators import cache as X
 from panelmark.operators import charts as G
 from panelmark.operators import latest as L
+from panelmark.operators import lists
 from panelmark.operators import query as Q
 from panelmark.operators import ranking as R
 from panelmark.operators import resolve as Z
@@ -174,19 +174,14 @@ def _(spark, d):
   count(*) OVER (PARTITION BY entity, indicator_code) AS total FROM efacts)
 SELECT entity, indicator_code, date, value, total > 8 AS truncated FROM r WHERE n <= 8""")
 def _(spark, d):
-    w = Window.partitionBy(*L.SERIES).orderBy(F.col("date").desc())
-    extra = A.event_facts(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 9")
-    more = extra.groupBy(*L.SERIES).agg((F.max("n") > 8).alias("truncated"))
-    return extra.where("n <= 8").join(more, L.SERIES).select(*L.SERIES, "date", "value", "truncated")
+    return lists.newest_readings(A.event_facts(spark, d), 8)
 
 
 @query("W-11_recent_messages", """
 SELECT conv_id, turn, role, trim(text) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
 FROM conversations WHERE trim(coalesce(text, '')) <> '') WHERE n <= 8""")
 def _(spark, d):
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    rows = A.table(spark, d, "conversations").withColumn("content", F.trim(F.coalesce("text", F.lit("")))).where("content <> ''")
-    return rows.withColumn("n", F.row_number().over(w)).where("n <= 8").select("conv_id", "turn", "role", "content")
+    return lists.recent_messages(A.table(spark, d, "conversations"))
 
 
 # Detector parts.
@@ -410,9 +405,7 @@ def _(spark, d):
 @query("U-4_distinct_messages", f"""WITH r AS (SELECT {RESULTS} FROM lineitem), f AS (SELECT answer_id, message, min(ordinal) AS o FROM r WHERE message IS NOT NULL GROUP BY 1, 2)
 SELECT answer_id, string_agg(message, ' ' ORDER BY o, message) AS detail FROM f GROUP BY 1""")
 def _(spark, d):
-    firsts = tool_results(spark, d).where("message IS NOT NULL").groupBy("answer_id", "message").agg(F.min("ordinal").alias("o"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("o", "message"))), lambda s: s["message"])
-    return firsts.groupBy("answer_id").agg(F.concat_ws(" ", lines).alias("detail"))
+    return lists.distinct_messages(tool_results(spark, d))
 
 
 TRACES = ("ts, CASE event_type WHEN 'click' THEN 'answered' WHEN 'error' THEN 'refused' WHEN 'purchase' THEN 'retracted' WHEN 'view' THEN 'answered' ELSE 'absent' END AS outcome, "

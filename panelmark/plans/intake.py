@@ -10,6 +10,7 @@ from panelmark.functions import codes as C
 from panelmark.functions import labels as B
 from panelmark.functions import periods as P
 from panelmark.operators import ingest as I
+from panelmark.operators import lists
 from panelmark.operators import quality as Qy
 from panelmark.operators import sinks as K
 from panelmark.operators.anomaly import detect_anomalies
@@ -554,8 +555,7 @@ def _(spark, d):
 @query("J-8_indicators_with_data", S.with_(S.FACTS, S.CATALOG) + """
 SELECT source, indicator_code, indicator_name FROM catalog c WHERE EXISTS (SELECT 1 FROM facts f WHERE f.source = c.source AND f.indicator_code = c.indicator_code)""")
 def _(spark, d):
-    held = A.facts(spark, d).select("source", "indicator_code")
-    return ref.catalog(spark).join(held, ["source", "indicator_code"], "left_semi").select("source", "indicator_code", "indicator_name")
+    return lists.with_data(ref.catalog(spark), A.facts(spark, d))
 
 
 @query("J-9_newest_of_copies", """

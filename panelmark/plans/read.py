@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from panelmark.operators import latest as L
+from panelmark.operators import lists
 from panelmark.operators import query as Q
 from panelmark.operators import ranking as R
 from panelmark.operators.anomaly import detect_anomalies
@@ -33,16 +34,14 @@ FA = S.with_(S.FACTS, S.anomalies())
 
 @query("P-1_list_countries", S.with_(S.PROFILES) + "SELECT entity, entity_name, region FROM profiles ORDER BY entity_name")
 def _(spark, d):
-    return A.profiles(spark, d).select("entity", "entity_name", "region").orderBy("entity_name")
+    return lists.list_countries(A.profiles(spark, d))
 
 
 @query("P-2_list_sources", S.with_(S.FACTS, S.SOURCES) + """
 SELECT s.source, s.is_active, s.last_run, coalesce(n, 0) AS observations FROM srcs s
 LEFT JOIN (SELECT source, count(*) AS n FROM facts GROUP BY 1) USING (source) ORDER BY 1""")
 def _(spark, d):
-    held = A.facts(spark, d).groupBy("source").agg(F.count("*").alias("n"))
-    return (ref.sources(spark).join(held, "source", "left")
-            .select("source", "is_active", "last_run", F.coalesce("n", F.lit(0)).alias("observations")).orderBy("source"))
+    return lists.list_sources(ref.sources(spark), A.facts(spark, d))
 
 
 @query("P-3_series_rows", S.with_(S.FACTS, S.CATALOG, S.SOURCES, S.PROFILES) + """
@@ -60,8 +59,7 @@ def _(spark, d):
 @query("P-5_window", S.with_(S.FACTS, S.CATALOG, S.SOURCES, S.PROFILES, S.OBSERVATIONS) + """
 SELECT entity, indicator_code, source, date, value FROM obs WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-02-01'""")
 def _(spark, d):
-    return (L.describe(*base(spark, d))
-            .where(F.col("date").between(dt.date(1996, 3, 1), dt.date(1998, 2, 1)))
+    return (lists.in_window(L.describe(*base(spark, d)), dt.date(1996, 3, 1), dt.date(1998, 2, 1))
             .select("entity", "indicator_code", "source", "date", "value"))
 
 
@@ -121,8 +119,7 @@ SELECT f.source, f.indicator_code, f.entity, f.date, f.value, a.z_score, a.devia
 FROM facts f LEFT JOIN anomalies a USING (source, indicator_code, entity, date) WHERE f.value IS NOT NULL""")
 def _(spark, d):
     _f = A.facts(spark, d)
-    hits = detect_anomalies(_f, KEYS).select(*KEYS, "date", "z_score", "deviation_type", F.lit(True).alias("flagged"))
-    return L.history(_f).join(hits, [*KEYS, "date"], "left").withColumn("flagged", F.col("flagged").isNotNull())
+    return lists.chart_history(_f, detect_anomalies(_f, KEYS), KEYS)
 
 
 @query("J-12_rank_map", S.with_(S.FACTS, S.LATEST, S.PROFILES) + """
