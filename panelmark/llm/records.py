@@ -33,6 +33,8 @@ from panelmark.llm.tokens import default_path, encoder
 
 #: Bytes after which a writer begins a new file, and that one read task takes at most (records are whole).
 FILE_BYTES, READ_BYTES = 256 << 20, 8 << 20
+#: Text bytes encoded together: the more, the fewer different fragments there are to look up.
+ENCODE_BYTES = 4 << 20
 #: Fixed value of the mask.
 MASK = 0xA282EAD8
 
@@ -84,7 +86,7 @@ class _Writer(DataSourceArrowWriter):
 
         for batch in iterator:
             keys = batch.column(0).to_pylist()
-            for low, _high, data, offsets in slices(batch.column(1)):
+            for low, _high, data, offsets in slices(batch.column(1), ENCODE_BYTES):
                 for k, raw in enumerate(model.encode(data, offsets), low):
                     if out is None:
                         store.create_dir(root, recursive=True)

@@ -9,8 +9,9 @@ neither of which is an apostrophe (the only character whose meaning depends on w
 word starts). Other certain pairs are not used as cuts. The strings of added tokens
 count as vocabulary, so none of them is ever cut.
 
-Fragments repeat (most are words with the space before them). Each worker keeps the
-ids of up to ``CACHE`` fragments and gives unknown ones to the library, joined.
+Fragments repeat (most are words with the space before them). Of a slice of rows each
+different one is looked at once; a worker keeps the ids of up to ``CACHE`` fragments and
+gives unknown ones to the library, joined.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from panelmark.llm.common import byte_view
 
 #: Fragments whose ids a worker keeps (about 150 MB); further ones are encoded again.
 CACHE = 600_000
@@ -80,10 +84,11 @@ class Encoder:
         plain = [(x > 0x20) & (x < 0x7F) & (x != 0x27) for x in (left, right)]
         return ~inside & (gap | plain[0] & plain[1])
 
-    def fragments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """All fragments of a slice of rows, and the index of each row's first (and the end)."""
+    def fragments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different fragments of a slice of rows, the number of each fragment in turn among these,
+        and the index of each row's first (and the end)."""
         if not len(data):
-            return [], np.zeros(len(offsets), np.int64)
+            return [], np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         cut = np.zeros(len(data), bool)
         pair = data[:-1].astype(np.uint16)
         pair <<= 8
@@ -92,14 +97,11 @@ class Encoder:
         filled = offsets[:-1][np.diff(offsets) > 0]
         cut[filled] = True
         at = np.flatnonzero(cut)
-        # 0xFF never occurs in UTF-8: set before each fragment it lets one split find them all
-        wide = np.empty(len(data) + len(at), np.uint8)
-        marks = at + np.arange(len(at))
-        keep = np.ones(len(wide), bool)
-        keep[marks] = False
-        wide[marks] = 0xFF
-        wide[keep] = data
-        return wide.tobytes().split(b"\xff")[1:], np.searchsorted(at, offsets)
+        buffers = [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(np.ascontiguousarray(data))]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
+        blob, ends = byte_view(found.dictionary)
+        blob, ends = blob.tobytes(), ends.tolist()
+        return [blob[a:b] for a, b in zip(ends, ends[1:])], found.indices.to_numpy(), np.searchsorted(at, offsets)
 
     def _learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
         found, joined = {}, []
@@ -127,20 +129,28 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """For each row of the slice its ids as little-endian unsigned 32-bit integers."""
-        parts, bounds = self.fragments(data, offsets)
+        parts, number, bounds = self.fragments(data, offsets)
         if not parts:
             return [b""] * (len(offsets) - 1)
         known = self.known
         ids = list(map(known.get, parts))
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
-            found = self._learn(list({parts[i] for i in missing}))
+            found = self._learn([parts[i] for i in missing])
             for i in missing:
                 ids[i] = found[parts[i]]
             room = CACHE - len(known)
             known.update(found if len(found) <= room else list(found.items())[: max(0, room)])
-        bounds = bounds.tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+        # the ids of different fragments stand behind each other once, and are taken from there fragment by fragment
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        places = np.arange(ends[-1])
+        places += np.repeat(starts[number] - (ends - counts), counts)
+        raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        cuts = (np.append(0, ends)[bounds] * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes the ids stand for."""

@@ -30,6 +30,23 @@ def test_forced_boundaries_give_the_library_s_ids(library):
     assert decoded == [library.decode(e.ids, skip_special_tokens=False) for e in want]
 
 
+def test_a_slice_s_repeated_fragments_are_looked_up_once():
+    model, seen = tokens.Encoder(tokens.default_path()), []
+
+    class Known(dict):
+        def get(self, key):
+            seen.append(key)
+            return super().get(key)
+
+    model.known = Known()
+    texts = [None, "", *["the same few words again and again"] * 500, ""]
+    [(_l, _h, data, offsets)] = slices(pa.array(texts))
+    found = model.encode(data, offsets)
+    assert len(seen) == len(set(seen)) < 20 and found[0] == found[1] == found[-1] == b""
+    want = model.library.encode(texts[2], add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in found[2:-1]] == [want] * 500
+
+
 def test_a_full_cache_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
     model, texts = tokens.Encoder(tokens.default_path()), made(2, 500)
