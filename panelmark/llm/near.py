@@ -13,7 +13,7 @@ most of the region resembles (the originals of large groups of copies), not all
 Proposals are confirmed on the full sets. The best of each node go first; of the others only
 those that would join two components still apart are looked at, so a group of thousands
 costs a few confirmations a document. Nodes that left a pair out are marked, and go through the
-trees again with their components known. Before, in runs that share half a signature and are longer than a region, all nodes meet
+trees again with their components known, and with ``FINE`` more bytes. Before, in runs that share half a signature and are longer than a region, all nodes meet
 the ``HEADS`` nodes of the run with most links, one a component, wherever in the run they lie. Then every two components that have nodes whose size
 and sketch allow a link are proposed by the most alike of these, whatever their number; then, with
 the components that gives, every pair across. For these the nodes bring ``FINE`` more bytes, which
@@ -279,9 +279,9 @@ def _most_alike(parts: list[tuple], labels: np.ndarray) -> tuple[np.ndarray, np.
     return one[best], other[best], equal[best]
 
 
-def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int, fine: np.ndarray | None = None, region: int = REGION):
+def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, labels: np.ndarray, percent: int, fine: np.ndarray | None = None, region: int = REGION, best: bool = False):
     """(one, other, rank): for each two labels with rows that look alike in a region, the most alike of these;
-    with finer sketches all pairs of different labels that these allow too.
+    with finer sketches all pairs of different labels that these allow too, or with ``best`` the most alike of them.
 
     Each node is compared with those of larger components, so the largest one, of which a hot
     group mostly consists, is only compared with the others.
@@ -299,14 +299,17 @@ def propose_across(hashes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, la
             found = _alike(sketch, sizes, np.full(high - low - later[i], order[i]), order[later[i] :], percent, least)
             if fine is not None:
                 near = _finely(fine, sizes, found[0], found[1], percent)
-                if near.any():
-                    yield found[0][near], found[1][near], np.full(int(near.sum()), FIRST)
-                continue
+                found = tuple(x[near] for x in found)
+                if not best:
+                    if near.any():
+                        yield found[0], found[1], np.full(len(found[0]), FIRST)
+                    continue
             parts.append(found)
             held += len(parts[-1][0])
-            if held > 1 << 20 or held and i == ends[-2] - 1:
-                one, other, _equal = _most_alike(parts, labels)
-                yield one, other, np.full(len(one), FIRST)
+            if held > 1 << 20 or i == ends[-2] - 1:
+                if held:
+                    one, other, _equal = _most_alike(parts, labels)
+                    yield one, other, np.full(len(one), FIRST)
                 parts, held = [], 0
 
 
@@ -317,11 +320,11 @@ def _by_tree(nodes: DataFrame, trees_depth: tuple[int, int], *extra: str) -> Dat
     return each.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("signature"), "node", "n_shingles", "sketch", *extra)
 
 
-def proposals(nodes: DataFrame, percent: int, trees_depth: tuple[int, int], across: bool = False, region: int = REGION) -> DataFrame:
+def proposals(nodes: DataFrame, percent: int, trees_depth: tuple[int, int], across: bool = False, region: int = REGION, best: bool = False) -> DataFrame:
     """(a, b, rank): pairs of nodes to confirm, a < b; rank ``FIRST`` is some node's first choice in
     some region, and a row with rank ``LEFT`` names a node, as a and b, that left pairs out.
     With ``across`` pairs of nodes whose ``label`` differs, those most alike of each two labels,
-    or all that their finer sketches allow if the nodes have a column ``fine``."""
+    or all that their finer sketches allow if the nodes have a column ``fine`` (of these too the most alike, with ``best``)."""
     extra = [c for c in ("label", "fine") if across and c in nodes.columns]
     depth = trees_depth[1]
 
@@ -354,7 +357,7 @@ def proposals(nodes: DataFrame, percent: int, trees_depth: tuple[int, int], acro
             for a in np.flatnonzero(np.append(True, tree[1:end] != tree[: end - 1])).tolist():
                 b = a + int(np.searchsorted(tree[a:end], tree[a], "right"))
                 part = hashes[a:b], sizes[a:b], sketch[a:b]
-                over = (labels[a:b], percent, None if fine is None else fine[a:b], region) if across else ()
+                over = (labels[a:b], percent, None if fine is None else fine[a:b], region, best) if across else ()
                 for one, other, rank in propose_across(*part, *over) if across else propose(*part, percent, region):
                     left, right = keys[a:b][one], keys[a:b][other]
                     yield pa.RecordBatch.from_arrays(
@@ -506,16 +509,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
 
     # what the nodes left out: heads of long runs, then the most alike of each two components, then every pair still across
     left = pairs.filter(F.col("rank") == LEFT).select(F.col("a").alias("node")).join(nodes, "node")
+    finely = left.join(_fine_sketches(sets), "node")  # nodes that left pairs out were proposed themselves, so they have sets
     tried = pairs.select("a", "b")
     walks = [
         lambda: to_heads(labelled(nodes), links.unionByName(more), percent, trees_depth, region),
-        lambda: proposals(labelled(left), percent, trees_depth, across=True, region=region),
-        lambda: proposals(labelled(left.join(_fine_sketches(sets), "node")), percent, trees_depth, across=True, region=region),
+        lambda: proposals(labelled(finely), percent, trees_depth, across=True, region=region, best=True),
+        lambda: proposals(labelled(finely), percent, trees_depth, across=True, region=region),
     ]
     for walk in walks:
         rest = staged(walk().select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.unionByName(rest)
-        new = ends(rest).join(sets, "node", "left_anti")  # heads meet nodes that nothing proposed before
+        new = staged(ends(rest).join(sets, "node", "left_anti"), "near-new")  # heads meet nodes that nothing proposed before
         if not new.isEmpty():
             sets = sets.unionByName(whole(new))
         joined = staged(_confirmed(rest, sets, percent), "near-links")

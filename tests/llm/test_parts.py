@@ -226,6 +226,24 @@ def test_broken_pages_do_not_fail(html):
     assert isinstance(template.main_text(html, frozenset(), ">p"), str)
 
 
+def test_two_components_are_proposed_only_if_their_sets_may_be_linked():
+    """Sets that all look alike by their sketch, of which few are links: pairs don't grow with the square of their number."""
+    n, rng = 300, np.random.default_rng(6)
+    fine = np.zeros((n, near.FINE), np.uint8)
+    for row in fine:  # 100 of 115 shingles: two sets share about 87 of 113
+        row.view("<u4")[:100] = np.sort(rng.permutation(115)[:100] + 1)
+    fine[[7, 90, 200]] = fine[5], fine[4], fine[4]
+    hashes, sizes, sketch = np.ones((n, near.DEPTH), np.uint32), np.full(n, 100), np.zeros((n, near.SKETCH), np.uint8)
+    labels = np.arange(n)
+    labels[200] = 90
+    sets = [set(row.view("<u4")[:100].tolist()) for row in fine]
+    links = {(a, b) for a in range(n) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    found = [(max(a, b), min(a, b)) for a, b, _ in _pairs(near.propose_across(hashes, sizes, sketch, labels, 85, fine, best=True))]
+    assert set(found) <= links and {(7, 5), (90, 4)} <= set(found) and (200, 4) not in found
+    two = lambda some: {frozenset((int(labels[a]), int(labels[b]))) for a, b in some if labels[a] != labels[b]}
+    assert two(found) == two(links) and len(found) == len(two(links)) < n * n / 20
+
+
 @pytest.mark.parametrize("size", [100, near.WHOLE, near.WHOLE + 1, 3000])
 def test_all_pairs_across_are_proposed_but_those_the_finer_sketches_rule_out(size):
     hashes, _sizes, sketch, alike = _alike_rows(6, 400)
